@@ -93,12 +93,12 @@ _NAIVE = "".join(
 @query(
     "Y6_naive_forecast",
     "ohlcv",
-    f"""SELECT ticker, date, horizon, round(actual, 4) AS actual, round(forecast, 4) AS forecast
+    f"""SELECT ticker, date, horizon, actual, forecast
         FROM ({_NAIVE}) WHERE forecast IS NOT NULL""",
 )
 def y6(spark, sf):
     df = models.naive_forecasts(fx.bars(spark, sf))
-    return rounded(df.select("ticker", "date", "horizon", "actual", "forecast"), "actual", "forecast")
+    return df.select("ticker", "date", "horizon", "actual", "forecast")
 
 
 def _drift(spark, sf):
@@ -144,7 +144,7 @@ def y4(spark, sf):
         FROM (SELECT *, max(equity) OVER w AS peak
               FROM (SELECT *, product(1 + gain) OVER w AS equity
                     FROM (SELECT ticker, date, coalesce(lag(signal) OVER w, 0) * coalesce(ret, 0) AS gain
-                          FROM (SELECT ticker, date, ret / 10000 AS ret, CAST(sign(coalesce(ret, 0)) AS INTEGER) AS signal FROM rets)
+                          FROM (SELECT ticker, date, ret / 1000000 AS ret, CAST(sign(coalesce(ret, 0)) AS INTEGER) AS signal FROM rets)
                           {WINDOW}) {WINDOW}) {WINDOW})
         GROUP BY ticker""",
 )
@@ -153,7 +153,7 @@ def y5(spark, sf):
     signals = returns.daily_returns(fx.bars(spark, sf)).select(
         "ticker",
         "date",
-        (F.col("ret") / 10000).alias("ret"),
+        (F.col("ret") / 1_000_000).alias("ret"),
         F.signum(F.coalesce("ret", F.lit(0.0))).cast("int").alias("signal"),
     )
     metrics = models.strategy_metrics(signals)

@@ -20,11 +20,11 @@ from marketlake.sources import responses as landed
 from marketlake.sources import store
 from marketlake.streaming.ingest import ingest_available
 from suite import fixtures as fx
-from suite.registry import query, rounded
-from suite.series import OHLC, R_OHLC
+from suite.registry import query
+from suite.series import RAW_OHLC
 
 EARLIEST, LATEST = datetime.date(1990, 1, 1), datetime.date(2010, 12, 31)
-BARS = f"SELECT date, {R_OHLC}, volume, ticker FROM ohlcv"
+BARS = f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv"
 
 
 def _comma(value: Column) -> Column:
@@ -85,12 +85,12 @@ def write_dividends(spark, sf, path):
 @query(
     "S1_historical_composition",
     "composition",
-    "SELECT date, ticker, quantity, round(close, 4) AS close, source FROM composition",
+    "SELECT date, ticker, quantity, close, source FROM composition",
 )
 def s1(spark, sf):
     base = scratch_path(spark, "historical")
     write_historical(spark, sf, base)
-    return rounded(files.load_historical(spark, base), "close")
+    return files.load_historical(spark, base)
 
 
 @query("S2_projected_composition", "projected", "SELECT * FROM projected")
@@ -107,11 +107,11 @@ def s3(spark, sf):
     return files.load_current(spark, base)
 
 
-@query("S4_spot_series", "spot", "SELECT date, round(value, 4) AS value FROM spot")
+@query("S4_spot_series", "spot", "SELECT date, value FROM spot")
 def s4(spark, sf):
     path = scratch_path(spark, "spot") + ".csv"
     write_spot(spark, sf, path)
-    return rounded(files.load_spot(spark, path), "value")
+    return files.load_spot(spark, path)
 
 
 @query("S5_divisor_series", "divisor", "SELECT date, divisor FROM divisor")
@@ -138,7 +138,7 @@ def _land(responses: DataFrame, name: str) -> DataFrame:
 @query("S7_response_bars", "ohlcv", BARS)
 def s7(spark, sf):
     bodies = _land(fx.responses(spark, sf), "responses")
-    return rounded(landed.bars_from_responses(bodies), *OHLC)
+    return landed.bars_from_responses(bodies)
 
 
 @query(
@@ -155,7 +155,7 @@ def s7_validation(spark, sf):
 def s8(spark, sf):
     root = scratch_path(spark, "store")
     save_table(fx.bars(spark, sf), root, "raw", "ohlcv")
-    return rounded(store.load_table(spark, root, "raw", "ohlcv", schema=OHLCV), *OHLC)
+    return store.load_table(spark, root, "raw", "ohlcv", schema=OHLCV)
 
 
 @query("S9_list_tickers", "trades", "SELECT DISTINCT ticker FROM trades")
@@ -168,8 +168,8 @@ def s9(spark, sf):
 @query(
     "S11_extra_csv_source",
     "ohlcv projected",
-    """SELECT ticker AS instrument, date, round(open, 4) AS open, round(close, 4) AS close FROM ohlcv
-       UNION ALL SELECT ticker, date, round(quantity, 4), round(quantity, 4) FROM projected p
+    """SELECT ticker AS instrument, date, open, close FROM ohlcv
+       UNION ALL SELECT ticker, date, quantity, quantity FROM projected p
        WHERE NOT EXISTS (SELECT 1 FROM ohlcv o WHERE o.ticker = p.ticker AND o.date = p.date)""",
 )
 def s11(spark, sf):
@@ -179,7 +179,7 @@ def s11(spark, sf):
     )
     extra.write.option("header", True).csv(path)
     lines = spark.read.option("header", True).csv(path)
-    return rounded(prepared_rows(fx.bars(spark, sf), lines), "open", "close")
+    return prepared_rows(fx.bars(spark, sf), lines)
 
 
 @query("S15_load_or_build", "divisor", "SELECT date, divisor FROM divisor")
@@ -218,7 +218,7 @@ def s16(spark, sf):
 def k1(spark, sf):
     root = scratch_path(spark, "store")
     path = save_bars(fx.bars(spark, sf), root, "features", "ohlcv", "v2")
-    return rounded(spark.read.schema(OHLCV).parquet(path), *OHLC)
+    return spark.read.schema(OHLCV).parquet(path)
 
 
 _STATUS = """
@@ -251,7 +251,7 @@ def k2_stream(spark, sf):
     for _ in range(2):  # the second run finds the same responses in a new file, already stored
         fx.responses(spark, sf).write.mode("append").json(landing)
         ingest_available(spark, landing, root, f"{root}/checkpoint").awaitTermination()
-    return rounded(ingest_plan.stored_bars(spark, root), *OHLC)
+    return ingest_plan.stored_bars(spark, root)
 
 
 @query(
@@ -340,4 +340,4 @@ def k5(spark, sf):
 def k6(spark, sf):
     path = scratch_path(spark, "export") + ".csv"
     export_bars(fx.bars(spark, sf).select(*OHLCV_COLUMNS), path)
-    return rounded(spark.read.schema(OHLCV).option("header", True).csv(path), *OHLC)
+    return spark.read.schema(OHLCV).option("header", True).csv(path)

@@ -71,8 +71,13 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bar, its volume taken as the quantity held and its close cut to cents."""
     return bars(spark, sf).select(
-        "date", "ticker", F.col("volume").alias("quantity"), "close", F.lit("historica").alias("source")
+        "date",
+        "ticker",
+        F.col("volume").alias("quantity"),
+        (F.floor(F.col("close") * 100) / 100).alias("close"),
+        F.lit("historica").alias("source"),
     )
 
 
@@ -106,7 +111,7 @@ def divisor(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "orders")
         .select(first)
         .distinct()
-        .select("date", (1000 + 10 * months).cast("double").alias("divisor"))
+        .select("date", (10 * months + 1000.7).alias("divisor"))
     )
 
 
@@ -192,7 +197,7 @@ _CTE = {
                sum(l_quantity) AS volume, ticker
         FROM trades GROUP BY ticker, date""",
     "composition": """
-        SELECT date, ticker, volume AS quantity, close, 'historica' AS source FROM ohlcv""",
+        SELECT date, ticker, volume AS quantity, floor(close * 100) / 100 AS close, 'historica' AS source FROM ohlcv""",
     "projected": """
         SELECT CAST(date_trunc('month', date) AS DATE) AS date, ticker, sum(l_quantity) AS quantity,
                'proyectada' AS source
@@ -206,7 +211,7 @@ _CTE = {
                CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / 1000 AS value
         FROM orders GROUP BY 1""",
     "divisor": """
-        SELECT date, CAST(1000 + 10 * ((year(date) - 1995) * 12 + month(date)) AS DOUBLE) AS divisor
+        SELECT date, 10 * ((year(date) - 1995) * 12 + month(date)) + CAST(1000.7 AS DOUBLE) AS divisor
         FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders)""",
     "dividends": """
         SELECT ticker, floor(px) / 1000 AS amount, date,

@@ -70,13 +70,12 @@ def a5(spark, sf):
 @query(
     "J7_spot_and_divisor",
     "spot divisor",
-    """SELECT date, round(s.value, 4) AS value, d.divisor
+    """SELECT date, s.value, d.divisor
        FROM (SELECT * FROM spot WHERE date >= DATE '1998-06-30') s
        FULL JOIN (SELECT * FROM divisor WHERE date >= DATE '1998-06-30') d USING (date)""",
 )
 def j7(spark, sf):
-    df = index.spot_with_divisor(fx.spot(spark, sf), fx.divisor(spark, sf), "3Y", fx.AS_OF)
-    return rounded(df, "value")
+    return index.spot_with_divisor(fx.spot(spark, sf), fx.divisor(spark, sf), "3Y", fx.AS_OF)
 
 
 @query(
@@ -141,30 +140,29 @@ def a7_coverage(spark, sf):
     "A8_index_summary",
     "spot divisor",
     """SELECT min(date) AS date_min, max(date) AS date_max, count(*) AS n_days,
-              round(min(value), 4) AS value_min, round(max(value), 4) AS value_max,
+              min(value) AS value_min, max(value) AS value_max,
               (SELECT max_by(divisor, date) FROM divisor) AS current_divisor FROM spot""",
 )
 def a8(spark, sf):
-    df = index.index_summary(fx.spot(spark, sf), fx.divisor(spark, sf))
-    return rounded(df, "value_min", "value_max")
+    return index.index_summary(fx.spot(spark, sf), fx.divisor(spark, sf))
 
 
 @query(
     "A17_weights_at_date",
     "composition",
-    f"""SELECT date, ticker, quantity, round(close, 4) AS close, source,
+    f"""SELECT date, ticker, quantity, close, source,
                round(close * quantity / sum(close * quantity) OVER () * 100, 2) AS weight
         FROM composition WHERE date = (SELECT max(date) FROM composition WHERE date <= DATE '{fx.TARGET}')""",
 )
 def a17(spark, sf):
-    return rounded(index.weights_at(fx.composition(spark, sf), fx.TARGET), "close")
+    return index.weights_at(fx.composition(spark, sf), fx.TARGET)
 
 
 @query(
     "X8_reconstructed_index",
     "composition spot divisor",
     """SELECT t.date, round(t.total, 2) AS total, d.divisor, round(t.total / d.divisor, 4) AS rebuilt,
-              round(s.value, 4) AS value, round(t.total / d.divisor - s.value, 4) AS difference
+              s.value, round(t.total / d.divisor - s.value, 4) AS difference
        FROM (SELECT date, sum(close * quantity) AS total FROM composition GROUP BY date) t
        ASOF JOIN divisor d ON t.date >= d.date LEFT JOIN spot s ON s.date = t.date""",
 )
@@ -172,7 +170,7 @@ def x8(spark, sf):
     df = index.reconstructed_index(
         fx.composition(spark, sf), fx.divisor(spark, sf), fx.spot(spark, sf)
     )
-    return rounded(rounded(df, "total", digits=2), "rebuilt", "value", "difference")
+    return rounded(rounded(df, "total", digits=2), "rebuilt", "difference")
 
 
 # --- sorts, top rows, set operations
@@ -192,12 +190,11 @@ def o2(spark, sf):
     return quarters.distinct().orderBy("quarter")
 
 
-@query("O4_latest_row", "ohlcv", "SELECT ticker, max(date) AS date, round(max_by(close, date), 4) AS close FROM ohlcv GROUP BY ticker")
+@query("O4_latest_row", "ohlcv", "SELECT ticker, max(date) AS date, max_by(close, date) AS close FROM ohlcv GROUP BY ticker")
 def o4(spark, sf):
-    latest = fx.bars(spark, sf).groupBy("ticker").agg(
+    return fx.bars(spark, sf).groupBy("ticker").agg(
         F.max("date").alias("date"), F.max_by("close", "date").alias("close")
     )
-    return rounded(latest, "close")
 
 
 @query("U1_union_of_sources", "composition projected current_comp", _SOURCES)

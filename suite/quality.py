@@ -8,7 +8,10 @@ from marketlake import functions as mf
 from marketlake.operators import gaps, quality
 from marketlake.plans.gap_report import gap_report, prepared_rows
 from suite import fixtures as fx
-from suite.registry import query, rounded
+from suite.registry import query
+
+
+_MEMBERS = "(SELECT ticker, min(date) AS date FROM ohlcv GROUP BY ticker, month(date))"
 
 
 @query(
@@ -50,10 +53,9 @@ def a9(spark, sf):
 @query(
     "A15_alert_totals",
     "alerts",
-    """SELECT a.tipo, CASE WHEN p.ticker IS NULL THEN 'No' ELSE 'Sí' END AS en_indice, count(*) AS n
-       FROM alerts a LEFT JOIN (SELECT DISTINCT ticker, date FROM projected) p
-         ON p.ticker = a.instrument AND p.date = a.date
-       GROUP BY 1, 2""".replace("projected", "(SELECT ticker, min(date) AS date FROM ohlcv GROUP BY ticker, month(date))"),
+    f"""SELECT a.tipo, CASE WHEN p.ticker IS NULL THEN 'No' ELSE 'Sí' END AS en_indice, count(*) AS n
+        FROM alerts a LEFT JOIN {_MEMBERS} p ON p.ticker = a.instrument AND p.date = a.date
+        GROUP BY 1, 2""",
 )
 def a15(spark, sf):
     return gaps.alert_totals(gap_report(fx.bars(spark, sf), _members(spark, sf)))
@@ -65,9 +67,6 @@ def _members(spark, sf):
     return b.groupBy("ticker", F.month("date")).agg(F.min("date").alias("date"))
 
 
-_MEMBERS = "(SELECT ticker, min(date) AS date FROM ohlcv GROUP BY ticker, month(date))"
-
-
 @query(
     "A15_analysed_totals",
     "gaps",
@@ -125,12 +124,11 @@ def _raw_scan(spark, sf):
 @query(
     "S10_scan_rows",
     "ohlcv",
-    f"""SELECT upper(trim(ticker)) AS instrument, date, round(coalesce(open, close), 4) AS open,
-               round(close, 4) AS close
+    f"""SELECT upper(trim(ticker)) AS instrument, date, coalesce(open, close) AS open, close
         FROM {_RAW_SCAN} WHERE close <> 0 AND NOT isnan(close) AND coalesce(open, close) <> 0""",
 )
 def s10(spark, sf):
-    return rounded(gaps.scan_rows(_raw_scan(spark, sf)), "open", "close")
+    return gaps.scan_rows(_raw_scan(spark, sf))
 
 
 @query(
@@ -146,7 +144,7 @@ def s14(spark, sf):
 @query(
     "U3_first_seen",
     "trades",
-    """SELECT ticker AS instrument, date, round(min_by(px, row(px, l_quantity)), 4) AS open,
+    """SELECT ticker AS instrument, date, min_by(px, row(px, l_quantity)) AS open,
               min_by(l_quantity, row(px, l_quantity)) AS close
        FROM trades GROUP BY ticker, date""",
 )
@@ -155,7 +153,7 @@ def u3(spark, sf):
     rows = fx.trades(spark, sf).select(
         F.col("ticker").alias("instrument"), "date", F.col("px").alias("open"), F.col("l_quantity").alias("close")
     )
-    return rounded(gaps.first_seen([rows, rows]), "open")
+    return gaps.first_seen([rows, rows])
 
 
 @query(
@@ -188,14 +186,13 @@ def x3(spark, sf):
 @query(
     "X7_business_calendar",
     "ohlcv",
-    """SELECT g.ticker, g.date, round(b.close, 4) AS close, b.date IS NULL AS missing
+    """SELECT g.ticker, g.date, b.close, b.date IS NULL AS missing
        FROM (SELECT ticker, CAST(unnest(range(min(date), max(date) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date
              FROM ohlcv GROUP BY ticker) g
        LEFT JOIN ohlcv b ON b.ticker = g.ticker AND b.date = g.date WHERE isodow(g.date) < 6""",
 )
 def x7(spark, sf):
-    aligned = quality.align_to_calendar(fx.bars(spark, sf).select("ticker", "date", "close"))
-    return rounded(aligned, "close")
+    return quality.align_to_calendar(fx.bars(spark, sf).select("ticker", "date", "close"))
 
 
 # --- scalar function families
@@ -285,9 +282,9 @@ def f_math(spark, sf):
     "F_null_functions",
     "ohlcv",
     f"""SELECT ticker, date, CASE WHEN isnan(close) THEN NULL ELSE close END IS NULL AS unknown,
-               round(coalesce(CASE WHEN isnan(close) THEN NULL ELSE close END, 0), 4) AS filled,
+               coalesce(CASE WHEN isnan(close) THEN NULL ELSE close END, 0) AS filled,
                round(open / nullif(CASE WHEN isnan(close) THEN NULL ELSE close END, 0), 4) AS share
-        FROM {_RAW_SCAN} WHERE open IS NOT NULL OR close IS NOT NULL""",
+        FROM {_RAW_SCAN} WHERE open IS NOT NULL OR (close IS NOT NULL AND NOT isnan(close))""",
 )
 def f_null(spark, sf):
     close = mf.without_nan(F.col("close"))
@@ -298,7 +295,7 @@ def f_null(spark, sf):
             "ticker",
             "date",
             close.isNull().alias("unknown"),
-            F.round(F.coalesce(close, F.lit(0.0)), 4).alias("filled"),
+            F.coalesce(close, F.lit(0.0)).alias("filled"),
             F.round(mf.ratio(F.col("open"), close), 4).alias("share"),
         )
     )
@@ -307,7 +304,7 @@ def f_null(spark, sf):
 @query(
     "F_array_functions",
     "dirty",
-    """SELECT ticker, date, round(low_ok, 4) AS low, round(high_ok, 4) AS high,
+    """SELECT ticker, date, low_ok AS low, high_ok AS high,
               value BETWEEN low_ok AND high_ok AS inside FROM dirty""",
 )
 def f_array(spark, sf):
@@ -315,8 +312,8 @@ def f_array(spark, sf):
     return fx.dirty(spark, sf).select(
         "ticker",
         "date",
-        F.round(low, 4).alias("low"),
-        F.round(high, 4).alias("high"),
+        low.alias("low"),
+        high.alias("high"),
         F.col("value").between(low, high).alias("inside"),
     )
 

@@ -11,7 +11,7 @@ from suite import fixtures as fx
 from suite.registry import query, rounded
 
 OHLC = ("open", "high", "low", "close")
-R_OHLC = ", ".join(f"round({c}, 4) AS {c}" for c in OHLC)
+RAW_OHLC = ", ".join(OHLC)
 RANGE = f"date BETWEEN DATE '{fx.RANGE_FROM}' AND DATE '{fx.RANGE_TO}'"
 WINDOW = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 
@@ -27,7 +27,7 @@ def action_splits(spark, sf):
 # --- projections, filters, predicates
 
 
-@query("P1_canonical_bars", "ohlcv", f"SELECT date, {R_OHLC}, volume, ticker FROM ohlcv")
+@query("P1_canonical_bars", "ohlcv", f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv")
 def p1(spark, sf):
     b = fx.bars(spark, sf)
     stamped = F.concat(F.col("date").cast("string"), F.lit("T00:00:00Z")).alias("d")
@@ -36,17 +36,17 @@ def p1(spark, sf):
         *[F.col(c).alias(k) for c, k in zip((*OHLC, "volume"), "ohlcv"[:4] + "v")],
         "ticker",
     )
-    return rounded(selection.canonical_bars(records), *OHLC)
+    return selection.canonical_bars(records)
 
 
 @query(
     "P2_literal_tags",
     "ohlcv",
-    "SELECT date, ticker, round(close, 4) AS close, 'historica' AS source, false AS split_adjusted FROM ohlcv",
+    "SELECT date, ticker, close, 'historica' AS source, false AS split_adjusted FROM ohlcv",
 )
 def p2(spark, sf):
     df = fx.bars(spark, sf).select("date", "ticker", "close")
-    return rounded(selection.tagged(df, source="historica", split_adjusted=False), "close")
+    return selection.tagged(df, source="historica", split_adjusted=False)
 
 
 @query(
@@ -60,16 +60,16 @@ def p3(spark, sf):
     return selection.rewritten(df, "volume", before, F.col("volume") * 2)
 
 
-@query("P4_date_range", "ohlcv", f"SELECT date, {R_OHLC}, volume, ticker FROM ohlcv WHERE {RANGE}")
+@query("P4_date_range", "ohlcv", f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv WHERE {RANGE}")
 def p4(spark, sf):
-    return rounded(ranged(spark, sf), *OHLC)
+    return ranged(spark, sf)
 
 
 @query(
     "P5_trailing_range",
     "ohlcv",
     " UNION ALL ".join(
-        f"SELECT '{p}' AS period, ticker, date, round(close, 4) AS close FROM ohlcv WHERE date >= DATE '{d}'"
+        f"SELECT '{p}' AS period, ticker, date, close FROM ohlcv WHERE date >= DATE '{d}'"
         for p, d in [
             ("3M", "2001-03-30"),
             ("6M", "2000-12-30"),
@@ -88,12 +88,12 @@ def p5(spark, sf):
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return rounded(out, "close")
+    return out
 
 
-@query("P6_ticker_filter", "ohlcv", f"SELECT date, {R_OHLC}, volume, ticker FROM ohlcv WHERE ticker = 'S7'")
+@query("P6_ticker_filter", "ohlcv", f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv WHERE ticker = 'S7'")
 def p6(spark, sf):
-    return rounded(selection.for_ticker(fx.bars(spark, sf), "s7"), *OHLC)
+    return selection.for_ticker(fx.bars(spark, sf), "s7")
 
 
 _SPOILT = """(SELECT CASE WHEN volume % 13 = 0 THEN NULL ELSE ticker END AS ticker, date,
@@ -113,24 +113,24 @@ def spoilt(spark, sf):
 @query(
     "P7_usable_prices",
     "ohlcv",
-    f"""SELECT ticker, date, round(open, 4) AS open, round(close, 4) AS close FROM {_SPOILT}
+    f"""SELECT ticker, date, open, close FROM {_SPOILT}
         WHERE ticker IS NOT NULL AND open <> 0 AND close <> 0""",
 )
 def p7(spark, sf):
     df = spoilt(spark, sf)
-    return rounded(df.filter(selection.usable_price(df)), "open", "close")
+    return df.filter(selection.usable_price(df))
 
 
 @query(
     "P7_rejected_prices",
     "ohlcv",
-    f"""SELECT ticker, date, round(open, 4) AS open, round(close, 4) AS close,
+    f"""SELECT ticker, date, open, close,
                CASE WHEN ticker IS NULL THEN 'missing key' WHEN open IS NULL THEN 'missing price'
                     ELSE 'zero price' END AS reason
         FROM {_SPOILT} WHERE ticker IS NULL OR open IS NULL OR open = 0""",
 )
 def p7_rejected(spark, sf):
-    return rounded(selection.rejected_prices(spoilt(spark, sf)), "open", "close")
+    return selection.rejected_prices(spoilt(spark, sf))
 
 
 _FACTORS = """
@@ -143,24 +143,24 @@ GROUP BY b.date, b.ticker, b.open, b.high, b.low, b.close, b.volume"""
 @query(
     "P8_index_only_splits",
     "ohlcv splits",
-    f"""SELECT date, ticker, round(close / ratio, 4) AS close,
+    f"""SELECT date, ticker, round(close * (1 / ratio), 8) AS close,
                ticker IN (SELECT ticker FROM splits WHERE in_index) AS split_adjusted
         FROM ({_FACTORS.format(splits="(SELECT * FROM splits WHERE in_index)")})""",
 )
 def p8(spark, sf):
     df = adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark), index_only=True)
-    return rounded(df.select("date", "ticker", "close", "split_adjusted"), "close")
+    return rounded(df.select("date", "ticker", "close", "split_adjusted"), "close", digits=8)
 
 
 @query(
     "P9_minimum_history",
     "ohlcv",
-    f"""SELECT date, ticker, round(close, 4) AS close FROM
+    f"""SELECT date, ticker, close FROM
         (SELECT *, count(*) OVER (PARTITION BY ticker) AS n FROM ohlcv WHERE {RANGE}) WHERE n >= 10""",
 )
 def p9(spark, sf):
     kept = selection.with_history(ranged(spark, sf), 10)
-    return rounded(kept.select("date", "ticker", "close"), "close")
+    return kept.select("date", "ticker", "close")
 
 
 @query("P10_up_day", "ohlcv", "SELECT date, ticker, close >= open AS up FROM ohlcv")
@@ -251,20 +251,19 @@ def a18(spark, sf):
 
 
 _ALERT = """instrument, date, date_str, tipo, variacion_pct, ratio_implicito,
-  round(prev_close, 4) AS prev_close, round(open, 4) AS open_next"""
+  prev_close, open AS open_next"""
 
 
 @query("W5_overnight_gap", "alerts", f"SELECT {_ALERT} FROM alerts")
 def w5(spark, sf):
-    alerts = gaps.detect_gaps(prepared_rows(fx.bars(spark, sf)))
-    return rounded(alerts, "prev_close", "open_next")
+    return gaps.detect_gaps(prepared_rows(fx.bars(spark, sf)))
 
 
 @query(
     "W6_gap_context",
     "alerts",
     """SELECT a.instrument, a.date, g.rn - a.rn + least(a.rn - 1, 3) AS pos,
-              strftime(g.date, '%d/%m/%Y') AS fecha, round(g.open, 4) AS open, round(g.close, 4) AS close,
+              strftime(g.date, '%d/%m/%Y') AS fecha, g.open, g.close,
               round_even((g.close - g.prev_close) / g.prev_close * 100, 2) AS var_dia_pct,
               g.rn = a.rn AS is_event
        FROM alerts a JOIN gaps g ON g.instrument = a.instrument AND g.rn BETWEEN a.rn - 3 AND a.rn + 3""",
@@ -272,8 +271,7 @@ def w5(spark, sf):
 def w6(spark, sf):
     alerts = gaps.detect_gaps_with_context(prepared_rows(fx.bars(spark, sf)))
     rows = alerts.select("instrument", "date", F.posexplode("context").alias("pos", "c"))
-    flat = rows.select("instrument", "date", F.col("pos").cast("long").alias("pos"), "c.*")
-    return rounded(flat, "open", "close")
+    return rows.select("instrument", "date", F.col("pos").cast("long").alias("pos"), "c.*")
 
 
 @query(
@@ -340,7 +338,7 @@ def j2_merge(spark, sf):
     return df.select("date", "ticker", F.round(F.ln("split_ratio"), 6).alias("log_ratio"))
 
 
-_ADJUSTED = ", ".join(f"round({c} * (1 / ratio), 4) AS {c}" for c in OHLC)
+_ADJUSTED = ", ".join(f"round({c} * (1 / ratio), 8) AS {c}" for c in OHLC)
 
 
 @query(
@@ -351,7 +349,7 @@ _ADJUSTED = ", ".join(f"round({c} * (1 / ratio), 4) AS {c}" for c in OHLC)
         FROM ({_FACTORS.format(splits="(SELECT * FROM splits WHERE in_index)")})""",
 )
 def d1(spark, sf):
-    return rounded(adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark)), *OHLC)
+    return rounded(adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark)), *OHLC, digits=8)
 
 
 @query(
@@ -367,14 +365,14 @@ def d2(spark, sf):
 @query(
     "D3_adjust_all_splits_and_volume",
     "ohlcv splits",
-    f"""SELECT date, ticker, {_ADJUSTED}, round(volume * ratio, 4) AS volume
+    f"""SELECT date, ticker, {_ADJUSTED}, round(volume * ratio, 8) AS volume
         FROM ({_FACTORS.format(splits="splits")})""",
 )
 def d3(spark, sf):
     df = adjust.adjust_prices(
         fx.bars(spark, sf), fx.splits(spark), index_only=False, volume_mode="multiply"
     )
-    return rounded(df.drop("split_adjusted"), *OHLC, "volume")
+    return rounded(df.drop("split_adjusted"), *OHLC, "volume", digits=8)
 
 
 @query(
@@ -399,12 +397,12 @@ def flagship(spark, sf):
 @query(
     "D5_candlestick",
     "ohlcv",
-    f"""SELECT date, {R_OHLC}, volume, ticker, {_sma(20)}, {_sma(50)}, close >= open AS up
+    f"""SELECT date, {RAW_OHLC}, volume, ticker, {_sma(20)}, {_sma(50)}, close >= open AS up
         FROM ohlcv WHERE {RANGE} {WINDOW}""",
 )
 def d5(spark, sf):
     df = candles.candlestick(fx.bars(spark, sf), fx.RANGE_FROM, fx.RANGE_TO)
-    return rounded(df, *OHLC, "sma20", "sma50")
+    return rounded(df, "sma20", "sma50")
 
 
 @query(
@@ -557,21 +555,20 @@ def o3(spark, sf):
 @query(
     "X4_null_dirty_values",
     "ohlcv dirty",
-    """SELECT b.ticker, b.date, round(CASE WHEN d.field IS NULL THEN b.open END, 4) AS open,
-              round(b.close, 4) AS close, d.field IS NOT NULL AS patched
+    """SELECT b.ticker, b.date, CASE WHEN d.field IS NULL THEN b.open END AS open,
+              b.close, d.field IS NOT NULL AS patched
        FROM ohlcv b LEFT JOIN dirty d ON d.ticker = b.ticker AND d.date = b.date""",
 )
 def x4(spark, sf):
     df = adjust.null_dirty_values(fx.bars(spark, sf), fx.dirty(spark, sf))
-    out = df.select("ticker", "date", "open", "close", F.col("dirty_fields").isNotNull().alias("patched"))
-    return rounded(out, "open", "close")
+    return df.select("ticker", "date", "open", "close", F.col("dirty_fields").isNotNull().alias("patched"))
 
 
 @query(
     "X4_range_check",
     "dirty",
-    """SELECT ticker, date, field, round(value, 4) AS stored, value < low_ok OR value > high_ok AS out_of_range
+    """SELECT ticker, date, field, value AS stored, value < low_ok OR value > high_ok AS out_of_range
        FROM dirty""",
 )
 def x4_range(spark, sf):
-    return rounded(adjust.out_of_range(fx.bars(spark, sf), fx.dirty(spark, sf)), "stored")
+    return adjust.out_of_range(fx.bars(spark, sf), fx.dirty(spark, sf))
