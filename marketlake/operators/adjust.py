@@ -95,8 +95,8 @@ def adjust_prices(
     """
     if volume_mode not in ("keep", "multiply"):
         raise ValueError(f"unknown volume_mode {volume_mode!r}")
+    few = is_small(splits, max_broadcast_splits)
     intervals = split_intervals(splits, index_only)
-    few = is_small(intervals, max_broadcast_splits)
     factored = (factors_by_interval if few else factors_by_merge)(bars, intervals)
     factor = 1 / F.col("split_ratio")
     columns = {c: F.col(c) * factor for c in PRICE_COLUMNS if c in bars.columns}

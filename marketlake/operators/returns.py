@@ -46,6 +46,8 @@ def aligned_returns(bars: DataFrame, min_rows: int = 10) -> DataFrame:
     than `min_rows` rows are left out, as are dates on which no ticker has a return. Each
     ticker is expanded by the list of dates, which the calendar bounds.
     """
+    # Filtered here as the join would, so that its side and the list of dates share one shuffle.
+    bars = bars.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
     returns = _returns_with_history(bars, min_rows)
     dates = returns.agg(F.array_sort(F.collect_set("date")).alias("dates")).scalar()
     kept = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from marketlake.sinks.tables import by_ticker
+
 
 def export_report(report: DataFrame, path: str) -> None:
     """The alert report as CSV with a header."""
@@ -10,5 +12,4 @@ def export_report(report: DataFrame, path: str) -> None:
 
 def export_bars(bars: DataFrame, path: str) -> None:
     """A CSV copy of the bars, ordered by ticker and date."""
-    ordered = bars.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+    by_ticker(bars).write.mode("overwrite").option("header", True).csv(path)

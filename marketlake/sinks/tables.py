@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketlake.sources.store import table_path
 
@@ -12,15 +13,23 @@ def save_table(df: DataFrame, root: str, layer: str, name: str, version: str = "
     return path
 
 
+def by_ticker(bars: DataFrame) -> DataFrame:
+    """Bars laid out for files: a ticker's rows together and in order of date.
+
+    Rebalancing cuts partitions that come out too large and merges small ones at run time,
+    without a sampling pass.
+    """
+    return bars.hint("rebalance", F.col("ticker")).sortWithinPartitions("ticker", "date")
+
+
 def save_bars(
     bars: DataFrame, root: str, layer: str, name: str, version: str = "v1", mode: str = "overwrite"
 ) -> str:
-    """Store bars in files ordered by ticker and date.
+    """Store bars ordered by ticker and date.
 
-    The rows of a ticker lie together, so a filter on ticker skips most row groups, and no
-    folder per ticker is needed however many tickers there are.
+    A filter on ticker skips most row groups, and no folder per ticker is needed however many
+    tickers there are.
     """
     path = table_path(root, layer, name, version)
-    ordered = bars.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date")
-    ordered.write.mode(mode).parquet(path)
+    by_ticker(bars).write.mode(mode).parquet(path)
     return path

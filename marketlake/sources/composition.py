@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.functions import decimal_comma, spanish_number
+from marketlake.plans.joins import MAX_BROADCAST_ROWS
 from marketlake.schemas import COMPOSITION
 
 # Where the three kinds of composition files lie below the base folder.
@@ -71,11 +72,17 @@ def _dated_rows(spark: SparkSession, pattern: str) -> DataFrame | None:
 
 
 def _dated(spark: SparkSession, pattern: str, source: str) -> DataFrame:
-    """Rows of the accepted files. A file with an unreadable quantity is left out as a whole."""
+    """Rows of the accepted files. A file with an unreadable quantity is left out as a whole.
+
+    The list of such files cannot be longer than the listing, which tells whether it may be
+    broadcast.
+    """
     rows = _dated_rows(spark, pattern)
     if rows is None:
         return spark.createDataFrame([], COMPOSITION)
     unreadable = rows.filter("unreadable").select("file").distinct()
+    if len(rows.inputFiles()) <= MAX_BROADCAST_ROWS:
+        unreadable = F.broadcast(unreadable)
     return (
         rows.filter(F.col("digits") != "")
         .join(unreadable, "file", "left_anti")

@@ -34,39 +34,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line item as a trade. `size` ranks the trades of a day by turnover, then by quantity;
+    trades of the same size have the same price."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.col("l_shipdate").cast("date").alias("date"),
-        "l_orderkey",
+        (cents * 1000 + F.col("l_quantity").cast("bigint")).alias("size"),
         "l_linenumber",
-        "l_partkey",
         "l_quantity",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
     )
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    """One bar per ticker and day; first and last trade by a key without ties in the price."""
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "px")
+    """One bar per ticker and day: open and close are the prices of its smallest and largest trade.
+
+    Every buffer is a plain number, so the aggregate hashes, with map-side combine.
+    """
     return (
         trades(spark, sf)
         .groupBy("ticker", "date")
         .agg(
-            F.min(key).alias("first"),
+            F.min_by("px", "size").alias("open"),
             F.max("px").alias("high"),
             F.min("px").alias("low"),
-            F.max(key).alias("last"),
+            F.max_by("px", "size").alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
-        .select(
-            "date",
-            F.col("first.px").alias("open"),
-            "high",
-            "low",
-            F.col("last.px").alias("close"),
-            "volume",
-            "ticker",
-        )
+        .select("date", "open", "high", "low", "close", "volume", "ticker")
     )
 
 
@@ -188,12 +184,12 @@ def mixed_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 _CTE = {
     "trades": """
-        SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber,
-               l_partkey, l_quantity, l_extendedprice / l_quantity AS px
+        SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date,
+               CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 1000 + CAST(l_quantity AS BIGINT) AS size,
+               l_linenumber, l_quantity, l_extendedprice / l_quantity AS px
         FROM lineitem""",
     "ohlcv": """
-        SELECT date, min_by(px, row(l_orderkey, l_linenumber, l_partkey, px)) AS open, max(px) AS high,
-               min(px) AS low, max_by(px, row(l_orderkey, l_linenumber, l_partkey, px)) AS close,
+        SELECT date, min_by(px, size) AS open, max(px) AS high, min(px) AS low, max_by(px, size) AS close,
                sum(l_quantity) AS volume, ticker
         FROM trades GROUP BY ticker, date""",
     "composition": """
