@@ -185,10 +185,8 @@ def histogram(returns: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
             "total": F.count("ret").over(whole),
         }
     )
-    position = F.floor(ratio(F.col("ret") - F.col("low"), F.col("width")))
-    binned = placed.withColumn(
-        "bin", F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("int")
-    )
+    position = F.coalesce(F.floor(ratio(F.col("ret") - F.col("low"), F.col("width"))), F.lit(0))
+    binned = placed.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
     counted = binned.groupBy("ticker", "bin").agg(
         F.first("low").alias("low"),
         F.first("width").alias("width"),

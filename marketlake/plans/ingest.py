@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.operators.selection import date_range
+from marketlake.plans.scratch import checkpointed
 from marketlake.schemas import OHLCV
 from marketlake.sinks.tables import save_bars
 from marketlake.sources.responses import bars_from_responses, validated
@@ -57,18 +58,21 @@ def ingest(
     if responses.isEmpty():
         raise ValueError("no tickers requested")
     spark = responses.sparkSession
-    # Both counts stay tied to the files listed when they were opened, before and after the write.
     stored = stored_bars(spark, root, version)
+    # Two scans of one path are the same plan to Spark, so the count before the write is kept.
+    had = checkpointed(_rows_per_ticker(stored, "had"))
     bars = date_range(bars_from_responses(responses), date_from, date_to)
     fresh = new_bars(one_per_day(bars), stored, extend)
     save_bars(fresh, root, "raw", BARS, version, mode="append")
-    return _status(responses, stored, stored_bars(spark, root, version))
+    return _status(responses, had, _rows_per_ticker(stored_bars(spark, root, version), "has"))
 
 
-def _status(responses: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+def _rows_per_ticker(bars: DataFrame, name: str) -> DataFrame:
+    return bars.groupBy("ticker").agg(F.count(F.lit(1)).alias(name))
+
+
+def _status(responses: DataFrame, had: DataFrame, has: DataFrame) -> DataFrame:
     asked = validated(responses).groupBy("ticker").agg(F.bool_and("valid").alias("valid"))
-    had = before.groupBy("ticker").agg(F.count(F.lit(1)).alias("had"))
-    has = after.groupBy("ticker").agg(F.count(F.lit(1)).alias("has"))
     joined = asked.join(had, "ticker", "left").join(has, "ticker", "left")
     stored = F.coalesce("had", F.lit(0)) > 0
     rows = F.coalesce("has", F.lit(0)) - F.coalesce("had", F.lit(0))

@@ -469,7 +469,7 @@ def a12(spark, sf):
     "rets",
     """SELECT ticker, CAST(bin AS INTEGER) AS bin, round(low + bin * width, 4) AS bin_start, count(*) AS n,
               round(count(*) / (total * width), 6) AS density
-       FROM (SELECT *, coalesce(least(floor((ret - low) / nullif(width, 0)), 49), 0) AS bin
+       FROM (SELECT *, least(coalesce(floor((ret - low) / nullif(width, 0)), 0), 49) AS bin
              FROM (SELECT ticker, ret, min(ret) OVER t AS low,
                           (max(ret) OVER t - min(ret) OVER t) / 50 AS width, count(*) OVER t AS total
                    FROM rets WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY ticker)))
