@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.sources.events import macro_events_table, splits_table
@@ -33,12 +33,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
-    """Each line item as a trade. `size` ranks the trades of a day by turnover, then by quantity;
-    trades of the same size have the same price."""
+def _ticker(supplier: Column) -> Column:
+    return F.concat(F.lit("S"), supplier.cast("string"))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     return table(spark, sf, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
+        "l_suppkey",
         F.col("l_shipdate").cast("date").alias("date"),
         (cents * 1000 + F.col("l_quantity").cast("bigint")).alias("size"),
         "l_linenumber",
@@ -47,14 +49,22 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line item as a trade. `size` ranks the trades of a day by turnover, then by quantity;
+    trades of the same size have the same price."""
+    lines = _lines(spark, sf)
+    return lines.select(_ticker(F.col("l_suppkey")).alias("ticker"), *lines.columns[1:])
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """One bar per ticker and day: open and close are the prices of its smallest and largest trade.
 
-    Every buffer is a plain number, so the aggregate hashes, with map-side combine.
+    Keys and buffers are plain numbers, so the aggregate hashes, with map-side combine; the
+    ticker's text is made after it.
     """
     return (
-        trades(spark, sf)
-        .groupBy("ticker", "date")
+        _lines(spark, sf)
+        .groupBy("l_suppkey", "date")
         .agg(
             F.min_by("px", "size").alias("open"),
             F.max("px").alias("high"),
@@ -62,7 +72,9 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
             F.max_by("px", "size").alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
-        .select("date", "open", "high", "low", "close", "volume", "ticker")
+        .select(
+            "date", "open", "high", "low", "close", "volume", _ticker(F.col("l_suppkey")).alias("ticker")
+        )
     )
 
 

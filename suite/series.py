@@ -264,7 +264,7 @@ def w5(spark, sf):
     "alerts",
     """SELECT a.instrument, a.date, g.rn - a.rn + least(a.rn - 1, 3) AS pos,
               strftime(g.date, '%d/%m/%Y') AS fecha, g.open, g.close,
-              round_even((g.close - g.prev_close) / g.prev_close * 100, 2) AS var_dia_pct,
+              round_even((g.close - g.prev_close) / g.prev_close * 100, 2) + 0.0::DOUBLE AS var_dia_pct,  -- no -0.0
               g.rn = a.rn AS is_event
        FROM alerts a JOIN gaps g ON g.instrument = a.instrument AND g.rn BETWEEN a.rn - 3 AND a.rn + 3""",
 )
