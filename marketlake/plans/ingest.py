@@ -50,7 +50,7 @@ def ingest(
 ) -> DataFrame:
     """Store the new bars of all requested tickers; returns (ticker, ok, rows, reason).
 
-    A ticker fails only on an invalid response. Stored tickers and empty responses succeed.
+    A ticker fails only on an invalid or unreadable response. Stored tickers and empty responses succeed.
     Should the write fail midway, running it again is safe: what was committed counts as stored.
     """
     if date_from > date_to:
@@ -72,7 +72,9 @@ def _rows_per_ticker(bars: DataFrame, name: str) -> DataFrame:
 
 
 def _status(responses: DataFrame, had: DataFrame, has: DataFrame) -> DataFrame:
-    asked = validated(responses).groupBy("ticker").agg(F.bool_and("valid").alias("valid"))
+    asked = validated(responses).groupBy("ticker").agg(
+        F.bool_and("valid").alias("valid"), F.bool_and("readable").alias("readable")
+    )
     joined = asked.join(had, "ticker", "left").join(has, "ticker", "left")
     stored = F.coalesce("had", F.lit(0)) > 0
     rows = F.coalesce("has", F.lit(0)) - F.coalesce("had", F.lit(0))
@@ -80,9 +82,10 @@ def _status(responses: DataFrame, had: DataFrame, has: DataFrame) -> DataFrame:
         F.when((rows > 0) & stored, "extended")
         .when(rows > 0, "written")
         .when(stored, "already stored")
-        .when(F.col("valid"), "no rows in range")
+        .when(F.col("readable"), "no rows in range")
+        .when(F.col("valid"), "unreadable record")
         .otherwise("invalid response")
     )
     return joined.select(
-        "ticker", (stored | F.col("valid")).alias("ok"), rows.alias("rows"), reason.alias("reason")
+        "ticker", (stored | F.col("readable")).alias("ok"), rows.alias("rows"), reason.alias("reason")
     )

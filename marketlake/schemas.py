@@ -59,7 +59,8 @@ DIRTY_DATA = T.StructType(
     ]
 )
 
-# One daily-bar response body of the market data service.
+# One daily-bar response body of the market data service. Record fields stay text until they are
+# cast, since numbers may arrive quoted.
 ENVELOPE = T.StructType(
     [
         T.StructField("nextTime", T.StringType()),
@@ -68,16 +69,7 @@ ENVELOPE = T.StructType(
             "series",
             T.ArrayType(
                 T.StructType(
-                    [
-                        T.StructField("c", T.DoubleType()),
-                        T.StructField("d", T.StringType()),
-                        T.StructField("h", T.DoubleType()),
-                        T.StructField("l", T.DoubleType()),
-                        T.StructField("o", T.DoubleType()),
-                        T.StructField("r", T.StringType()),
-                        T.StructField("sid", T.StringType()),
-                        T.StructField("v", T.DoubleType()),
-                    ]
+                    [T.StructField(k, T.StringType()) for k in ("c", "d", "h", "l", "o", "r", "sid", "v")]
                 )
             ),
         ),

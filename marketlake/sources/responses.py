@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.operators.selection import canonical_bars
@@ -14,18 +14,31 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).json(path)
 
 
+def _readable(record: Column) -> Column:
+    """Whether every date and number of a record can be parsed; missing ones are null, not bad."""
+    good = record["d"].isNull() | F.try_to_date(F.substring(record["d"], 1, 10), "yyyy-MM-dd").isNotNull()
+    for name in ("o", "h", "l", "c", "v"):
+        good = good & (record[name].isNull() | record[name].try_cast("double").isNotNull())
+    return good
+
+
 def validated(responses: DataFrame) -> DataFrame:
-    """Each response with its parsed envelope and whether it is valid.
+    """Each response with its parsed envelope, and whether it is valid and readable.
 
-    Valid is an object whose `series` is a list, empty or not; `noData` has no say in it.
+    Valid is an object whose `series` is a list, empty or not; `noData` has no say in it. A valid
+    response is readable if all of its records are, so that a bad one fails its ticker only.
     """
     parsed = F.from_json("body", ENVELOPE, {"mode": "PERMISSIVE"})
-    return responses.withColumn("envelope", parsed).withColumn(
-        "valid", F.col("envelope.series").isNotNull()
+    series = F.col("envelope.series")
+    return responses.withColumn("envelope", parsed).withColumns(
+        {
+            "valid": series.isNotNull(),
+            "readable": F.coalesce(F.forall(series, _readable), F.lit(False)),
+        }
     )
 
 
 def bars_from_responses(responses: DataFrame) -> DataFrame:
-    """Canonical bars of all valid responses; the ticker is the requested one."""
-    records = validated(responses).filter("valid").select("ticker", F.inline("envelope.series"))
+    """Canonical bars of all readable responses; the ticker is the requested one."""
+    records = validated(responses).filter("readable").select("ticker", F.inline("envelope.series"))
     return canonical_bars(records)

@@ -133,6 +133,9 @@ def bodies(spark):
         "EMPTY": json.dumps({"nextTime": None, "noData": False, "series": []}),
         "NODATA": json.dumps({"noData": True, "series": []}),
         "PARTIAL": json.dumps({"series": [{"c": 1.0, "d": "2024-01-02T00:00:00Z"}]}),
+        "QUOTED": json.dumps({"series": [{**RECORD, "c": "12.5"}]}),
+        "BADDATE": json.dumps({"series": [RECORD, {**RECORD, "d": "soon"}]}),
+        "BADNUMBER": json.dumps({"series": [{**RECORD, "v": "many"}]}),
         "NOSERIES": json.dumps({"noData": False}),
         "OBJECT": json.dumps({"series": {"c": 1}}),
         "NULL": "null",
@@ -144,7 +147,9 @@ def bodies(spark):
 
 def test_validation(bodies):
     valid = {r.ticker for r in validated(bodies).filter("valid").collect()}
-    assert valid == {"OK", "EMPTY", "NODATA", "PARTIAL"}
+    assert valid == {"OK", "EMPTY", "NODATA", "PARTIAL", "QUOTED", "BADDATE", "BADNUMBER"}
+    readable = {r.ticker for r in validated(bodies).filter("readable").collect()}
+    assert valid - readable == {"BADDATE", "BADNUMBER"}
 
 
 def test_bars_from_responses(bodies):
@@ -155,6 +160,8 @@ def test_bars_from_responses(bodies):
         ("2024-11-28", "940.0", "950.0", "937.0", "944.0", "10.0", "OK"),
     ]
     assert bars.filter("ticker = 'PARTIAL'").first().open is None
+    assert bars.filter("ticker = 'QUOTED'").first().close == 12.5
+    assert bars.filter("ticker like 'BAD%'").count() == 0
 
 
 def test_ingest_is_idempotent(spark, bodies, tmp_path):
@@ -162,13 +169,14 @@ def test_ingest_is_idempotent(spark, bodies, tmp_path):
     first = {r.ticker: (r.ok, r.rows, r.reason) for r in ingest(bodies, root, FROM, TO).collect()}
     assert first["OK"] == (True, 2, "written") and first["EMPTY"] == (True, 0, "no rows in range")
     assert first["LIST"] == (False, 0, "invalid response")
+    assert first["BADDATE"] == (False, 0, "unreadable record")
     again = {r.ticker: (r.ok, r.rows, r.reason) for r in ingest(bodies, root, FROM, TO).collect()}
-    assert again["OK"] == (True, 0, "already stored") and stored_bars(spark, root).count() == 3
+    assert again["OK"] == (True, 0, "already stored") and stored_bars(spark, root).count() == 4
     later = json.dumps({"series": [RECORD, {**RECORD, "d": "2024-11-29T00:00:00Z"}]})
     more = spark.createDataFrame([("OK", later)], "ticker string, body string")
     assert ingest(more, root, FROM, TO).first().reason == "already stored"
     assert tuple(ingest(more, root, FROM, TO, extend=True).first())[1:] == (True, 1, "extended")
-    assert stored_bars(spark, root).count() == 4
+    assert stored_bars(spark, root).count() == 5
 
 
 def test_ingest_checks_its_arguments(spark, bodies, tmp_path):
@@ -183,8 +191,8 @@ def test_stream_ingest(spark, bodies, tmp_path):
     for _ in range(2):
         bodies.write.mode("append").json(landing)
         ingest_available(spark, landing, root, str(tmp_path / "checkpoint")).awaitTermination()
-        assert stored_bars(spark, root).count() == 3
-    assert read_responses(spark, landing).count() == 18
+        assert stored_bars(spark, root).count() == 4
+    assert read_responses(spark, landing).count() == 24
 
 
 EVENTS = """
