@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as named by `spark.checkpoint.dir`.
 
-    A temporary local folder serves only sessions that run on this machine alone.
+    Where it is unset, the checkpoint folder of the context serves, and on a session that runs on
+    this machine alone a temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="marketlake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="marketlake-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
