@@ -75,7 +75,8 @@ def first_seen(sources: list[DataFrame]) -> DataFrame:
     )
 
 
-def _gap_columns(rows: DataFrame) -> DataFrame:
+def overnight_gaps(rows: DataFrame) -> DataFrame:
+    """Every row with the previous close and the change from it to the open, in percent."""
     prev = F.lag("close").over(by_date())
     return rows.withColumn("prev_close", prev).withColumn(
         "gap", ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")) * 100
@@ -102,7 +103,7 @@ def _alert_columns(gaps: DataFrame, threshold: float, *extra: str | Column) -> D
 
 def detect_gaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Opens that differ from the previous row's close by more than `threshold` percent."""
-    return _alert_columns(_gap_columns(rows), threshold)
+    return _alert_columns(overnight_gaps(rows), threshold)
 
 
 def detect_gaps_with_context(
@@ -110,7 +111,7 @@ def detect_gaps_with_context(
 ) -> DataFrame:
     """Alerts with the rows around them, `reach` to either side, as an array of records."""
     change = ratio(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100
-    dated = _gap_columns(rows).withColumn("_change", F.bround(change, 2))
+    dated = overnight_gaps(rows).withColumn("_change", F.bround(change, 2))
     record = F.struct("date", "open", "close", F.col("_change").alias("var_dia_pct"))
     around = F.collect_list(record).over(by_date().rowsBetween(-reach, reach))
     alerts = _alert_columns(dated.withColumn("_around", around), threshold, "_around")

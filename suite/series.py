@@ -387,7 +387,7 @@ def d3(spark, sf):
 def flagship(spark, sf):
     adjusted = adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark))
     rows = gaps.scan_rows(adjusted)
-    jumps = gaps._gap_columns(rows).filter(F.abs("gap") > gaps.THRESHOLD)
+    jumps = gaps.overnight_gaps(rows).filter(F.abs("gap") > gaps.THRESHOLD)
     found = jumps.groupBy(F.col("instrument").alias("ticker")).agg(
         F.count(F.lit(1)).alias("n_alerts"), F.max(F.abs("gap")).alias("largest")
     )
