@@ -202,15 +202,38 @@ def s15(spark, sf):
        FROM (VALUES (1), (3), (5)) AS v(h)""",
 )
 def s16(spark, sf):
+    root = _logged_runs(spark, sf)
+    return store.load_runs(spark, root, "naive").select(
+        "model_name",
+        F.variant_get("params", "$.horizon", "int").alias("horizon"),
+        F.round(F.variant_get("metrics", "$.mae", "double"), 4).alias("mae"),
+    )
+
+
+def _logged_runs(spark, sf):
+    """A run per horizon of the naive model, and one of another model."""
     root = scratch_path(spark, "runs")
     metrics = models.forecast_metrics(models.naive_forecasts(fx.bars(spark, sf)))
     for row in metrics.collect():  # one row per model and horizon
-        log_run(spark, root, row["model"], {"horizon": row["horizon"]}, {"mae": row["mae"], "rmse": row["rmse"]})
+        log_run(spark, root, row["model"], {"horizon": row["horizon"]}, {"n": row["n"], "mae": row["mae"]})
     log_run(spark, root, "other", {}, {})
-    return store.load_runs(spark, root, "naive").select(
+    return root
+
+
+@query(
+    "K7_log_run",
+    "trades",
+    """SELECT model_name, h AS horizon, CASE WHEN h IS NOT NULL THEN
+                (SELECT CAST(sum(greatest(n - h, 0)) AS BIGINT) FROM (SELECT count(DISTINCT date) AS n FROM trades GROUP BY ticker)) END AS n,
+              true AS has_id
+       FROM (VALUES ('naive', 1), ('naive', 3), ('naive', 5), ('other', NULL)) AS v(model_name, h)""",
+)
+def k7(spark, sf):
+    return store.load_runs(spark, _logged_runs(spark, sf)).select(
         "model_name",
         F.variant_get("params", "$.horizon", "int").alias("horizon"),
-        F.round(F.variant_get("metrics", "$.mae", "double"), 4).alias("mae"),
+        F.variant_get("metrics", "$.n", "bigint").alias("n"),
+        (F.length("run_id") > 0).alias("has_id"),
     )
 
 

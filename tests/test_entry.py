@@ -7,7 +7,7 @@ from marketlake.plans.scratch import checkpointed, scratch_path, scratch_root
 # The operator ids that a registered query must cover; S12 has no query.
 OPERATORS = (
     [f"S{i}" for i in range(1, 17) if i != 12]
-    + [f"K{i}" for i in range(1, 8) if i != 7]
+    + [f"K{i}" for i in range(1, 8)]
     + [f"P{i}" for i in range(1, 12)]
     + [f"J{i}" for i in range(1, 8)]
     + [f"A{i}" for i in range(1, 19)]
