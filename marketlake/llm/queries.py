@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import exact_dedup, mixing, substring_dedup
+from marketlake.llm import exact_dedup, minhash_dedup, mixing, substring_dedup, token_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,20 +24,54 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_codes.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_codes.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op6_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_minhash_dedup,
+        op3_substring_dedup,
+        op4_warc,
+        op5_token_codes,
+        op6_exact_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH rows AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size FROM pages
+        ),
+        ranked AS (
+            SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS other FROM rows
+        )
+        SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+            CASE WHEN other = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            nullif(other, page_id) AS refers_to
+        FROM ranked
+    """,
     "op6_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
