@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import exact_dedup, minhash_dedup, mixing, substring_dedup, token_codes, warc
+from marketlake.llm import exact_dedup, minhash_dedup, mixing, quality, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _remainder(of: int, value: int):
+    """Whether the CRC-32 of an id's text leaves `value`; false for null."""
+    return lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == value, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _remainder(5, 0)
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), held_out))
+    return _predicted(scored, held_out)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), _remainder(4, 2)
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), held_out))
+    return _predicted(scored, held_out)
+
+
+def _predicted(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -56,6 +82,8 @@ QUERIES: dict[str, Query] = {
         op4_warc,
         op5_token_codes,
         op6_exact_dedup,
+        op8_quality,
+        op9_toxicity,
     )
 }
 
