@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import exact_dedup, minhash_dedup, mixing, quality, substring_dedup, token_codes, toxicity, warc
+from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(scored, held_out)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _predicted(scored: DataFrame, held_out) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -84,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op6_exact_dedup,
         op8_quality,
         op9_toxicity,
+        op10_embedding_dedup,
     )
 }
 
