@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, substring_dedup, token_codes, toxicity, warc
+from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and a digest of the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), model)
+    decoded = sentencepiece_lattice.decode(encoded, model)
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def _remainder(of: int, value: int):
     """Whether the CRC-32 of an id's text leaves `value`; false for null."""
     return lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == value, F.lit(False))
 
 
+toxic_held_out = _remainder(4, 2)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), _remainder(5, 0)
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), held_out))
@@ -59,9 +70,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), _remainder(4, 2)
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), held_out))
-    return _predicted(scored, held_out)
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), toxic_held_out))
+    return _predicted(scored, toxic_held_out)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op4_warc,
         op5_token_codes,
         op6_exact_dedup,
+        op7_sentencepiece,
         op8_quality,
         op9_toxicity,
         op10_embedding_dedup,
