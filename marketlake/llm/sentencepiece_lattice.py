@@ -4,8 +4,10 @@ The text is prepared as the library does for a model without further rules: a bl
 run of blanks with the characters up to the next blank or line break; a line break is a unit of its own, as no piece
 crosses it. Spark takes each different unit once: explodes its substrings of up to the length of the longest
 piece, equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A
-character without a piece falls back to its UTF-8 bytes. Documents are dealt to blocks; each block asks for its
-different units, and gets their ids back.
+character without a piece falls back to its UTF-8 bytes.
+
+Documents are dealt to blocks, their texts packed with Zstandard. Each block asks for its different units, one row for each
+bucket of their hashes, and gets one row of ids back for each, in the order in which it asked.
 
 A path's cost is the sum of its pieces' costs. For a unigram model that is minus the score. A BPE model has no
 probabilities but ranks; by Zipf's law a piece of rank r costs ln r, and `PIECE` more for being a piece.
@@ -21,6 +23,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ BLANK = "▁"
 UNIT = 64
 #: Costs are whole numbers of thousandths. What each piece of a BPE model costs besides the logarithm of its rank.
 SCALE, PIECE = 1000, 6.0
+#: Bytes of text that a task packs at once; buckets for each shuffle partition, which keep the edges of one small.
+PACK, PARTS = 1 << 25, 8
 
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
@@ -68,32 +74,69 @@ def units(text: str | None) -> list[str]:
     return [u[i : i + UNIT] for u in found for i in range(0, len(u), UNIT)]
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different units of each block; a partition's blocks in turn."""
-    held: dict[int, set[str]] = {}
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of what a task has held: the ids of documents, the ends of their texts, the texts packed."""
+    held: dict[int, tuple[list, list[bytes]]] = {}
+    zstd, size, kind = zstandard.ZstdCompressor(level=3), 0, pa.int64()
 
     def flush() -> pa.RecordBatch:
-        block = np.repeat(np.array(list(held), np.int32), [len(s) for s in held.values()])
-        return pa.record_batch([pa.array(block), pa.array([u for s in held.values() for u in s], pa.string())], names=["block", "unit"])
+        ids = pa.array([d for d, _ in held.values()], pa.list_(kind))
+        ends = pa.array([np.cumsum([len(t) for t in x]).tolist() for _, x in held.values()], pa.list_(pa.int64()))
+        texts = pa.array([zstd.compress(b"".join(x)) for _, x in held.values()], pa.binary())
+        return pa.record_batch([pa.array(list(held), pa.int32()), ids, ends, texts], names=["block", "doc_ids", "ends", "texts"])
 
-    n = 0
     for b in batches:
-        for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
-            some = held.setdefault(block, set())
-            before = len(some)
-            some.update(units(text.as_py()))
-            n += len(some) - before
-            if n > 200_000:
+        kind = b.schema.field("doc_id").type
+        rows = zip(b.column("block").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True)
+        for block, doc_id, text in rows:
+            ids, texts = held.setdefault(block, ([], []))
+            ids.append(doc_id)
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1])
+            if size > PACK:
                 yield flush()
-                held, n = {}, 0
-    if n:
+                held, size = {}, 0
+    if held:
         yield flush()
 
 
+def _unpack(ends: list[int], packed: bytes) -> Iterator[str]:
+    data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, ends[-1])) if ends[-1] else b""
+    for begin, end in zip([0, *ends], ends):
+        yield data[begin:end].decode()
+
+
+def _shares(some: set[str], buckets: int) -> dict[int, list[str]]:
+    """The units by bucket, in order; a line break is known to all."""
+    out: dict[int, list[str]] = {}
+    for u in sorted(some):
+        if u != "\n":
+            out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
+    return out
+
+
+def _ask(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different units of each block, joined by line breaks, by bucket. A block is in one partition."""
+        held: dict[int, set[str]] = {}
+        for b in batches:
+            for block, ends, packed in zip(*(b.column(n).to_pylist() for n in ("block", "ends", "texts")), strict=True):
+                for text in _unpack(ends, packed):
+                    held.setdefault(block, set()).update(units(text))
+        for block, some in held.items():
+            shares = _shares(some, buckets)
+            yield pa.record_batch(
+                [pa.array([block] * len(shares), pa.int32()), pa.array(list(shares), pa.int32()), pa.array(["\n".join(x) for x in shares.values()], pa.string())],
+                names=["block", "bucket", "units"],
+            )
+
+    return run
+
+
 def lattice(asked: DataFrame, path: str) -> DataFrame:
-    """(unit, blocks, ids) of asked (block, unit): the cheapest path of each different unit.
+    """(bucket, unit, asked, ids) of asked (bucket, unit, ...): the cheapest path of each different unit; `asked` lists its rows.
 
-    Of paths of equal cost, that with the fewer ids, then with the smaller ids, wins.
+    A unit has one bucket. Of paths of equal cost, that with the fewer ids, then with the smaller ids, wins.
     """
     spark = asked.sparkSession
     table, _, first, byte_cost = pieces(path)
@@ -109,9 +152,10 @@ def lattice(asked: DataFrame, path: str) -> DataFrame:
             ),
         )
     )
-    words = asked.groupBy("unit").agg(F.collect_set("block").alias("blocks"))
-    cut = words.select("unit", "blocks", F.explode(spans).alias("span")).select(
-        "unit", "blocks", "span.begin", "span.end",
+    rest = [c for c in asked.columns if c not in ("bucket", "unit")]
+    words = asked.groupBy("bucket", "unit").agg(F.collect_list(F.struct(*rest)).alias("asked"))
+    cut = words.select("bucket", "unit", "asked", F.explode(spans).alias("span")).select(
+        "bucket", "unit", "asked", "span.begin", "span.end",
         F.col("unit").substr(F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin")).alias("piece"),
     )
     utf8 = F.hex(F.encode("piece", "UTF-8"))
@@ -129,10 +173,10 @@ def lattice(asked: DataFrame, path: str) -> DataFrame:
     edges = (
         cut.join(known, "piece", "left")
         .where("id is not null or end = begin + 1")
-        .groupBy("unit")
-        .agg(F.collect_list(edge).alias("edges"), F.first("blocks").alias("blocks"))
+        .groupBy("bucket", "unit")
+        .agg(F.collect_list(edge).alias("edges"), F.first("asked").alias("asked"))
     )
-    return edges.select("unit", "blocks", _cheapest(F.col("edges"), F.length("unit")).alias("ids"))
+    return edges.select("bucket", "unit", "asked", _cheapest(F.col("edges"), F.length("unit")).alias("ids"))
 
 
 def _cheapest(edges: Column, size: Column) -> Column:
@@ -155,25 +199,29 @@ def _cheapest(edges: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), start, extend, lambda paths: F.element_at(paths, -1)["ids"])
 
 
-def _assemble(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """The ids of a block's documents from those of its units."""
-    ids = found.column("ids").combine_chunks()
-    flat = np.asarray(ids.flatten()).astype("<i4")
-    ends = np.cumsum(np.asarray(ids.value_lengths()))
-    known = {}
-    at = 0
-    for unit, end in zip(found.column("unit").to_pylist(), ends.tolist(), strict=True):
-        known[unit] = flat[at:end].tobytes()
-        at = end
-    out = [np.frombuffer(b"".join(map(known.__getitem__, units(t.as_py()))), "<i4") for t in docs.column("text")]
-    counts = np.array([len(x) for x in out], np.int64)
-    lists = pa.LargeListArray.from_arrays(
-        pa.array(np.concatenate(([0], np.cumsum(counts)))), pa.array(np.concatenate(out) if out else np.empty(0, "<i4"))
-    )
-    return pa.table(
-        [docs.column("doc_id"), pa.array(counts), pa.array([zlib.crc32(x.tobytes()) for x in out], pa.int64()), lists.cast(pa.list_(pa.int32()))],
-        names=["doc_id", "n_pieces", "ids_crc32", "ids"],
-    )
+def _assemble(buckets: int, line_break: bytes):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        """The ids of a block's documents from those of its units."""
+        packed = list(zip(*(docs.column(n).to_pylist() for n in ("ends", "texts")), strict=True))
+        some: set[str] = set()
+        for row in packed:
+            for text in _unpack(*row):
+                some.update(units(text))
+        shares, known = _shares(some, buckets), {"\n": line_break}
+        for bucket, sizes, ids in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("ids"), strict=True):
+            flat, ends = np.asarray(ids.values).astype("<i4"), np.cumsum(np.asarray(sizes.values, np.int64)).tolist()
+            for unit, begin, end in zip(shares[bucket], [0, *ends], ends):
+                known[unit] = flat[begin:end].tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, units(t))), "<i4") for row in packed for t in _unpack(*row)]
+        counts = np.array([len(x) for x in out], np.int64)
+        lists = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(counts)))), pa.array(np.concatenate(out) if out else np.empty(0, "<i4"))
+        )
+        ids = docs.column("doc_ids").combine_chunks().flatten()
+        crc = pa.array([zlib.crc32(x.tobytes()) for x in out], pa.int64())
+        return pa.table([ids, pa.array(counts), crc, lists.cast(pa.list_(pa.int32()))], names=["doc_id", "n_pieces", "ids_crc32", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -183,14 +231,37 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     leave some thousand documents to each. Rows may repeat; other columns are not looked at.
     """
     n = shuffle_partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
-    rows = docs.select(block, "doc_id", "text").repartition(n, "block")
-    replies = lattice(rows.mapInArrow(_ask, "block int, unit string"), path).select(F.explode("blocks").alias("block"), "unit", "ids")
+    buckets = n * PARTS
     kind = docs.schema["doc_id"].dataType.simpleString()
+    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
+    rows = (
+        docs.select(block, "doc_id", "text")
+        .mapInArrow(_pack, f"block int, doc_ids array<{kind}>, ends array<long>, texts binary")
+        .repartition(n, "block")
+    )
+    asked = rows.mapInArrow(_ask(buckets), "block int, bucket int, units string").repartition(buckets, "bucket")
+    single = asked.select("block", "bucket", F.posexplode(F.split("units", "\n")).alias("place", "unit"))
+    table, _, first, _ = pieces(path)
+    short = max(max(i for _, i, _ in table), first + 255) < 1 << 15
+    answer = F.array_sort(F.collect_list(F.struct("place", "ids")))
+    replies = (
+        lattice(single, path)
+        .select("bucket", F.explode("asked").alias("to"), "ids")
+        .select("to.block", "bucket", "to.place", "ids")
+        .groupBy("bucket", "block")
+        .agg(answer.alias("answer"))
+        .select(
+            "block",
+            "bucket",
+            F.transform("answer", lambda x: F.size(x["ids"]).cast("smallint")).alias("sizes"),
+            F.flatten(F.transform("answer", lambda x: x["ids"])).cast("array<smallint>" if short else "array<int>").alias("ids"),
+        )
+    )
+    own = {p: i for p, i, _ in table}.get("\n", first + 10)
     return (
         rows.groupBy("block")
         .cogroup(replies.groupBy("block"))
-        .applyInArrow(_assemble, f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
+        .applyInArrow(_assemble(buckets, np.array([own], "<i4").tobytes()), f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
     )
 
 
