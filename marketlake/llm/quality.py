@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "quality",
     seen = {r["label"] for r in rows.select("label").distinct().collect()}
     if len(seen) < 2:
         return {"weights": np.zeros(1 << BITS, np.float32), "a": 0.0, "b": 30.0 if seen == {1} else -30.0 if seen else 0.0}
-    fitted = rows.groupBy(F.lit(1)).applyInPandas(_fitter, "model binary")
+    fitted = rows.groupBy().applyInPandas(_fitter, "model binary")
     return pickle.loads(fitted.first()["model"])
 
 

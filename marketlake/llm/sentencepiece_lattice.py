@@ -1,10 +1,11 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-The text is prepared as the library does for a model without further rules: a blank in front, blanks as U+2581. It falls into units: a
-run of blanks with the characters up to the next blank or line break; a line break is a unit of its own, as no piece
-crosses it. Spark takes each different unit once: explodes its substrings of up to the length of the longest
-piece, equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A
-character without a piece falls back to its UTF-8 bytes.
+The text is prepared as the library does for a model without further rules: a blank in front, blanks as U+2581. It falls
+into chunks, a run of blanks with the characters up to the next blank, and chunks into units, cut wherever no
+piece holds the two characters side by side: no piece crosses a cut, so the best path of a text is that of its units.
+Spark takes each different unit once: explodes its substrings of up to the length of the longest piece,
+equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A character
+without a piece falls back to its UTF-8 bytes.
 
 Documents are dealt to blocks, their texts packed with Zstandard. Each block asks for its different units, one row for each
 bucket of their hashes, and gets one row of ids back for each, in the order in which it asked.
@@ -33,45 +34,76 @@ from marketlake.llm._tables import shuffle_partitions
 BLANK = "▁"
 #: Characters of a unit at most; longer ones are cut.
 UNIT = 64
-#: Costs are whole numbers of thousandths. What each piece of a BPE model costs besides the logarithm of its rank.
-SCALE, PIECE = 1000, 6.0
+#: Costs are whole numbers of hundredths. What each piece of a BPE model costs besides the logarithm of its rank.
+SCALE, PIECE = 100, 6.0
 #: Bytes of text that a task packs at once; buckets for each shuffle partition, which keep the edges of one small.
 PACK, PARTS = 1 << 25, 8
-
-_UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
+# Bits of a place in a unit, of a number in the piece table, and of a path's cost.
+PLACE, NUMBER, COST = 7, 20, 28
+
+_CHUNK = re.compile("(?<=[^ ]) ")
+
+
+class Pieces:
+    """The piece table of a model: piece, cost, and ids; a character that only longer pieces hold stands for its bytes."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+        model, proto = SentencePieceProcessor(model_file=path), ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        bpe = proto.trainer_spec.model_type == 2
+        size = model.vocab_size()
+        self.byte = next(i for i in range(size) if model.is_byte(i))
+        plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        self.spelled = {i: model.id_to_piece(i).encode() for i in plain} | {self.byte + b: bytes([b]) for b in range(256)}
+        costs = [np.log(rank) + PIECE if bpe else -model.get_score(i) for rank, i in enumerate(plain, 1)]
+        lowest = min(0.0, min(costs))
+        self.table = [(model.id_to_piece(i), round((c - lowest) * SCALE), (i,)) for i, c in zip(plain, costs, strict=True)]
+        dear = max(c for _, c, _ in self.table) + SCALE
+        self.single = {p: ids for p, _, ids in self.table if len(p) == 1}
+        lost = sorted({c for p, _, _ in self.table for c in p} - self.single.keys())
+        self.table += [(c, dear * len(c.encode()), self.bytes_of(c)) for c in lost]
+        self.pairs = {p[i : i + 2] for p, _, _ in self.table for i in range(len(p) - 1)}
+        self.longest = max(len(p) for p, _, _ in self.table)
+
+    def bytes_of(self, character: str) -> tuple[int, ...]:
+        return tuple(self.byte + b for b in character.encode())
+
+    def units(self, chunk: str) -> list[str]:
+        """The units of a chunk, which has no U+2581 of its own in front."""
+        text = BLANK + chunk.replace(" ", BLANK)
+        out, first, pairs = [], 0, self.pairs
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs or i - first == UNIT:
+                out.append(text[first:i])
+                first = i
+        out.append(text[first:])
+        return out
+
+    def alone(self, unit: str) -> bytes | None:
+        """The ids of a unit of one character, which needs no lattice."""
+        if len(unit) == 1:
+            return np.array(self.single.get(unit) or self.bytes_of(unit), "<i4").tobytes()
+        return None
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str) -> tuple[list[tuple[str, int, int]], dict[int, bytes], int, int]:
-    """The piece table (piece, id, cost), the bytes of each id for decoding, the id of byte 0, and the cost of a byte."""
-    from sentencepiece import SentencePieceProcessor
-    from sentencepiece.sentencepiece_model_pb2 import ModelProto
-
-    model = SentencePieceProcessor(model_file=path)
-    proto = ModelProto()
-    with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
-    bpe = proto.trainer_spec.model_type == 2
-    first = next(i for i in range(model.vocab_size()) if model.is_byte(i))
-    table, spelled = [], {}
-    plain = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    for rank, i in enumerate(plain, 1):
-        piece = model.id_to_piece(i)
-        cost = np.log(rank) + PIECE if bpe else -model.get_score(i)
-        table.append((piece, i, round(float(cost) * SCALE)))
-        spelled[i] = piece.encode()
-    spelled |= {first + b: bytes([b]) for b in range(256)}
-    return table, spelled, first, max(c for _, _, c in table) + SCALE
-
-
-def units(text: str | None) -> list[str]:
-    """The units of a text; none of an empty one."""
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def chunks(text: str | None) -> list[str]:
+    """The chunks of a text, each without its first blank; none of an empty one."""
     if not text:
         return []
-    found = _UNITS.findall(BLANK + text.replace(" ", BLANK))
-    if max(map(len, found)) <= UNIT:
-        return found
-    return [u[i : i + UNIT] for u in found for i in range(0, len(u), UNIT)]
+    if "  " not in text and text[0] != " ":
+        return text.split(" ")
+    found = _CHUNK.split(" " + text)
+    found[0] = found[0][1:]
+    return found
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,120 +138,135 @@ def _unpack(ends: list[int], packed: bytes) -> Iterator[str]:
         yield data[begin:end].decode()
 
 
-def _shares(some: set[str], buckets: int) -> dict[int, list[str]]:
-    """The units by bucket, in order; a line break is known to all."""
+def _shares(some: set[str], known: Pieces, buckets: int) -> dict[int, list[str]]:
+    """The units of some chunks that need the lattice, by bucket, in order."""
+    every: set[str] = set()
+    for chunk in some:
+        every.update(known.units(chunk))
     out: dict[int, list[str]] = {}
-    for u in sorted(some):
-        if u != "\n":
+    for u in sorted(every):
+        if len(u) > 1:
             out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
     return out
 
 
-def _ask(buckets: int):
+def _ask(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different units of each block, joined by line breaks, by bucket. A block is in one partition."""
-        held: dict[int, set[str]] = {}
+        """The different units of each block, joined by line breaks, by bucket; the rows of a block follow one another."""
+        last, some = None, set()
+
+        def flush() -> pa.RecordBatch:
+            shares = _shares(some, shared.value, buckets)
+            texts = ["\n".join(x) for x in shares.values()]
+            columns = [pa.array([last] * len(shares), pa.int32()), pa.array(list(shares), pa.int32()), pa.array(texts, pa.string())]
+            return pa.record_batch(columns, names=["block", "bucket", "units"])
+
         for b in batches:
-            for block, ends, packed in zip(*(b.column(n).to_pylist() for n in ("block", "ends", "texts")), strict=True):
+            for k in range(b.num_rows):
+                block, ends, packed = (b.column(n)[k].as_py() for n in ("block", "ends", "texts"))
+                if block != last and some:
+                    yield flush()
+                    some = set()
+                last = block
                 for text in _unpack(ends, packed):
-                    held.setdefault(block, set()).update(units(text))
-        for block, some in held.items():
-            shares = _shares(some, buckets)
-            yield pa.record_batch(
-                [pa.array([block] * len(shares), pa.int32()), pa.array(list(shares), pa.int32()), pa.array(["\n".join(x) for x in shares.values()], pa.string())],
-                names=["block", "bucket", "units"],
-            )
+                    some.update(chunks(text))
+        if some:
+            yield flush()
 
     return run
 
 
-def lattice(asked: DataFrame, path: str) -> DataFrame:
-    """(bucket, unit, asked, ids) of asked (bucket, unit, ...): the cheapest path of each different unit; `asked` lists its rows.
+def lattice(asked: DataFrame, known: Pieces) -> DataFrame:
+    """(bucket, unit, asked, path) of asked (bucket, unit, asked): the cheapest path of each different unit, as places in the
+    piece table; `asked` lists the numbers of its rows. A unit has one bucket.
 
-    A unit has one bucket. Of paths of equal cost, that with the fewer ids, then with the smaller ids, wins.
+    Of paths of equal cost that with the fewest pieces wins, then that whose last piece is the first of the table.
     """
-    spark = asked.sparkSession
-    table, _, first, byte_cost = pieces(path)
+    table = [(p, k, c) for k, (p, c, _) in enumerate(known.table)]
     # A vocabulary: a row for each piece of the model file.
-    known = F.broadcast(spark.createDataFrame(pd.DataFrame(table, columns=["piece", "id", "cost"]), "piece string, id int, cost int"))
-    longest = max(len(p) for p, _, _ in table)
-    size = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), size - i)), lambda n: F.struct(i.alias("begin"), (i + n).alias("end"))
-            ),
-        )
-    )
-    rest = [c for c in asked.columns if c not in ("bucket", "unit")]
-    words = asked.groupBy("bucket", "unit").agg(F.collect_list(F.struct(*rest)).alias("asked"))
-    cut = words.select("bucket", "unit", "asked", F.explode(spans).alias("span")).select(
-        "bucket", "unit", "asked", "span.begin", "span.end",
-        F.col("unit").substr(F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin")).alias("piece"),
-    )
-    utf8 = F.hex(F.encode("piece", "UTF-8"))
-    n_bytes = F.octet_length("piece")
-    spelled = F.transform(
-        F.sequence(F.lit(1), n_bytes),
-        lambda k: (F.conv(F.substr(utf8, k * 2 - 1, F.lit(2)), 16, 10).cast("int") + first).cast("int"),
-    )
-    edge = F.struct(
-        "begin",
-        "end",
-        F.when(F.col("id").isNull(), n_bytes * byte_cost).otherwise(F.col("cost")).cast("long").alias("cost"),
-        F.when(F.col("id").isNull(), spelled).otherwise(F.array("id")).alias("ids"),
+    frame = asked.sparkSession.createDataFrame(pd.DataFrame(table, columns=["piece", "number", "cost"]), "piece string, number long, cost long")
+    size, longest = F.length("unit"), F.lit(known.longest)
+    words = asked.groupBy("bucket", "unit").agg(F.collect_list("asked").alias("asked"))
+    spans = words.select("bucket", "unit", "asked", F.explode(F.sequence(F.lit(0), size * longest - 1)).alias("span")).select(
+        "bucket", "unit", "asked", F.expr(f"span div {known.longest}").cast("int").alias("begin"), (F.col("span") % longest + 1).alias("n")
     )
+    cut = spans.where(F.col("begin") + F.col("n") <= size).withColumn("piece", F.col("unit").substr(F.col("begin") + 1, F.col("n")))
+    # End, cost, number and beginning of an edge in one number, so that edges sort by their ends.
+    edge = (((F.col("begin") + F.col("n")).cast("long") * (1 << COST) + F.col("cost")) * (1 << NUMBER) + F.col("number")) * (1 << PLACE) + F.col("begin")
     edges = (
-        cut.join(known, "piece", "left")
-        .where("id is not null or end = begin + 1")
+        cut.join(F.broadcast(frame), "piece")
+        .select("bucket", "unit", "asked", edge.alias("edge"))
         .groupBy("bucket", "unit")
-        .agg(F.collect_list(edge).alias("edges"), F.first("asked").alias("asked"))
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("asked").alias("asked"))
     )
-    return edges.select("bucket", "unit", "asked", _cheapest(F.col("edges"), F.length("unit")).alias("ids"))
+    return edges.select("bucket", "unit", "asked", _cheapest(F.col("edges")).alias("path"))
 
 
-def _cheapest(edges: Column, size: Column) -> Column:
-    """Viterbi: the best paths to each place, one place after another; each is (cost, number of ids, ids)."""
-    start = F.array(F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids")))
+def _bits(x: Column, low: int, n: int) -> Column:
+    return F.shiftright(x, low).bitwiseAND((1 << n) - 1)
 
-    def extend(paths: Column, end: Column) -> Column:
-        here = F.filter(edges, lambda e: e["end"] == end)
 
-        def join(e: Column) -> Column:
-            before = F.get(paths, e["begin"])
-            return F.struct(
-                (before["cost"] + e["cost"]).alias("cost"),
-                (before["n"] + F.size(e["ids"])).alias("n"),
-                F.concat(before["ids"], e["ids"]).alias("ids"),
-            )
+def _cheapest(edges: Column) -> Column:
+    """Viterbi over edges in order of their ends: the best path to each place, then the way back from the last.
 
-        return F.array_append(paths, F.array_min(F.transform(here, join)))
+    A path is one number too: its cost, how many pieces it has, the last one, and where that begins.
+    """
+    count = NUMBER + PLACE
+
+    def extend(paths: Column, edge: Column) -> Column:
+        before = F.get(paths, _bits(edge, 0, PLACE).cast("int"))
+        cost = F.shiftright(before, count + PLACE) + _bits(edge, count, COST)
+        path = F.shiftleft(F.shiftleft(cost, PLACE) + _bits(before, count, PLACE) + 1, count) + _bits(edge, 0, count)
+        return F.when(F.shiftright(edge, count + COST) == F.size(paths), F.array_append(paths, path)).otherwise(
+            F.concat(F.slice(paths, 1, F.size(paths) - 1), F.array(F.least(F.element_at(paths, -1), path)))
+        )
 
-    return F.aggregate(F.sequence(F.lit(1), size), start, extend, lambda paths: F.element_at(paths, -1)["ids"])
+    def back(way: Column, _: Column) -> Column:
+        path = F.get(way["paths"], way["place"])
+        return F.struct(
+            way["paths"].alias("paths"),
+            _bits(path, 0, PLACE).cast("int").alias("place"),
+            F.concat(F.array(_bits(path, PLACE, NUMBER).cast("int")), way["numbers"]).alias("numbers"),
+        )
 
+    def trace(paths: Column) -> Column:
+        start = F.struct(paths.alias("paths"), (F.size(paths) - 1).alias("place"), F.array().cast("array<int>").alias("numbers"))
+        steps = F.sequence(F.lit(1), _bits(F.element_at(paths, -1), count, PLACE).cast("int"))
+        return F.aggregate(steps, start, back, lambda way: way["numbers"])
 
-def _assemble(buckets: int, line_break: bytes):
+    return F.aggregate(edges, F.array(F.lit(0).cast("long")), extend, trace)
+
+
+def _assemble(shared, buckets: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         """The ids of a block's documents from those of its units."""
-        packed = list(zip(*(docs.column(n).to_pylist() for n in ("ends", "texts")), strict=True))
+        known: Pieces = shared.value
+        numbers = [np.array(ids, "<i4").tobytes() for _, _, ids in known.table]
         some: set[str] = set()
-        for row in packed:
-            for text in _unpack(*row):
-                some.update(units(text))
-        shares, known = _shares(some, buckets), {"\n": line_break}
-        for bucket, sizes, ids in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("ids"), strict=True):
-            flat, ends = np.asarray(ids.values).astype("<i4"), np.cumsum(np.asarray(sizes.values, np.int64)).tolist()
-            for unit, begin, end in zip(shares[bucket], [0, *ends], ends):
-                known[unit] = flat[begin:end].tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, units(t))), "<i4") for row in packed for t in _unpack(*row)]
-        counts = np.array([len(x) for x in out], np.int64)
-        lists = pa.LargeListArray.from_arrays(
-            pa.array(np.concatenate(([0], np.cumsum(counts)))), pa.array(np.concatenate(out) if out else np.empty(0, "<i4"))
+        for k in range(len(docs)):
+            for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
+                some.update(chunks(text))
+        shares, unit_ids, of = _shares(some, known, buckets), {}, {}
+        for bucket, sizes, path in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("path"), strict=True):
+            flat, at = path.as_py(), 0
+            for unit, n in zip(shares[bucket], sizes.as_py(), strict=True):
+                unit_ids[unit] = b"".join([numbers[x] for x in flat[at : at + n]])
+                at += n
+        for chunk in some:
+            of[chunk] = b"".join([known.alone(u) or unit_ids[u] for u in known.units(chunk)])
+        ids, counts, crc = [], [], []
+        for k in range(len(docs)):
+            for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
+                data = b"".join(map(of.__getitem__, chunks(text)))
+                ids.append(data)
+                counts.append(len(data) // 4)
+                crc.append(zlib.crc32(data))
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))), values)
+        return pa.table(
+            [docs.column("doc_ids").combine_chunks().flatten(), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), lists.cast(pa.list_(pa.int32()))],
+            names=["doc_id", "n_pieces", "ids_crc32", "ids"],
         )
-        ids = docs.column("doc_ids").combine_chunks().flatten()
-        crc = pa.array([zlib.crc32(x.tobytes()) for x in out], pa.int64())
-        return pa.table([ids, pa.array(counts), crc, lists.cast(pa.list_(pa.int32()))], names=["doc_id", "n_pieces", "ids_crc32", "ids"])
 
     return run
 
@@ -230,8 +277,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids. `path` is read on the driver. Blocks follow `spark.sql.shuffle.partitions`: it should
     leave some thousand documents to each. Rows may repeat; other columns are not looked at.
     """
-    n = shuffle_partitions(docs.sparkSession)
-    buckets = n * PARTS
+    spark = docs.sparkSession
+    n, known = shuffle_partitions(spark), pieces(path)
+    shared, buckets = spark.sparkContext.broadcast(known), n * PARTS  # a vocabulary
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
     rows = (
@@ -239,29 +287,29 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         .mapInArrow(_pack, f"block int, doc_ids array<{kind}>, ends array<long>, texts binary")
         .repartition(n, "block")
     )
-    asked = rows.mapInArrow(_ask(buckets), "block int, bucket int, units string").repartition(buckets, "bucket")
-    single = asked.select("block", "bucket", F.posexplode(F.split("units", "\n")).alias("place", "unit"))
-    table, _, first, _ = pieces(path)
-    short = max(max(i for _, i, _ in table), first + 255) < 1 << 15
-    answer = F.array_sort(F.collect_list(F.struct("place", "ids")))
+    asked = (
+        rows.sortWithinPartitions("block")
+        .mapInArrow(_ask(shared, buckets), "block int, bucket int, units string")
+        .repartition(buckets, "bucket")
+        .select("block", "bucket", F.posexplode(F.split("units", "\n")).alias("place", "unit"))
+        .select("bucket", "unit", (F.shiftleft(F.col("block").cast("long"), 32) + F.col("place")).alias("asked"))
+    )
     replies = (
-        lattice(single, path)
-        .select("bucket", F.explode("asked").alias("to"), "ids")
-        .select("to.block", "bucket", "to.place", "ids")
-        .groupBy("bucket", "block")
-        .agg(answer.alias("answer"))
+        lattice(asked, known)
+        .select("bucket", F.explode("asked").alias("asked"), "path")
+        .groupBy("bucket", F.shiftright("asked", 32).cast("int").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("asked", "path"))).alias("answer"))
         .select(
             "block",
             "bucket",
-            F.transform("answer", lambda x: F.size(x["ids"]).cast("smallint")).alias("sizes"),
-            F.flatten(F.transform("answer", lambda x: x["ids"])).cast("array<smallint>" if short else "array<int>").alias("ids"),
+            F.transform("answer", lambda x: F.size(x["path"]).cast("tinyint")).alias("sizes"),
+            F.flatten(F.transform("answer", lambda x: x["path"])).cast(f"array<{'smallint' if len(known.table) < 1 << 15 else 'int'}>").alias("path"),
         )
     )
-    own = {p: i for p, i, _ in table}.get("\n", first + 10)
     return (
         rows.groupBy("block")
         .cogroup(replies.groupBy("block"))
-        .applyInArrow(_assemble(buckets, np.array([own], "<i4").tobytes()), f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
+        .applyInArrow(_assemble(shared, buckets), f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
     )
 
 
@@ -282,7 +330,7 @@ def _speller(shared):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of `encoded` with `text` in place of `ids`; a U+2581 in the source comes back as a blank."""
     spark: SparkSession = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(pieces(path)[1])  # a vocabulary
+    shared = spark.sparkContext.broadcast(pieces(path).spelled)  # a vocabulary
     rest = [f for f in encoded.schema.fields if f.name != "ids"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", text string"
     return encoded.mapInArrow(_speller(shared), schema)

@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic", sa
     rows = stored(rows.select("doc_id", "text", "label"), "toxic-sample")
     if rows.select("label").distinct().count() < 2:
         return None
-    return pickle.loads(rows.groupBy(F.lit(1)).applyInPandas(_fitter, "model binary").first()["model"])
+    return pickle.loads(rows.groupBy().applyInPandas(_fitter, "model binary").first()["model"])
 
 
 def _scorer(shared):
