@@ -22,7 +22,7 @@ from marketlake.llm._tables import stored
 from marketlake.llm._words import mix, split, text_groups
 
 #: Labelled rows that the model is fitted to, at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 BITS = 18
 #: Of the fit: smoothing of counts, weight of the hinge loss, passes, and share of the fitted weights against their mean.
 ALPHA, COST, PASSES, SHARE = 1.0, 0.1, 12, 0.75
@@ -118,7 +118,7 @@ def _collect(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     column, parts, counts = pa.array(texts, pa.large_binary()), [], []
     for i, j, data, offsets in text_groups(column):
         t, f = features(data, offsets)
-        parts.append(f)
+        parts.append(f.astype(np.int32))
         counts.append(np.bincount(t, minlength=j - i))
     return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
@@ -130,21 +130,17 @@ def _margin(features: np.ndarray, weights: np.ndarray) -> float:
 def _descend(ids, first, y, ratio, rows, seed: int) -> np.ndarray:
     """Dual coordinate descent for the squared norm plus hinge loss, over the scaled indicators of `rows`.
 
-    A row's indicators are scaled to length one. Classes weigh alike. Returns weights of the plain indicators.
+    A row's indicators are divided by the root of their number. Classes weigh alike. Returns weights of the plain indicators.
     """
     w, rng = np.zeros(1 << BITS), np.random.default_rng(seed)
     alpha = np.zeros(len(y))
     share = {s: len(rows) / (2.0 * max(1, int((y[rows] == s).sum()))) for s in (1.0, -1.0)}
-    scaled = {}
-    for i in rows:
-        f = ids[first[i] : first[i + 1]]
-        x = ratio[f] / np.sqrt(max(1, len(f)))
-        scaled[i] = f, x, max(float(x @ x), 1e-12)
     for _ in range(PASSES):
         for i in rng.permutation(rows):
-            f, x, norm = scaled[i]
+            f = ids[first[i] : first[i + 1]]
+            x = ratio[f] / np.sqrt(max(1, len(f)))
             gradient = y[i] * float(w[f] @ x) - 1.0
-            new = min(max(alpha[i] - gradient / norm, 0.0), COST * share[y[i]])
+            new = min(max(alpha[i] - gradient / max(float(x @ x), 1e-12), 0.0), COST * share[y[i]])
             if new != alpha[i]:
                 w[f] += (new - alpha[i]) * y[i] * x
                 alpha[i] = new

@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +37,9 @@ BLANK = "▁"
 UNIT = 64
 #: Costs are whole numbers of hundredths. What each piece of a BPE model costs besides the logarithm of its rank.
 SCALE, PIECE = 100, 6.0
-#: Bytes of text that a task packs at once; buckets for each shuffle partition, which keep the edges of one small.
-PACK, PARTS = 1 << 25, 8
+#: Bytes of text that a task packs at once; blocks for each shuffle partition, and buckets for each block, which keep the
+#: texts of one and the edges of the other small.
+PACK, BLOCKS, PARTS = 1 << 25, 2, 4
 # Bits of a place in a unit, of a number in the piece table, and of a path's cost.
 PLACE, NUMBER, COST = 7, 20, 28
 
@@ -66,28 +68,41 @@ class Pieces:
         self.single = {p: ids for p, _, ids in self.table if len(p) == 1}
         lost = sorted({c for p, _, _ in self.table for c in p} - self.single.keys())
         self.table += [(c, dear * len(c.encode()), self.bytes_of(c)) for c in lost]
-        self.pairs = {p[i : i + 2] for p, _, _ in self.table for i in range(len(p) - 1)}
+        # Numbers of the characters that pieces hold, 0 for all others, and which of them pieces hold side by side.
+        every = sorted({c for p, _, _ in self.table if len(p) > 1 for c in p})
+        self.letters = np.zeros(0x110000, np.uint16)
+        self.letters[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
+        self.side_by_side = np.zeros((len(every) + 1, len(every) + 1), bool)
+        for p, _, _ in self.table:
+            if len(p) > 1:
+                n = self.letters[[ord(c) for c in p]]
+                self.side_by_side[n[:-1], n[1:]] = True
         self.longest = max(len(p) for p, _, _ in self.table)
 
     def bytes_of(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte + b for b in character.encode())
 
-    def units(self, chunk: str) -> list[str]:
-        """The units of a chunk, which has no U+2581 of its own in front."""
-        text = BLANK + chunk.replace(" ", BLANK)
-        out, first, pairs = [], 0, self.pairs
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs or i - first == UNIT:
-                out.append(text[first:i])
-                first = i
-        out.append(text[first:])
-        return out
-
-    def alone(self, unit: str) -> bytes | None:
+    def units(self, some: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of chunks, which have no U+2581 of their own in front, one after another; how many each chunk has."""
+        if not some:
+            return [], np.empty(0, np.int64)
+        text = BLANK + BLANK.join(some).replace(" ", BLANK)
+        letters = self.letters[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        begin = np.cumsum([0] + [len(c) + 1 for c in some[:-1]])
+        cut = np.ones(len(text), bool)
+        cut[1:] = ~self.side_by_side[letters[:-1], letters[1:]]
+        cut[begin] = True
+        at = np.flatnonzero(cut)
+        size = np.diff(np.append(at, len(text)))
+        if size.max() > UNIT:
+            parts = -(-size // UNIT)
+            at = np.repeat(at, parts) + UNIT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        ends = np.append(at[1:], len(text)).tolist()
+        return [text[i:j] for i, j in zip(at.tolist(), ends)], np.diff(np.append(np.searchsorted(at, begin), len(at)))
+
+    def alone(self, character: str) -> bytes:
         """The ids of a unit of one character, which needs no lattice."""
-        if len(unit) == 1:
-            return np.array(self.single.get(unit) or self.bytes_of(unit), "<i4").tobytes()
-        return None
+        return np.array(self.single.get(character) or self.bytes_of(character), "<i4").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -138,15 +153,11 @@ def _unpack(ends: list[int], packed: bytes) -> Iterator[str]:
         yield data[begin:end].decode()
 
 
-def _shares(some: set[str], known: Pieces, buckets: int) -> dict[int, list[str]]:
-    """The units of some chunks that need the lattice, by bucket, in order."""
-    every: set[str] = set()
-    for chunk in some:
-        every.update(known.units(chunk))
+def _shares(every: list[str], buckets: int) -> dict[int, list[str]]:
+    """The units that need the lattice, by bucket, in order."""
     out: dict[int, list[str]] = {}
-    for u in sorted(every):
-        if len(u) > 1:
-            out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
+    for u in sorted({u for u in every if len(u) > 1}):
+        out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
     return out
 
 
@@ -156,7 +167,7 @@ def _ask(shared, buckets: int):
         last, some = None, set()
 
         def flush() -> pa.RecordBatch:
-            shares = _shares(some, shared.value, buckets)
+            shares = _shares(shared.value.units(list(some))[0], buckets)
             texts = ["\n".join(x) for x in shares.values()]
             columns = [pa.array([last] * len(shares), pa.int32()), pa.array(list(shares), pa.int32()), pa.array(texts, pa.string())]
             return pa.record_batch(columns, names=["block", "bucket", "units"])
@@ -246,14 +257,21 @@ def _assemble(shared, buckets: int):
         for k in range(len(docs)):
             for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
                 some.update(chunks(text))
-        shares, unit_ids, of = _shares(some, known, buckets), {}, {}
+        words = list(some)
+        every, counts = known.units(words)
+        shares, unit_ids = _shares(every, buckets), {}
         for bucket, sizes, path in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("path"), strict=True):
             flat, at = path.as_py(), 0
             for unit, n in zip(shares[bucket], sizes.as_py(), strict=True):
                 unit_ids[unit] = b"".join([numbers[x] for x in flat[at : at + n]])
                 at += n
-        for chunk in some:
-            of[chunk] = b"".join([known.alone(u) or unit_ids[u] for u in known.units(chunk)])
+        for u in every:
+            if len(u) == 1:
+                unit_ids[u] = known.alone(u)
+        of, ends = {}, np.cumsum(counts).tolist()
+        for chunk, begin, end in zip(words, [0, *ends], ends):
+            of[chunk] = unit_ids[every[begin]] if end == begin + 1 else b"".join([unit_ids[u] for u in every[begin:end]])
+        del some, words, every, shares, unit_ids
         ids, counts, crc = [], [], []
         for k in range(len(docs)):
             for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
@@ -275,10 +293,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and ids of every row of `docs` (doc_id, text).
 
     Null and empty texts have no ids. `path` is read on the driver. Blocks follow `spark.sql.shuffle.partitions`: it should
-    leave some thousand documents to each. Rows may repeat; other columns are not looked at.
+    leave a few thousand documents to each. Rows may repeat; other columns are not looked at.
     """
     spark = docs.sparkSession
-    n, known = shuffle_partitions(spark), pieces(path)
+    n, known = BLOCKS * shuffle_partitions(spark), pieces(path)
     shared, buckets = spark.sparkContext.broadcast(known), n * PARTS  # a vocabulary
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
@@ -316,11 +334,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def _speller(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = shared.value
+        table = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.large_binary())
         for b in batches:
             texts = []
-            for x in b.column("ids"):
-                text = b"".join(map(spelled.__getitem__, x.as_py() or ())).decode(errors="replace").replace(BLANK, " ")
-                texts.append(text[1:])
+            for i in range(0, b.num_rows, 256):
+                ids = b.column("ids")[i : i + 256]
+                whole = table.take(ids.flatten())
+                data, ends = b"".join(whole.to_pylist()), np.cumsum(np.asarray(pc.binary_length(whole)))
+                cuts = np.cumsum(np.asarray(pc.list_value_length(ids).fill_null(0)))
+                bounds = np.concatenate(([0], ends))[np.concatenate(([0], cuts))].tolist()
+                texts += [data[x:y].decode(errors="replace").replace(BLANK, " ")[1:] for x, y in zip(bounds, bounds[1:])]
             names = [n for n in b.schema.names if n != "ids"]
             yield pa.record_batch([*(b.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 

@@ -2,8 +2,8 @@
 
 A token's score is its log-odds of standing in a toxic rather than a clean text, with Dirichlet priors in two
 steps: all texts' rate is the prior of the rate of a token's beginning, which is the prior of the token's own. Less a drift, so
-that clean text scores negatively on average; a token that only repeats the one before it adds nothing. One linear scan finds all maximal scoring segments of a text (Ruzzo and
-Tompa): the passages no part of which can be cut off or added for a higher sum. The highest segment of a clean text
+that clean text scores negatively on average; a token that only repeats the one before it adds nothing. One linear scan
+finds all maximal scoring segments of a text (Ruzzo and Tompa): the passages no part of which can be cut off or added for a higher sum. The highest segment of a clean text
 follows an extreme-value law that moves with the logarithm of the number of tokens; fitted to clean texts, it turns
 each passage into a significance, and the significant passages of a text together into its score.
 """
@@ -23,7 +23,7 @@ from marketlake.llm._tables import stored
 from marketlake.llm._words import mix, split, text_groups
 
 #: Labelled rows that the model is fitted to, at most.
-SAMPLE = 16_000
+SAMPLE = 12_000
 BITS = 20
 #: Bytes of a token's beginning.
 STEM = 4
@@ -125,40 +125,37 @@ def _evidence(found: list[tuple[int, int, float]], n: int, law: dict) -> float:
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> dict:
-    """Scores of tokens from one half of the texts, law and calibration from the other; then scores from all."""
-    parts = [(np.diff(f), w, s) for f, w, s in (tokens(d, o) for _, _, d, o in text_groups(pa.array(texts, pa.large_binary())))]
-    first = np.concatenate(([0], np.cumsum(np.concatenate([p[0] for p in parts]))))
-    word, stem = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    toxic = labels > 0
-
-    def counted(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """How many clean and toxic texts hold each token."""
-        keep = rows[text]
-        pairs = np.unique(text[keep] << BITS | ids[keep])
-        of, what = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        return np.stack([np.bincount(what[toxic[of] == t], minlength=1 << BITS) for t in (False, True)]).astype(np.float64)
-
-    fold = np.arange(len(texts)) % 2
-    best, evidence = np.zeros(len(texts)), np.zeros(len(texts))
-    found: dict[int, list] = {}
-    n = np.diff(first)
-    for k in (0, 1):
-        rows = fold != k
-        base = toxic[rows].mean()
-        s = drifted(log_odds(counted(rows, word), counted(rows, stem), base, (word, stem)), first, word)
-        for i, segs in _groups(first, s):
-            if fold[i] == k:
-                found[i] = segs
-                best[i] = max((x for _, _, x in segs), default=0.0)
+    """Scores of tokens from one half of the texts, law and calibration from the other, in turn; then scores from all.
+
+    Texts are read twice, a group at a time, so that their tokens are never all in memory.
+    """
+    column, toxic, fold = pa.array(texts, pa.large_binary()), labels > 0, np.arange(len(texts)) % 2
+    # How many texts of each half and class hold a token, and a beginning.
+    counts, stems = np.zeros((2, 2, 2, 1 << BITS), np.float32)
+    for i, j, data, offsets in text_groups(column):
+        first, word, stem = tokens(data, offsets)
+        text = np.repeat(np.arange(j - i), np.diff(first))
+        for table, ids in ((counts, word), (stems, stem)):
+            pairs = np.unique(text << BITS | ids)
+            of, what = pairs >> BITS, pairs & ((1 << BITS) - 1)
+            np.add.at(table, (fold[i:j][of], toxic[i:j][of].astype(int), what), 1)
+    best, evidence, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    found: list[list] = [[] for _ in texts]
+    for i, j, data, offsets in text_groups(column):
+        first, word, stem = tokens(data, offsets)
+        n[i:j] = np.diff(first)
+        for k in (0, 1):
+            base = toxic[fold != k].mean()
+            s = drifted(log_odds(counts[1 - k], stems[1 - k], base, (word, stem)), first, word)
+            for x, segs in _groups(first, s):
+                if fold[i + x] == k:
+                    found[i + x] = segs
+                    best[i + x] = max((total for _, _, total in segs), default=0.0)
     law = fit_law(best[~toxic], n[~toxic])
     for i in range(len(texts)):
         evidence[i] = _evidence(found[i], n[i], law)
-    every = np.ones(len(texts), bool)
     a, b = _calibrate(evidence, toxic)
-    base = toxic.mean()
-    counts, stems = counted(every, word), counted(every, stem)
-    return {"counts": counts.astype(np.float32), "stems": stems.astype(np.float32), "base": base, "law": law, "a": a, "b": b}
+    return {"counts": counts.sum(axis=0), "stems": stems.sum(axis=0), "base": toxic.mean(), "law": law, "a": a, "b": b}
 
 
 def _calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
