@@ -79,6 +79,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(),
         name,
     )
+    mark = _mark(now)
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -92,18 +93,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .distinct()
         )
         after = stored(small, name)
-        same = after.groupBy().agg(F.count("*").alias("n"), F.sum(_mark("u", "v")).alias("s")).first()
-        were = now.groupBy().agg(F.count("*").alias("n"), F.sum(_mark("u", "v")).alias("s")).first()
-        now = after
-        if tuple(same) == tuple(were):
+        now, before, mark = after, mark, _mark(after)
+        if mark == before:
             break
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _mark(*columns: str) -> Column:
-    """A number for a row whose sum over rows tells two sets of rows apart."""
-    return F.xxhash64(*columns).cast("decimal(38,0)")
+def _mark(edges: DataFrame) -> tuple:
+    """Tells two sets of edges apart: how many there are, and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def words_of(text: Column) -> Column:

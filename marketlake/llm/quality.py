@@ -13,7 +13,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +162,9 @@ def _scale(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.0) / spread), float(theta[1])
 
 
-def _fitter(table: pd.DataFrame) -> pd.DataFrame:
+def _fitter(table):
+    import pandas as pd
+
     table = table.sort_values(["label", "doc_id"]).drop_duplicates("text")
     model = fit([t.encode() for t in table["text"]], table["label"].to_numpy())
     return pd.DataFrame({"model": [pickle.dumps(model)]})

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -195,7 +194,7 @@ def lattice(asked: DataFrame, known: Pieces) -> DataFrame:
     """
     table = [(p, k, c) for k, (p, c, _) in enumerate(known.table)]
     # A vocabulary: a row for each piece of the model file.
-    frame = asked.sparkSession.createDataFrame(pd.DataFrame(table, columns=["piece", "number", "cost"]), "piece string, number long, cost long")
+    frame = asked.sparkSession.createDataFrame(table, "piece string, number long, cost long")
     size, longest = F.length("unit"), F.lit(known.longest)
     words = asked.groupBy("bucket", "unit").agg(F.collect_list("asked").alias("asked"))
     spans = words.select("bucket", "unit", "asked", F.explode(F.sequence(F.lit(0), size * longest - 1)).alias("span")).select(
@@ -336,16 +335,17 @@ def _speller(shared):
         spelled = shared.value
         table = pa.array([spelled.get(i, b"") for i in range(max(spelled) + 1)], pa.large_binary())
         for b in batches:
-            texts = []
+            names = [n for n in b.schema.names if n != "ids"]
             for i in range(0, b.num_rows, 256):
-                ids = b.column("ids")[i : i + 256]
+                piece = b.slice(i, 256)
+                ids = piece.column("ids")
                 whole = table.take(ids.flatten())
-                data, ends = b"".join(whole.to_pylist()), np.cumsum(np.asarray(pc.binary_length(whole)))
+                data = memoryview(whole.buffers()[2] or b"")
+                ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1) if len(whole) else np.zeros(1, np.int64)
                 cuts = np.cumsum(np.asarray(pc.list_value_length(ids).fill_null(0)))
-                bounds = np.concatenate(([0], ends))[np.concatenate(([0], cuts))].tolist()
-                texts += [data[x:y].decode(errors="replace").replace(BLANK, " ")[1:] for x, y in zip(bounds, bounds[1:])]
-            names = [n for n in b.schema.names if n != "ids"]
-            yield pa.record_batch([*(b.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+                bounds = ends[np.concatenate(([0], cuts))].tolist()
+                texts = [str(data[x:y], "utf-8", "replace").replace(BLANK, " ")[1:] for x, y in zip(bounds, bounds[1:])]
+                yield pa.record_batch([*(piece.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
     return run
 

@@ -14,7 +14,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from marketlake.llm._tables import stored
 from marketlake.llm._words import mix, split, text_groups
 
-#: Labelled rows that the model is fitted to, at most.
+#: Labelled rows that the model is fitted to, at most; counts of them fit in 16 bits.
 SAMPLE = 12_000
 BITS = 20
 #: Bytes of a token's beginning.
@@ -55,8 +54,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def log_odds(counts: np.ndarray, stems: np.ndarray, base: float, prior_tokens: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Scores of tokens, given their counts and those of their beginnings (clean, toxic)."""
     word, stem = prior_tokens
-    rate = (stems[1, stem] + STEM_PRIOR * base) / (stems[0, stem] + stems[1, stem] + STEM_PRIOR)
-    rate = (counts[1, word] + TOKEN_PRIOR * rate) / (counts[0, word] + counts[1, word] + TOKEN_PRIOR)
+    clean, toxic = stems[:, stem].astype(np.float64)
+    rate = (toxic + STEM_PRIOR * base) / (clean + toxic + STEM_PRIOR)
+    clean, toxic = counts[:, word].astype(np.float64)
+    rate = (toxic + TOKEN_PRIOR * rate) / (clean + toxic + TOKEN_PRIOR)
     return np.log(rate / (1 - rate)) - np.log(base / (1 - base))
 
 
@@ -155,7 +156,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict:
     for i in range(len(texts)):
         evidence[i] = _evidence(found[i], n[i], law)
     a, b = _calibrate(evidence, toxic)
-    return {"counts": counts.sum(axis=0), "stems": stems.sum(axis=0), "base": toxic.mean(), "law": law, "a": a, "b": b}
+    return {"counts": counts.sum(axis=0).astype(np.uint16), "stems": stems.sum(axis=0).astype(np.uint16), "base": toxic.mean(), "law": law, "a": a, "b": b}
 
 
 def _calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -171,7 +172,9 @@ def _calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(a), float(np.log(0.3 / 0.7) - a * cut)
 
 
-def _fitter(table: pd.DataFrame) -> pd.DataFrame:
+def _fitter(table):
+    import pandas as pd
+
     table = table.sort_values(["label", "doc_id"]).drop_duplicates("text").reset_index(drop=True)
     table = table.sample(frac=1, random_state=0).reset_index(drop=True)
     model = fit([t.encode() for t in table["text"]], table["label"].to_numpy())
