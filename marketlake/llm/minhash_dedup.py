@@ -8,7 +8,7 @@ equal to their weighted Jaccard similarity. Points are made in order of time, al
 horizon after which every component is most likely filled; where one is not, the horizon doubles.
 
 Texts with equal multisets are one node. Nodes that agree in a whole band are candidates; a bucket of the band is never
-expanded into pairs: its members are first compared with its smallest node, and only members
+expanded into pairs: its members are first compared with its smallest node, then with a few others, and only members
 that are then still in different components are compared with each other, unless the triangle
 inequality of the Jaccard distance rules the link out. Candidates are verified on the whole multisets.
 """
@@ -30,6 +30,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 6
 #: Pairs of one node that share a copy of its text when they are verified.
 PER_COPY = 64
+#: Further hubs that a bucket tries before its components are compared with each other.
+TURNS = 2
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +211,13 @@ def _linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _open(placed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are in different components, with `component`."""
+    rows = placed.join(grouped, "node")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return rows.join(several.select("key"), "key")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """Every row of `docs` (doc_id, text, ...) as doc_id, class_id, kept.
 
@@ -224,11 +233,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         known.select("doc_id", "bag", "bag2", "n_shingles").distinct().join(bags, ["bag", "bag2", "n_shingles"]).select("doc_id", "node"),
         "near-members",
     )
-    keys = (
+    sized = (
         known.join(bags, (known["doc_id"] == bags["node"]) & (known["bag"] == bags["bag"]) & (known["bag2"] == bags["bag2"]))
-        .select("node", F.explode("bands").alias("key"))
-        .distinct()
+        .select("node", known["n_shingles"].alias("size"), F.explode("bands").alias("key"))
     )
+    keys = sized.groupBy("key", "node").agg(F.max("size").alias("size"), F.min("size").alias("least"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(keys.join(hubs, "key"), "near-buckets")
     stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -241,12 +250,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     nodes = buckets.select("node").distinct()
     grouped = stored(_linked(nodes, links), "near-groups")
     # What one comparison with the hub leaves open: members of different components of a bucket.
-    placed = buckets.join(grouped, "node").join(
-        measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity"), ["hub", "node"], "left"
-    )
-    placed = placed.where("node <> hub").select("key", "node", "component", (1 - F.col("similarity")).alias("far"))
-    split_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_rows = stored(placed.join(split_keys.select("key"), "key"), "near-open")
+    placed = buckets.join(
+        measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")), ["hub", "node"], "left"
+    ).withColumn("far", F.coalesce("far", F.lit(0.0)))
+    placed = stored(placed.select("key", "node", "size", "least", "far"), "near-placed")
+    for turn in range(TURNS):  # other hubs, each bucket its own
+        open_rows = _open(placed, grouped)
+        order = F.xxhash64("node", "key", F.lit(turn))
+        other = open_rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("other"))
+        more = (
+            open_rows.join(other, "key")
+            .where(F.col("component") != F.col("other.component"))
+            .select(F.col("other.node").alias("a"), F.col("node").alias("b"))
+            .distinct()
+        )
+        links = stored(
+            links.unionByName(compared(more, texts, size).where(F.col("similarity") >= threshold).select("a", "b")), "near-links"
+        )
+        grouped = stored(_linked(nodes, links), "near-groups")
+    open_rows = stored(_open(placed, grouped), "near-open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     rest = (
         x.join(
@@ -254,7 +276,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             (F.col("x.key") == F.col("y.key"))
             & (F.col("x.node") < F.col("y.node"))
             & (F.col("x.component") != F.col("y.component"))
-            & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9),
+            & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9)
+            # The smaller of two multisets is no less than `threshold` of the larger.
+            & (F.col("x.least") * threshold <= F.col("y.size"))
+            & (F.col("y.least") * threshold <= F.col("x.size")),
         )
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()

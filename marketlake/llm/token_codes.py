@@ -49,16 +49,32 @@ class Words(dict):
     as lower case, so most forms of a word share one entry.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        size = self.tokenizer.get_vocab_size()
+        # Whether an id ends a word.
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _plain(self, words: list[bytes]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, np.uint32).tobytes()
 
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, which the tokenizer does not cut, in one call for many."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                self._plain(some)
+                continue
+            data = ids.tobytes()
+            for w, x, y in zip(some, [0, *ends], ends):
+                self[w] = data[4 * x : 4 * y]
+
     def learn(self, words: set[bytes]) -> None:
         """Makes an entry for each of `words`."""
         if len(self) > self.most:
@@ -73,8 +89,9 @@ class Words(dict):
                 stems[w] = w.lower()
             else:
                 rest.append(w)
-        need = {*rest, *stems.values(), b".", b","}
-        self._plain([w for w in need if w not in self])
+        plain = [w for w in rest if not _letters(w)]
+        self._plain([w for w in {*plain, b".", b","} if w not in self])
+        self._letters([w for w in {*rest, *stems.values()}.difference(plain) if w not in self])
         for w, stem in stems.items():
             self[w] = self[stem] + self[w[-1:]] if w[-1:] in (b".", b",") else self[stem]
 
