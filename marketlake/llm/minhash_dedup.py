@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         known.select("doc_id", "bag", "bag2", "n_shingles").distinct().join(bags, ["bag", "bag2", "n_shingles"]).select("doc_id", "node"),
         "near-members",
     )
-    sized = (
-        known.join(bags, (known["doc_id"] == bags["node"]) & (known["bag"] == bags["bag"]) & (known["bag2"] == bags["bag2"]))
-        .select("node", known["n_shingles"].alias("size"), F.explode("bands").alias("key"))
+    first = bags.select(F.col("node").alias("doc_id"), "bag", "bag2", "n_shingles")
+    sized = known.join(first, ["doc_id", "bag", "bag2", "n_shingles"]).select(
+        F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key")
     )
     keys = sized.groupBy("key", "node").agg(F.max("size").alias("size"), F.min("size").alias("least"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
