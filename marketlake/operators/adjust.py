@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlake.plans.joins import is_small
 from marketlake.schemas import PRICE_COLUMNS
 
-# Beyond this many splits the bars are merged with them instead of a broadcast.
-MAX_BROADCAST_SPLITS = 10_000
-
 
 def split_intervals(splits: DataFrame, index_only: bool = False) -> DataFrame:
     """Disjoint date ranges per ticker with the factor that applies before each split.
 
     A row covers [valid_from, valid_to); valid_from is null for the oldest range. Factors
-    build up from the newest split backwards: 1 / (ratio * ratio * ...).
+    build up from the newest split backwards: 1 / (ratio * ratio * ...). A split without
+    ticker, date or ratio says nothing and is left out.
     """
+    splits = splits.dropna(subset=["ticker", "date", "ratio"])
     if index_only:
         splits = splits.filter("in_index")
     newest_first = W.partitionBy("ticker").orderBy(F.desc("date"))
@@ -35,12 +33,12 @@ def split_intervals(splits: DataFrame, index_only: bool = False) -> DataFrame:
 
 
 def factors_by_interval(bars: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Bars with the ratio of the interval they fall into; for a short list of splits.
+    """Bars with the ratio of the interval they fall into, by a join that Spark is free to choose.
 
-    The broadcast leaves the bars where they are. The intervals of a ticker are disjoint, so
-    a bar matches one of them at most.
+    The intervals of a ticker are disjoint, so a bar matches one of them at most. The result is that
+    of `factors_by_merge`.
     """
-    b, i = bars.alias("b"), F.broadcast(intervals).alias("i")
+    b, i = bars.alias("b"), intervals.alias("i")
     within = (
         (F.upper("b.ticker") == F.col("i.ticker"))
         & (F.col("b.date") < F.col("i.valid_to"))
@@ -50,29 +48,32 @@ def factors_by_interval(bars: DataFrame, intervals: DataFrame) -> DataFrame:
         "b.*", F.coalesce("i.ratio", F.lit(1.0)).alias("split_ratio")
     )
     touched = intervals.select(F.col("ticker").alias("_t")).distinct()
-    return priced.join(
-        F.broadcast(touched), F.upper(priced["ticker"]) == F.col("_t"), "left"
-    ).select("split_ratio", *bars.columns, F.col("_t").isNotNull().alias("split_adjusted"))
+    return priced.join(touched, F.upper(priced["ticker"]) == F.col("_t"), "left").select(
+        "split_ratio", *bars.columns, F.col("_t").isNotNull().alias("split_adjusted")
+    )
 
 
 def factors_by_merge(bars: DataFrame, intervals: DataFrame) -> DataFrame:
-    """The same result for any number of splits: one pass over bars and splits by date.
+    """Bars with the cumulative ratio of the splits after them: one pass over both by date.
 
     Going back in time per ticker, each bar keeps the ratio of the last split seen. On the day
-    of a split the bar comes first, as it is not scaled.
+    of a split the bar comes first, as it is not scaled. A bar without date is before no split and
+    keeps the ratio 1. Bars without ticker have no splits; they are spread over tasks by date.
     """
     marks = intervals.select(
         F.col("ticker").alias("_t"), F.col("valid_to").alias("date"), F.col("ratio").alias("_ratio")
     )
     tagged = bars.withColumns({"_t": F.upper("ticker"), "_bar": F.lit(True)})
     merged = tagged.unionByName(marks, allowMissingColumns=True)
-    back = W.partitionBy("_t").orderBy(F.desc("date"), F.desc_nulls_last("_bar"))
+    merged = merged.withColumn("_spread", F.when(F.col("_t").isNull(), F.xxhash64("date")))
+    ticker = W.partitionBy("_t", "_spread")
+    back = ticker.orderBy(F.desc("date"), F.desc_nulls_last("_bar"))
     last_split = F.last("_ratio", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
-    any_split = F.count("_ratio").over(W.partitionBy("_t")) > 0
+    any_split = F.count("_ratio").over(ticker) > 0
     return (
         merged.withColumns(
             {
-                "split_ratio": F.coalesce(last_split, F.lit(1.0)),
+                "split_ratio": F.when(F.col("date").isNull(), 1.0).otherwise(F.coalesce(last_split, F.lit(1.0))),
                 "split_adjusted": any_split,
             }
         )
@@ -86,7 +87,6 @@ def adjust_prices(
     splits: DataFrame,
     index_only: bool = True,
     volume_mode: str = "keep",
-    max_broadcast_splits: int = MAX_BROADCAST_SPLITS,
 ) -> DataFrame:
     """Bars with prices before each split scaled down, and a `split_adjusted` flag.
 
@@ -95,9 +95,7 @@ def adjust_prices(
     """
     if volume_mode not in ("keep", "multiply"):
         raise ValueError(f"unknown volume_mode {volume_mode!r}")
-    few = is_small(splits, max_broadcast_splits)
-    intervals = split_intervals(splits, index_only)
-    factored = (factors_by_interval if few else factors_by_merge)(bars, intervals)
+    factored = factors_by_merge(bars, split_intervals(splits, index_only))
     factor = 1 / F.col("split_ratio")
     columns = {c: F.col(c) * factor for c in PRICE_COLUMNS if c in bars.columns}
     if volume_mode == "multiply" and "volume" in bars.columns:
@@ -161,7 +159,11 @@ def null_dirty_values(bars: DataFrame, dirty: DataFrame) -> DataFrame:
     listed = dirty.groupBy(F.upper("ticker").alias("ticker"), "date").agg(
         F.array_sort(F.collect_set("field")).alias("dirty_fields")
     )
-    joined = bars.join(listed, ["ticker", "date"], "left")
+    joined = bars.alias("b").join(
+        listed.select(F.col("ticker").alias("_t"), F.col("date").alias("_d"), "dirty_fields"),
+        (F.upper("b.ticker") == F.col("_t")) & (F.col("b.date") == F.col("_d")),
+        "left",
+    ).select("b.*", "dirty_fields")
     patched = {
         c: F.when(~F.coalesce(F.array_contains("dirty_fields", c), F.lit(False)), F.col(c))
         for c in [*PRICE_COLUMNS, "volume"]
@@ -171,17 +173,20 @@ def null_dirty_values(bars: DataFrame, dirty: DataFrame) -> DataFrame:
 
 
 def out_of_range(bars: DataFrame, dirty: DataFrame) -> DataFrame:
-    """Listed values compared with the bars: is the stored value outside its expected range?"""
+    """Listed values compared with the bars: is the stored value outside its expected range?
+
+    A listed value without a bar stays, with null as the stored value and the answer.
+    """
     fields = F.create_map(
         *[x for c in [*PRICE_COLUMNS, "volume"] for x in (F.lit(c), F.col(f"b.{c}"))]
     )
     b, d = bars.alias("b"), dirty.alias("d")
-    on = (F.col("b.ticker") == F.upper("d.ticker")) & (F.col("b.date") == F.col("d.date"))
+    on = (F.upper("b.ticker") == F.upper("d.ticker")) & (F.col("b.date") == F.col("d.date"))
     stored = F.element_at(fields, F.col("d.field"))
     low, high = F.get("d.expected_range", F.lit(0)), F.get("d.expected_range", F.lit(1))
-    return d.join(b, on).select(
-        "b.ticker",
-        "b.date",
+    return d.join(b, on, "left").select(
+        F.upper("d.ticker").alias("ticker"),
+        "d.date",
         "d.field",
         stored.alias("stored"),
         ((stored < low) | (stored > high)).alias("out_of_range"),

@@ -11,9 +11,6 @@ from marketlake.functions import business_days
 from marketlake.operators.returns import by_date
 from marketlake.plans.joins import join_by_date
 
-# The years of the coverage matrix.
-COVERAGE_YEARS = range(2018, 2027)
-
 
 def ticker_stats(bars: DataFrame) -> DataFrame:
     """Rows, date range, expected Monday-to-Friday days in it and how many of those lack a bar."""
@@ -35,17 +32,20 @@ def ticker_stats(bars: DataFrame) -> DataFrame:
 
 
 def coverage_matrix(
-    bars: DataFrame, years: range = COVERAGE_YEARS, tickers: DataFrame | None = None
+    bars: DataFrame, years: range | None = None, tickers: DataFrame | None = None
 ) -> DataFrame:
     """Rows per ticker and year in percent of that year's largest count, one decimal.
 
     `tickers` may name tickers without any bars; they get zeros. Each ticker is expanded by the
-    fixed list of years, and the yearly maxima are one row per year.
+    list of years, those with bars unless `years` are given, and the yearly maxima are one row per year.
     """
     by_year = bars.groupBy("ticker", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     peaks = by_year.groupBy("year").agg(F.max("n").alias("peak"))
     named = bars.select("ticker") if tickers is None else tickers.select("ticker")
-    span = F.array(*[F.lit(y) for y in years])
+    if years is None:
+        span = peaks.filter("year IS NOT NULL").agg(F.array_sort(F.collect_list("year")).alias("years")).scalar()
+    else:
+        span = F.array(*[F.lit(y) for y in years])
     grid = named.distinct().withColumn("year", F.explode(span))
     joined = join_by_date(grid.join(by_year, ["ticker", "year"], "left"), peaks, on="year")
     share = F.coalesce("n", F.lit(0)) / F.coalesce("peak", F.lit(1)) * 100

@@ -40,19 +40,13 @@ def return_pairs(bars: DataFrame) -> DataFrame:
 
 
 def aligned_returns(bars: DataFrame, min_rows: int = 10) -> DataFrame:
-    """Returns of every ticker on the union of all dates, null where it has none.
+    """Returns by ticker and date, of tickers with at least `min_rows` rows.
 
-    Long form of the wide frame, so the number of tickers is not limited. Tickers with fewer
-    than `min_rows` rows are left out, as are dates on which no ticker has a return. Each
-    ticker is expanded by the list of dates, which the calendar bounds.
+    The long form of the wide frame: a cell without a return is a row that is not there, so neither the
+    number of tickers nor their different histories add to it. `wide_returns` gives chosen
+    tickers as columns.
     """
-    # Filtered here as the join would, so that its side and the list of dates share one shuffle.
-    bars = bars.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
-    returns = _returns_with_history(bars, min_rows)
-    dates = returns.agg(F.array_sort(F.collect_set("date")).alias("dates")).scalar()
-    kept = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
-    grid = kept.select("ticker", F.explode(dates).alias("date"))
-    return grid.join(returns, ["ticker", "date"], "left")
+    return _returns_with_history(bars.dropna(subset=["ticker", "date"]), min_rows)
 
 
 def wide_returns(bars: DataFrame, tickers: list[str], min_rows: int = 10) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marketlake.operators.adjust import adjust_prices
 from marketlake.plans.ingest import BARS
 from marketlake.schemas import OHLCV, OHLCV_COLUMNS
+from marketlake.plans.scratch import scratch_path
 from marketlake.sinks.tables import save_bars
-from marketlake.sources.store import load_table
+from marketlake.sources.store import load_table, table_exists
 
 
 def adjust_all(
@@ -22,21 +23,31 @@ def adjust_all(
     """Write the processed layer and return (ticker, ok, rows, reason).
 
     Every split applies and volume is multiplied; tickers without splits are copied. A requested
-    ticker without raw bars fails.
+    ticker without raw bars fails. With `tickers` given, in any case, the processed bars of all other tickers stay:
+    old and new ones are first written to the scratch folder, and from there over the table.
     """
     raw = load_table(spark, root, "raw", BARS, version, OHLCV)
     if tickers is not None:
         wanted = tickers.select(F.upper("ticker").alias("ticker")).distinct()
-        raw = raw.join(wanted, "ticker", "left_semi")
+        raw = _of(raw, wanted, "left_semi")
     adjusted = adjust_prices(raw, splits, index_only=False, volume_mode="multiply")
-    save_bars(adjusted.select(*OHLCV_COLUMNS), root, "processed", BARS, version)
+    adjusted = adjusted.select(*OHLCV_COLUMNS)
+    if tickers is not None and table_exists(spark, root, "processed", BARS, version):
+        others = _of(load_table(spark, root, "processed", BARS, version, OHLCV), wanted, "left_anti")
+        whole = scratch_path(spark, "adjusted")
+        adjusted.unionByName(others.select(*OHLCV_COLUMNS)).write.parquet(whole)
+        adjusted = spark.read.schema(OHLCV).parquet(whole)
+    save_bars(adjusted, root, "processed", BARS, version)
     written = (
         load_table(spark, root, "processed", BARS, version, OHLCV)
         .groupBy("ticker")
         .agg(F.count(F.lit(1)).alias("written"))
     )
-    asked = written.select("ticker") if tickers is None else wanted
-    joined = asked.join(written, "ticker", "left")
+    if tickers is None:
+        joined = written
+    else:
+        totals = written.groupBy(F.upper("ticker").alias("ticker")).agg(F.sum("written").alias("written"))
+        joined = wanted.join(totals, "ticker", "left")
     rows = F.coalesce("written", F.lit(0))
     return joined.select(
         "ticker",
@@ -44,3 +55,9 @@ def adjust_all(
         rows.alias("rows"),
         F.when(rows > 0, "written").otherwise("no raw bars").alias("reason"),
     )
+
+
+def _of(bars: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """The bars of the wanted tickers (left_semi) or of all others (left_anti)."""
+    names = wanted.select(F.col("ticker").alias("_wanted"))
+    return bars.join(names, F.upper(bars["ticker"]) == F.col("_wanted"), how)

@@ -25,13 +25,15 @@ def stored_bars(spark: SparkSession, root: str, version: str = "v1") -> DataFram
         return spark.createDataFrame([], OHLCV)
 
 
-def new_bars(incoming: DataFrame, stored: DataFrame, extend: bool = False) -> DataFrame:
-    """Incoming bars that are not stored yet.
+def new_bars(incoming: DataFrame, stored: DataFrame, extend: bool = True) -> DataFrame:
+    """Incoming bars that are not stored yet, by ticker and date.
 
-    A stored ticker is complete and gets nothing new, unless `extend` asks for its missing dates.
+    Without `extend`, a ticker of which anything is stored counts as complete and gets nothing new.
+    Of the stored bars only those of incoming tickers are looked at.
     """
     keys = ["ticker", "date"] if extend else ["ticker"]
-    return incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
+    theirs = stored.join(incoming.select("ticker").distinct(), "ticker", "left_semi")
+    return incoming.join(theirs.select(*keys).distinct(), keys, "left_anti")
 
 
 def one_per_day(bars: DataFrame) -> DataFrame:
@@ -46,12 +48,13 @@ def ingest(
     date_from: datetime.date,
     date_to: datetime.date,
     version: str = "v1",
-    extend: bool = False,
+    extend: bool = True,
 ) -> DataFrame:
     """Store the new bars of all requested tickers; returns (ticker, ok, rows, reason).
 
     A ticker fails only on an invalid or unreadable response. Stored tickers and empty responses succeed.
-    Should the write fail midway, running it again is safe: what was committed counts as stored.
+    Should the write fail midway, running it again completes it: the dates that are missing are added. With
+    `extend` false a ticker of which anything is stored is left as it is.
     """
     if date_from > date_to:
         raise ValueError(f"date_from {date_from} is after date_to {date_to}")

@@ -1,12 +1,8 @@
 """Joining facts to small tables without shuffling the facts.
 
-A broadcast needs a bound on its size. Two kinds qualify:
-
-* tables with one row per calendar date (or month, quarter, year). The DATE type has 3.65
-  million days between the years 1 and 9999, so a few doubles per date stay below 100 MB
-  whatever the number of facts; a real market history has some ten thousand days.
-* tables whose rows were counted and found few. Beyond the limit Spark's own choice of
-  join applies, with its skew handling.
+A broadcast needs a bound on its size. Tables with one row per calendar date (or month, quarter, year) have one:
+the DATE type has 3.65 million days between the years 1 and 9999, so a few doubles per date stay below 100 MB
+whatever the number of facts; a real market history has some ten thousand days. Other joins are left to Spark.
 """
 
 from __future__ import annotations
@@ -14,19 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 500_000
-
-
 def join_by_date(facts: DataFrame, per_date: DataFrame, on: str = "date", how: str = "left") -> DataFrame:
-    """Join to a table holding one row per date; a hot date costs no shuffle."""
+    """Join to a table holding one row per date or year; a hot date costs no shuffle."""
+    kind = per_date.schema[on].dataType.typeName()
+    if kind not in ("date", "integer"):
+        raise TypeError(f"{on} must be a DATE or a year, not {kind}: the calendar would not bound the broadcast")
     return facts.join(F.broadcast(per_date), on, how)
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether `df` holds at most `max_rows` rows; the count stops one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it is small, else as it is."""
-    return F.broadcast(df) if is_small(df, max_rows) else df

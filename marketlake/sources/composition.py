@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.functions import decimal_comma, spanish_number
-from marketlake.plans.joins import MAX_BROADCAST_ROWS
 from marketlake.schemas import COMPOSITION
 
 # Where the three kinds of composition files lie below the base folder.
@@ -72,17 +71,11 @@ def _dated_rows(spark: SparkSession, pattern: str) -> DataFrame | None:
 
 
 def _dated(spark: SparkSession, pattern: str, source: str) -> DataFrame:
-    """Rows of the accepted files. A file with an unreadable quantity is left out as a whole.
-
-    The list of such files cannot be longer than the listing, which tells whether it may be
-    broadcast.
-    """
+    """Rows of the accepted files. A file with an unreadable quantity is left out as a whole."""
     rows = _dated_rows(spark, pattern)
     if rows is None:
         return spark.createDataFrame([], COMPOSITION)
     unreadable = rows.filter("unreadable").select("file").distinct()
-    if len(rows.inputFiles()) <= MAX_BROADCAST_ROWS:
-        unreadable = F.broadcast(unreadable)
     return (
         rows.filter(F.col("digits") != "")
         .join(unreadable, "file", "left_anti")
@@ -109,14 +102,15 @@ def rejected_files(spark: SparkSession, base: str, source: str) -> DataFrame:
 
 
 def load_composition(spark: SparkSession, base: str, source: str) -> DataFrame:
-    loaders = {
-        "historica": load_historical,
-        "proyectada": load_projected,
-        "vigente": load_current,
-    }
-    if source not in loaders:
-        raise ValueError(f"unknown source {source!r}, choose from {list(loaders)}")
-    return loaders[source](spark, base)
+    """The composition of one kind: historica, proyectada or vigente."""
+    match source:
+        case "historica":
+            return load_historical(spark, base)
+        case "proyectada":
+            return load_projected(spark, base)
+        case "vigente":
+            return load_current(spark, base)
+    raise ValueError(f"no composition is called {source!r}")
 
 
 def load_spot(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def ingest_available(
     def store(batch: DataFrame, _: int) -> None:
         bars = one_per_day(bars_from_responses(batch))
         stored = stored_bars(batch.sparkSession, root, version)
-        save_bars(new_bars(bars, stored, extend=True), root, "raw", BARS, version, mode="append")
+        save_bars(new_bars(bars, stored), root, "raw", BARS, version, mode="append")
 
     landed = spark.readStream.schema(RESPONSES).json(landing)
     return (

@@ -13,19 +13,21 @@ RANGE_FROM, RANGE_TO = datetime.date(1997, 3, 1), datetime.date(1999, 9, 30)
 AS_OF = datetime.date(2001, 6, 30)
 TARGET = datetime.date(1999, 5, 17)
 
-# The hand-kept lists.
+# Lists made up for the suite.
 SPLITS = [
-    ("S1", "1998-08-05", 1.7, True),
-    ("S1", "2000-08-13", 2.2443, True),
-    ("S2", "1999-11-03", 12.0, False),
-    ("S3", "1996-08-01", 1.8348, False),
-    ("S3", "2000-09-05", 7.0947, False),
-    ("S4", "1997-07-06", 10.0, True),
-    ("S4", "1999-05-10", 5.0, True),
+    ("S0", "1997-02-14", 3.0, False),
+    ("S2", "1996-11-20", 1.3, True),
+    ("S2", "1998-04-01", 4.0, True),
+    ("S2", "2001-01-09", 0.5, True),
+    ("S6", "1999-09-30", 1.7, False),
+    ("S8", "1995-06-12", 2.3, True),
+    ("S8", "1997-12-03", 8.0, False),
+    ("S9", "2000-02-29", 1.1, True),
 ]
 MACRO_EVENTS = [
-    ("1998-08-12", ["S1", "S5"], "negative"),
-    ("2000-11-21", ["S2"], "positive"),
+    ("1997-10-27", ["S3", "S4", "S7"], "negative"),
+    ("1999-01-15", ["S0"], "positive"),
+    ("2000-05-05", ["S3", "S9"], "positive"),
 ]
 
 

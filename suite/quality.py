@@ -33,12 +33,12 @@ def a1(spark, sf):
     "ohlcv",
     """SELECT ticker, CAST(year AS INTEGER) AS year,
               round_even(coalesce(n, 0) / coalesce(max(n) OVER (PARTITION BY year), 1) * 100, 1) AS coverage
-       FROM (SELECT DISTINCT ticker FROM ohlcv) t CROSS JOIN range(1994, 2003) AS r(year)
+       FROM (SELECT DISTINCT ticker FROM ohlcv) t CROSS JOIN (SELECT DISTINCT year(date) AS year FROM ohlcv) r
        LEFT JOIN (SELECT ticker, year(date) AS year, count(*) AS n FROM ohlcv GROUP BY 1, 2)
          USING (ticker, year)""",
 )
 def a2(spark, sf):
-    return quality.coverage_matrix(fx.bars(spark, sf), range(1994, 2003))
+    return quality.coverage_matrix(fx.bars(spark, sf))
 
 
 @query(

@@ -497,16 +497,27 @@ def a14(spark, sf):
 @query(
     "J5_aligned_returns",
     "rets",
-    """SELECT t.ticker, d.date, round(r.ret, 4) AS ret
-       FROM (SELECT ticker FROM ohlcv GROUP BY ticker HAVING count(*) >= 10) t
-       CROSS JOIN (SELECT DISTINCT date FROM rets WHERE ret IS NOT NULL AND ticker IN
-                   (SELECT ticker FROM ohlcv GROUP BY ticker HAVING count(*) >= 10)) d
-       LEFT JOIN rets r ON r.ticker = t.ticker AND r.date = d.date""",
+    """SELECT ticker, date, round(ret, 4) AS ret FROM rets
+       WHERE ret IS NOT NULL AND ticker IN (SELECT ticker FROM ohlcv GROUP BY ticker HAVING count(*) >= 10)""",
 )
 def j5(spark, sf):
     return rounded(returns.aligned_returns(fx.bars(spark, sf)), "ret")
 
 
+_WIDE = ["S1", "S2", "S7"]
+
+
+@query(
+    "J5_wide_returns",
+    "rets",
+    "SELECT date, "
+    + ", ".join(f"round(max(ret) FILTER (ticker = '{t}'), 4) AS {t}" for t in _WIDE)
+    + f""" FROM rets WHERE ret IS NOT NULL AND ticker IN ({", ".join(f"'{t}'" for t in _WIDE)}) GROUP BY date""",
+)
+def j5_wide(spark, sf):
+    return rounded(returns.wide_returns(fx.bars(spark, sf), _WIDE), *_WIDE)
+
+
 @query(
     "X5_forward_targets",
     "ohlcv",

@@ -1,9 +1,11 @@
+import datetime
+
 import pytest
 
 from marketlake.operators import adjust
 from marketlake.sources.events import dirty_data_table, splits_table
 
-COME = [
+STACKED = [
     {"ticker": "aaa", "date": "2019-08-05", "ratio": 1.7, "in_index": True},
     {"ticker": "AAA", "date": "2025-08-13", "ratio": 2.2443, "in_index": True},
 ]
@@ -15,9 +17,8 @@ def bars(make_bars):
     return make_bars([("AAA", d, 100.0, 100.0) for d in days] + [("BBB", days[0], 50.0, 50.0)])
 
 
-@pytest.mark.parametrize("limit", [0, 10_000], ids=["merge", "broadcast"])
-def test_factors_stack_backwards(spark, bars, series, limit):
-    out = adjust.adjust_prices(bars, splits_table(spark, COME), max_broadcast_splits=limit)
+def test_factors_stack_backwards(spark, bars, series):
+    out = adjust.adjust_prices(bars, splits_table(spark, STACKED))
     closes = series(out, "close", "AAA")
     assert [round(c, 4) for c in closes] == [26.2102, 44.5573, 44.5573, 100.0, 100.0]
     assert series(out, "volume", "AAA") == [100.0] * 5
@@ -27,34 +28,51 @@ def test_factors_stack_backwards(spark, bars, series, limit):
     assert out.columns == [*bars.columns, "split_adjusted"]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000], ids=["merge", "broadcast"])
-def test_volume_mode_multiply(spark, bars, series, limit):
+def test_volume_mode_multiply(spark, bars, series):
     out = adjust.adjust_prices(
-        bars, splits_table(spark, COME), False, "multiply", max_broadcast_splits=limit
+        bars, splits_table(spark, STACKED), False, "multiply"
     )
     volumes = series(out, "volume", "AAA")
     assert [round(v, 4) for v in volumes] == [381.531, 224.43, 224.43, 100.0, 100.0]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000], ids=["merge", "broadcast"])
-def test_index_only_leaves_other_splits_out(spark, bars, series, limit):
+def test_index_only_leaves_other_splits_out(spark, bars, series):
     outside = [{"ticker": "AAA", "date": "2019-08-05", "ratio": 2.0}]
-    out = adjust.adjust_prices(bars, splits_table(spark, outside), max_broadcast_splits=limit)
+    out = adjust.adjust_prices(bars, splits_table(spark, outside))
     assert series(out, "close", "AAA") == [100.0] * 5
     assert series(out, "split_adjusted", "AAA") == [False] * 5
-    every = adjust.adjust_prices(bars, splits_table(spark, outside), False, max_broadcast_splits=limit)
+    every = adjust.adjust_prices(bars, splits_table(spark, outside), False)
     assert series(every, "close", "AAA") == [50.0, 100.0, 100.0, 100.0, 100.0]
 
 
-@pytest.mark.parametrize("limit", [0, 10_000], ids=["merge", "broadcast"])
-def test_flag_is_set_even_if_no_bar_is_older(spark, make_bars, series, limit):
+def test_flag_is_set_even_if_no_bar_is_older(spark, make_bars, series):
     late = make_bars([("AAA", "2026-01-01", 10.0, 10.0)])
-    out = adjust.adjust_prices(late, splits_table(spark, COME), max_broadcast_splits=limit)
+    out = adjust.adjust_prices(late, splits_table(spark, STACKED))
     assert series(out, "split_adjusted") == [True] and series(out, "close") == [10.0]
 
 
+def test_rows_without_date_ticker_or_ratio(spark):
+    schema = "date date, open double, high double, low double, close double, volume double, ticker string"
+    day = datetime.date(2018, 1, 1)
+    odd = [(None, "AAA"), (day, None), (day, "aaa")]
+    bars = spark.createDataFrame([(d, 10.0, 10.0, 10.0, 10.0, 1.0, t) for d, t in odd], schema)
+    splits = spark.createDataFrame(
+        [("AAA", datetime.date(2019, 1, 1), 2.0, True), ("BBB", datetime.date(2019, 1, 1), None, True)],
+        "ticker string, date date, ratio double, in_index boolean",
+    )
+    got = {(r.date, r.ticker): (r.close, r.split_adjusted) for r in adjust.adjust_prices(bars, splits).collect()}
+    assert got == {(None, "AAA"): (10.0, True), (day, None): (10.0, False), (day, "aaa"): (5.0, True)}
+
+
+def test_both_ways_agree(spark, bars):
+    intervals = adjust.split_intervals(splits_table(spark, STACKED))
+    both = [f(bars, intervals) for f in (adjust.factors_by_interval, adjust.factors_by_merge)]
+    a, b = (sorted(map(tuple, df.collect()), key=str) for df in both)
+    assert a == b
+
+
 def test_raw_prices_come_back(spark, bars):
-    intervals = adjust.split_intervals(splits_table(spark, COME))
+    intervals = adjust.split_intervals(splits_table(spark, STACKED))
     out = adjust.factors_by_interval(bars, intervals).toPandas()
     assert (out["close"] / out["split_ratio"] * out["split_ratio"]).round(9).eq(out["close"]).all()
     assert len(out) == bars.count()
@@ -62,11 +80,11 @@ def test_raw_prices_come_back(spark, bars):
 
 def test_unknown_volume_mode(spark, bars):
     with pytest.raises(ValueError):
-        adjust.adjust_prices(bars, splits_table(spark, COME), volume_mode="halve")
+        adjust.adjust_prices(bars, splits_table(spark, STACKED), volume_mode="halve")
 
 
 def test_counts(spark, bars):
-    row = adjust.adjusted_counts(adjust.adjust_prices(bars, splits_table(spark, COME))).first()
+    row = adjust.adjusted_counts(adjust.adjust_prices(bars, splits_table(spark, STACKED))).first()
     assert (row.adjusted, row.unchanged) == (1, 1)
 
 
