@@ -123,7 +123,7 @@ def pack(docs: list[tuple[int | None, np.ndarray]], width: int = WIDTH) -> bytes
     levels = list(_levels(ids.astype(np.uint32), width))
     parts = [HEADER.pack(MAGIC, len(docs), len(ids), len(levels) | (width - 1) << 3)]
     parts.append(np.array([d or 0 for d, _ in docs], np.int64).tobytes())
-    parts.append(np.packbits([d is None for d, _ in docs]).tobytes())
+    parts.append(np.packbits(np.array([d is None for d, _ in docs], bool)).tobytes())
     parts.append(np.array([len(x) for _, x in docs], np.uint64).tobytes())
     for k, (chunks, more) in enumerate(levels):
         parts.append(struct.pack("<Q", len(chunks)) + chunks.tobytes())
