@@ -8,9 +8,9 @@ equal to their weighted Jaccard similarity. Points are made in order of time, al
 horizon after which every component is most likely filled; where one is not, the horizon doubles.
 
 Texts with equal multisets are one node. Nodes that agree in a whole band are candidates; a bucket of the band is never
-expanded into pairs: its members are first compared with its smallest node, and only members
-that are then still in different components are compared with each other, unless the triangle
-inequality of the Jaccard distance rules the link out. Candidates are verified on the whole multisets.
+expanded into pairs: its members are first compared with its smallest node, and members that are then still in
+different components are compared with each other only where their rarest runs meet, as those of similar
+texts must. Candidates are verified on the whole multisets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.llm._tables import components, shuffle_partitions, stored
@@ -209,11 +209,67 @@ def _linked(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _open(placed: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes are in different components, with `component`."""
-    rows = placed.join(grouped, "node")
+def _open(buckets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """node, component: the nodes of buckets whose nodes are in different components."""
+    rows = buckets.select("key", "node").join(grouped, "node")
     several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(several.select("key"), "key")
+    return rows.join(several.select("key"), "key").select("node", "component").distinct()
+
+
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in text_groups(b.column("text")):
+                t, h, w = multisets(*shingles(data, offsets, size))
+                which = np.repeat(np.arange(len(t)), w)
+                copy = (np.arange(len(which)) - np.repeat(np.cumsum(w) - w, w)).astype(np.uint64)
+                element = mix(h[which] + copy * np.uint64(0xA24BAED4963EE407)).view(np.int64)
+                row = pa.array(t[which])
+                total = pa.array(np.bincount(t, w, j - i).astype(np.int32)[t[which]])
+                columns = [b.column(c).slice(i, j - i).take(row) for c in ("node", "component", "mark")]
+                for at in range(0, len(which), 1 << 16):
+                    cut = [c.slice(at, 1 << 16) for c in (*columns, pa.array(element), total)]
+                    yield pa.record_batch(cut, names=["node", "component", "mark", "element", "size"])
+
+    return run
+
+
+def _parts(texts: DataFrame, size: int) -> DataFrame:
+    """Each copy of each run as an element of its text (node, component, mark), and the text's number of elements.
+
+    The Jaccard similarity of these sets is that of the multisets. A node has a set for each of its texts.
+    """
+    return texts.mapInArrow(_elements(size), "node long, component long, mark long, element long, size int")
+
+
+def overlapping(parts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can reach `threshold`: all that do, and few others.
+
+    Elements are put in one order, the rarest first. The first element that two sets share, at places i and j, leaves at most
+    min(size - i, other size - j) others to share. So sets with a similarity of `threshold` meet in
+    the first places of both, which common elements seldom reach in sets with rare elements of their own.
+    """
+    common = parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    places = parts.join(common, "element", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    order = Window.partitionBy("node", "mark").orderBy("n", "element")
+    head = places.withColumn("place", F.row_number().over(order)).where(
+        (F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    )
+    head = stored(head.select("element", "node", "component", "size", "place"), "near-heads")
+    x, y = head.alias("x"), head.alias("y")
+    need = (F.col("x.size") + F.col("y.size")) * (threshold / (1 + threshold)) - 1e-6
+    shared = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    return (
+        x.join(
+            y,
+            (F.col("x.element") == F.col("y.element"))
+            & (F.col("x.node") < F.col("y.node"))
+            & (F.col("x.component") != F.col("y.component"))
+            & (shared >= need),
+        )
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        .distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -232,10 +288,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         "near-members",
     )
     first = bags.select(F.col("node").alias("doc_id"), "bag", "bag2", "n_shingles")
-    sized = known.join(first, ["doc_id", "bag", "bag2", "n_shingles"]).select(
-        F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key")
+    keys = (
+        known.join(first, ["doc_id", "bag", "bag2", "n_shingles"])
+        .select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+        .distinct()
     )
-    keys = sized.groupBy("key", "node").agg(F.max("size").alias("size"), F.min("size").alias("least"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = stored(keys.join(hubs, "key"), "near-buckets")
     stars = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -248,26 +305,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     nodes = buckets.select("node").distinct()
     grouped = stored(_linked(nodes, links), "near-groups")
     # What one comparison with the hub leaves open: members of different components of a bucket.
-    placed = buckets.join(
-        measured.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")), ["hub", "node"], "left"
-    ).withColumn("far", F.coalesce("far", F.lit(0.0)))
-    placed = stored(placed.select("key", "node", "size", "least", "far"), "near-placed")
-    open_rows = stored(_open(placed, grouped), "near-open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9)
-            # The smaller of two multisets is no less than `threshold` of the larger.
-            & (F.col("x.least") * threshold <= F.col("y.size"))
-            & (F.col("y.least") * threshold <= F.col("x.size")),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
+    left = stored(_open(buckets, grouped), "near-open")
+    whole = left.join(texts, left["node"] == texts["id"]).select("node", "component", "text", F.xxhash64("text").alias("mark"))
+    parts = stored(_parts(whole.dropDuplicates(["node", "mark"]), size), "near-parts")
+    rest = overlapping(parts, threshold)
     late = stored(compared(rest, texts, size).where(F.col("similarity") >= threshold).select("a", "b"), "near-late")
     every = components(links.unionByName(late), "near-classes")
     classes = member.join(every, member["doc_id"] == every["id"], "left").groupBy("doc_id").agg(
