@@ -11,6 +11,7 @@ level its chunks, its bitmap and its directory. Files follow one another in asce
 
 from __future__ import annotations
 
+import os
 import struct
 import unicodedata
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ WIDTH = 8
 RANK = 512
 #: Ids of a file, about.
 FILE = 1 << 22
+#: Bytes of text encoded at once, about.
+TEXT = 1 << 22
 MAGIC = b"DACTOK01"
 HEADER = struct.Struct("<8sQQB")
 
@@ -49,7 +53,8 @@ class Words(dict):
     as lower case, so most forms of a word share one entry.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -79,19 +84,24 @@ class Words(dict):
         """Makes an entry for each of `words`."""
         if len(self) > self.most:
             self.clear()
-        new = [w for w in words if w not in self]
-        stems, rest = {}, []
-        for w in new:
-            core, mark = w[:-1], w[-1:]
-            if mark in (b".", b",") and core and _letters(core):
-                stems[w] = core.lower() if core.isascii() else core
-            elif w.isalpha() and w != w.lower():
-                stems[w] = w.lower()
+        stems, plain, letters = {}, {b".", b","}, set()
+        for w in words.difference(self):
+            if w.isalpha():  # ASCII only
+                stem = w.lower()
+                letters.add(stem)
+                if stem != w:
+                    stems[w] = stem
+                continue
+            core = w[:-1] if w[-1:] in (b".", b",") else w
+            if core.isalpha() or core and _letters(core):
+                stem = core.lower() if core.isascii() else core
+                letters.add(stem)
+                if stem != w:
+                    stems[w] = stem
             else:
-                rest.append(w)
-        plain = [w for w in rest if not _letters(w)]
-        self._plain([w for w in {*plain, b".", b","} if w not in self])
-        self._letters([w for w in {*rest, *stems.values()}.difference(plain) if w not in self])
+                plain.add(w)
+        self._plain(list(plain.difference(self)))
+        self._letters(list(letters.difference(self)))
         for w, stem in stems.items():
             self[w] = self[stem] + self[w[-1:]] if w[-1:] in (b".", b",") else self[stem]
 
@@ -218,8 +228,12 @@ def _writer(folder: str, tokenizer: str, end: int, width: int, file: int):
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, done = 0, 0
+            while at < b.num_rows:
+                end_row = max(at + 1, int(np.searchsorted(sizes, done + TEXT, "right")))
+                piece = b.slice(at, end_row - at)
+                at, done = end_row, int(sizes[end_row - 1])
                 texts = piece.column("text").cast(pa.large_binary()).to_pylist()
                 ids = encode_texts(texts, words)
                 for doc_id, x in zip(piece.column("doc_id").to_pylist(), ids, strict=True):
