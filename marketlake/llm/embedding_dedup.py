@@ -1,11 +1,13 @@
 """Near duplicates of embeddings by cosine, with hierarchical navigable small-world graphs.
 
-Vectors of a label are dealt to shards of bounded size, and each shard gets a graph of its own. Every vector asks every shard of its label,
-in blocks. A search keeps a beam of the nearest vectors seen; it ends when none of them is left to expand. Two
-things widen a beam: a query whose beam holds links only is asked again with twice the beam, for then more may lie
-behind; and a block audits a sample of its queries against the whole shard, and doubles the beam for all of them until the
-audit finds every link. What a search returns is verified in double precision. Links leave a task as
-counts for each vector and as a forest that joins the same vectors, never as pairs; forests are united by components.
+Vectors of a label are dealt to shards of bounded size, and each shard gets a graph of its own. Two shards meet in one task, where
+each asks the other's graph in blocks, and a link found from either side counts for both. A search keeps a beam of the nearest
+vectors seen; it ends when none of them is left to expand. A query whose beam holds links only is asked again with four times
+the beam, for then more may lie behind. A block audits queries against the whole shard until it has seen links of
+`AUDIT` queries, not counting a vector's link to itself; where links are rarer, or the audit finds that the graph has missed one, it
+goes on to the end of the block. What an audit finds counts as found. What a search returns is verified in double precision.
+Links leave a task as counts for each vector and as a forest that joins the same vectors, never as pairs; forests are united by
+components.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 from marketlake.llm._tables import components, stored
 
 THRESHOLD = 0.98
-#: Vectors of a shard and queries of a block, about.
+#: Vectors of a shard, about, and queries of a block.
 SHARD, BLOCK = 4096, 1024
-#: Links of a vector in the upper levels and in the lowest, beams of building and searching, audited queries of a block.
-LINKS, BASE_LINKS, BUILD, BEAM, AUDIT = 12, 24, 48, 32, 32
-#: A beam of more than this part of the shard gives way to the whole shard; blocks that share one copy of a graph.
-WHOLE, PER_COPY = 8, 8
+#: Links of a vector in the upper levels and in the lowest, beams of building and searching.
+LINKS, BASE_LINKS, BUILD, BEAM = 12, 24, 48, 32
+#: Queries with links of their own, no more than a beam holds, that the audit of a block must see; queries audited at once.
+AUDIT, AT_ONCE = 512, 128
+#: A widened beam of more than this part of the shard gives way to the whole shard.
+WHOLE = 8
 
 
 def _distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -178,12 +182,6 @@ def _build(table: pa.Table) -> pa.Table:
     return one.append_column("graph", pa.array([data], pa.binary()))
 
 
-def _pack_queries(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks()
-    data = _blob(x=_unit(table.column("embedding").combine_chunks()), ids=np.asarray(table.column("vec_id")))
-    return table.slice(0, 1).select(["label", "width", "block"]).append_column("queries", pa.array([data], pa.binary()))
-
-
 def _load(data: bytes) -> tuple[Graph, np.ndarray]:
     z = np.load(io.BytesIO(data))
     graph = Graph.__new__(Graph)
@@ -192,42 +190,73 @@ def _load(data: bytes) -> tuple[Graph, np.ndarray]:
     return graph, z["ids"]
 
 
-def linked(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, vector) of the links found, and the recall of the last audit."""
+def _exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (query, vector) link in double precision, the same from either side."""
+    return np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, max(1, len(a)), 65536)]) >= threshold
+
+
+def _scan(graph: Graph, q: np.ndarray, some: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All links of some queries, by a look at each vector of the shard."""
+    r, c = np.nonzero(q[some] @ graph.x.T >= threshold - 1e-6)
+    r = some[r]
+    real = _exact(q, graph.x, r, c, threshold)
+    return r[real], c[real]
+
+
+def _searched(graph: Graph, q: np.ndarray, threshold: float, beam: int) -> np.ndarray:
+    """Links that the graph finds, as a table of queries and vectors."""
     limit, n = 1.0 - threshold, len(graph.x)
-    sample = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
-    truth = [np.flatnonzero(graph.x @ q[i] >= threshold) for i in sample]
-    while True:
-        found_q, found_v, todo, width = [], [], np.arange(len(q)), beam
-        while len(todo):
-            # A beam as wide as this costs more than a look at each vector, which is a beam as wide as the shard.
-            whole = width > n // WHOLE
-            step = max(1, (1 << 22) // (n + 1))
-            full = []
-            for some in np.split(todo, range(step, len(todo), step)):
-                if whole:
-                    r, c = np.nonzero(q[some] @ graph.x.T >= threshold - 1e-6)
-                else:
-                    ids, far = graph.search(q[some], width)
-                    hit = (far <= limit + 1e-6) & (ids >= 0)
-                    over = hit.all(axis=1)  # links only: there may be more behind
-                    full.append(some[over])
-                    r, c = np.nonzero(hit & ~over[:, None])
-                    c = ids[r, c]
-                found_q.append(some[r])
-                found_v.append(c)
-            todo, width = np.concatenate(full) if full else np.empty(0, int), width * 4
-        a, b = np.concatenate(found_q), np.concatenate(found_v)
-        # A stable order, and the exact check.
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        real = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 65536]], graph.x[b[i : i + 65536]]) for i in range(0, max(1, len(a)), 65536)]) >= threshold
-        a, b = a[real], b[real]
-        hits = sum(len(np.intersect1d(t, b[np.searchsorted(a, i) : np.searchsorted(a, i, "right")])) for i, t in zip(sample, truth, strict=True))
-        total = sum(map(len, truth))
-        if hits >= total or beam > n // WHOLE:
-            return a, b, hits / total if total else 1.0
-        beam *= 2
+    found = np.zeros((len(q), n), bool)
+    todo, width = np.arange(len(q)), beam
+    step = max(1, (1 << 22) // (n + 1))
+    while len(todo):
+        # A beam widened as far as this costs more than a look at each vector, which is a beam as wide as the shard.
+        whole, full = width > beam and width > n // WHOLE, []
+        for some in np.split(todo, range(step, len(todo), step)):
+            if whole:
+                a, b = _scan(graph, q, some, threshold)
+            else:
+                ids, far = graph.search(q[some], width)
+                hit = (far <= limit + 1e-6) & (ids >= 0)
+                over = hit.all(axis=1)  # links only: there may be more behind
+                full.append(some[over])
+                r, c = np.nonzero(hit & ~over[:, None])
+                a, b = some[r], ids[r, c]
+                real = _exact(q, graph.x, a, b, threshold)
+                a, b = a[real], b[real]
+            found[a, b] = True
+        todo, width = np.concatenate(full) if full else np.empty(0, int), width * 4
+    return found
+
+
+def audited(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, int, int]:
+    """The table of links found by the graph and by the audit; how many the audit saw, and how many of them the graph had found.
+
+    own: the place of each query in the shard, -1 for none; a link of a vector to itself is not counted.
+    """
+    found = _searched(graph, q, threshold, beam)
+    order = np.random.default_rng(0).permutation(len(q))
+    links = hits = linking = 0
+    for i in range(0, len(q), AT_ONCE):
+        some = order[i : i + AT_ONCE]
+        a, b = _scan(graph, q, some, threshold)
+        other = b != own[a]
+        links += int(other.sum())
+        hits += int(found[a[other], b[other]].sum())
+        found[a, b] = True
+        each = np.bincount(a[other], minlength=len(q))[some]
+        # Queries of more links are asked with wider beams, up to the whole shard, and say nothing about the others.
+        linking += int(((each > 0) & (each <= beam)).sum())
+        if linking >= AUDIT and hits == links:
+            break
+    return found, links, hits
+
+
+def linked(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(query, vector) of the links found, and the part of the audited ones that the graph had found itself."""
+    found, links, hits = audited(graph, q, threshold, np.full(len(q), -1) if own is None else own, beam)
+    a, b = np.nonzero(found)
+    return a, b, hits / links if links else 1.0
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -248,27 +277,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(ids[low[moved]].tolist(), ids[moved].tolist(), strict=True))
 
 
-def _ask(threshold: float):
-    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
+def _ask(threshold: float, block: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The links of a shard, or those between two."""
         rows: list[tuple] = []
-        if len(graphs) and len(queries):
-            graph, ids = _load(graphs.column("graph")[0].as_py())
-            pairs = []
-            for data in queries.column("queries"):
-                z = np.load(io.BytesIO(data.as_py()))
-                a, b, recall = linked(graph, z["x"], threshold)
-                a, b = z["ids"][a], ids[b]
-                a, b = a[a != b], b[a != b]
-                who, n = np.unique(a, return_counts=True)
-                rows += [(int(v), int(k), None, None, None) for v, k in zip(who, n, strict=True)]
-                rows.append((None, None, None, None, recall))
-                pairs += _forest(a, b)
-            if pairs:
-                a, b = np.array(pairs).T
-                rows += [(None, None, x, y, None) for x, y in _forest(a, b)]
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["vec_id", "n", "a", "b", "recall"])
+        one = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        if one or len(table) == 2:  # a shard may be empty
+            (x, x_ids), (y, y_ids) = (_load(table.column("graph")[k].as_py()) for k in (0, len(table) - 1))
+            found = np.zeros((len(x_ids), len(y_ids)), bool)
+            for graph, asking, view in [(y, x, found)] if one else [(y, x, found), (x, y, found.T)]:
+                for i in range(0, len(view), block):
+                    q = asking.x[i : i + block]
+                    own = np.arange(i, i + len(q)) if one else np.full(len(q), -1)
+                    some, links, hits = audited(graph, q, threshold, own)
+                    view[i : i + block] |= some
+                    rows.append((None, None, None, None, links, hits))
+            if one:
+                found |= found.T.copy()
+                np.fill_diagonal(found, False)
+            for ids, n in [(x_ids, found.sum(axis=1))] if one else [(x_ids, found.sum(axis=1)), (y_ids, found.sum(axis=0))]:
+                rows += [(int(v), int(k), None, None, None, None) for v, k in zip(ids, n, strict=True) if k]
+            edges = []
+            for i in range(0, len(x_ids), block):
+                a, b = np.nonzero(found[i : i + block])
+                edges += _forest(x_ids[a + i], y_ids[b])
+            if edges:
+                rows += [(None, None, a, b, None, None) for a, b in _forest(*np.array(edges).T)]
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "n", "a", "b", "audited", "hits"])
 
     return run
 
@@ -283,7 +319,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def search_links(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Links as rows of three kinds: (vec_id, n) counts, (a, b) edges of forests, and the recall of each audit.
+    """Links as rows of three kinds: (vec_id, n) counts, (a, b) edges of forests, and of each audit how many links it saw and how many of them the graph had found.
 
     Vectors of different lengths do not link. Repeated ids are one vector: the row with the first embedding by order counts.
     """
@@ -292,34 +328,19 @@ def search_links(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
         .withColumn("width", F.size("embedding"))
     )
     rows = stored(rows, "embeddings")
-    sizes = rows.groupBy("label", "width").agg(
-        F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    )
-    rows = rows.join(sizes, ["label", "width"])
+    sizes = rows.groupBy("label", "width").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard")
     kind = vectors.schema["label"].dataType.simpleString()
-    keys = f"label {kind}, width int"
     graphs = stored(
-        rows.select("vec_id", "embedding", "label", "width", dealt)
-        .groupBy("label", "width", "shard").applyInArrow(_build, f"{keys}, shard int, graph binary"),
+        rows.join(sizes, ["label", "width"]).select("vec_id", "embedding", "label", "width", dealt)
+        .groupBy("label", "width", "shard").applyInArrow(_build, f"label {kind}, width int, shard int, graph binary"),
         "embedding-graphs",
     )
-    blocks = rows.select(
-        "vec_id", "embedding", "label", "width", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int").alias("block")
-    ).groupBy("label", "width", "block").applyInArrow(_pack_queries, f"{keys}, block int, queries binary")
-    slices = F.ceil(F.col("blocks") / PER_COPY).cast("int")
-    asked = (
-        stored(blocks, "embedding-queries")
-        .join(sizes, ["label", "width"])
-        .withColumn("slice", F.pmod("block", slices))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select("label", "width", "shard", "slice", "queries")
-    )
-    copies = graphs.join(sizes, ["label", "width"]).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-    key = ["label", "width", "shard", "slice"]
+    pairs = graphs.join(sizes, ["label", "width"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    key = ["label", "width", "low", "high"]
     return stored(
-        copies.select(*key, "graph").groupBy(*key).cogroup(asked.groupBy(*key))
-        .applyInArrow(_ask(threshold), "vec_id long, n long, a long, b long, recall double"),
+        pairs.select("label", "width", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "graph")
+        .groupBy(*key).applyInArrow(_ask(threshold, block), "vec_id long, n long, a long, b long, audited long, hits long"),
         "embedding-links",
     )
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, substring_dedup
 from marketlake.llm._words import split, text_groups
@@ -218,3 +219,41 @@ def test_recall_is_measured(spark):
     ids, _ = graph.search(x[:200], 64)
     nearest = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(i) & set(t)) / 10 for i, t in zip(ids[:, :10].tolist(), nearest.tolist())]) >= 0.9
+
+
+def pairs_of(rng, n, pairs, width=32):
+    """Vectors that link to nothing but, for some, one other."""
+    x = rng.normal(size=(n, width))
+    x[n - pairs :] = x[:pairs] + rng.normal(size=(pairs, width)) * 0.05
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_an_audit_needs_links(spark):
+    """Links that a graph cannot reach are found though few queries have any, and a vector's link to itself is no evidence."""
+    x = pairs_of(np.random.default_rng(11), 1000, 0)
+    first, second = np.arange(1, 21), np.arange(970, 990)
+    x[second] = x[first] + np.random.default_rng(13).normal(size=(20, 32)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = embedding_dedup.Graph(x)
+    for table in graph.links:
+        table[np.isin(table, second)] = -1  # nothing leads to the second of each pair
+    truth = set(zip(first.tolist(), second.tolist())) | set(zip(second.tolist(), first.tolist()))
+    a, b, recall = embedding_dedup.linked(graph, x, 0.98, own=np.arange(1000))
+    assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i != j} == truth
+    assert recall <= 0.5
+
+
+def test_sparse_pairs_of_a_large_label(spark):
+    """A label of several shards of the usual size: every pair is found from both sides."""
+    n, pairs = 9000, 300
+    x = pairs_of(np.random.default_rng(12), n, pairs).astype(np.float32)
+    frame = vectors_of(spark, [(i, v, 0) for i, v in enumerate(x.tolist())])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = [(i, j + i + 1) for i in range(n) for j in np.flatnonzero(unit[i + 1 :] @ unit[i] >= 0.98).tolist()]
+    assert len(links) >= 0.9 * pairs
+    count = Counter(i for pair in links for i in pair)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: count[i] for i in range(n)}
+    assert {i: r.component_id for i, r in got.items()} == classes(list(range(n)), links)
+    seen = embedding_dedup.search_links(frame).agg(F.sum("audited").alias("links"), F.sum("hits").alias("hits")).first()
+    assert seen.links == 2 * len(links) and seen.hits >= 0.95 * seen.links
