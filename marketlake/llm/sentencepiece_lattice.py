@@ -4,8 +4,9 @@ The text is prepared as the library does for a model without further rules: a bl
 into chunks, a run of blanks with the characters up to the next blank, and chunks into units, cut wherever no
 piece holds the two characters side by side: no piece crosses a cut, so the best path of a text is that of its units.
 Spark takes each different unit once: explodes its substrings of up to the length of the longest piece,
-equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A character
-without a piece falls back to its UTF-8 bytes.
+equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A unit is never cut
+where a piece may span; one of more than `UNIT` characters, as a run of letters without blanks, is folded where its documents are put together, by
+the same costs and the same rule for ties. A character without a piece falls back to its UTF-8 bytes.
 
 Documents are dealt to blocks, their texts packed with Zstandard. Each block asks for its different units, one row for each
 bucket of their hashes, and gets one row of ids back for each, in the order in which it asked.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from marketlake.llm._tables import shuffle_partitions
 
 BLANK = "▁"
-#: Characters of a unit at most; longer ones are cut.
+#: Characters of a unit in the join at most.
 UNIT = 64
 #: Costs are whole numbers of hundredths. What each piece of a BPE model costs besides the logarithm of its rank.
 SCALE, PIECE = 100, 6.0
@@ -77,6 +79,7 @@ class Pieces:
                 n = self.letters[[ord(c) for c in p]]
                 self.side_by_side[n[:-1], n[1:]] = True
         self.longest = max(len(p) for p, _, _ in self.table)
+        self.number = {p: k for k, (p, _, _) in enumerate(self.table)}
 
     def bytes_of(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte + b for b in character.encode())
@@ -92,10 +95,6 @@ class Pieces:
         cut[1:] = ~self.side_by_side[letters[:-1], letters[1:]]
         cut[begin] = True
         at = np.flatnonzero(cut)
-        size = np.diff(np.append(at, len(text)))
-        if size.max() > UNIT:
-            parts = -(-size // UNIT)
-            at = np.repeat(at, parts) + UNIT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         ends = np.append(at[1:], len(text)).tolist()
         return [text[i:j] for i, j in zip(at.tolist(), ends)], np.diff(np.append(np.searchsorted(at, begin), len(at)))
 
@@ -103,6 +102,26 @@ class Pieces:
         """The ids of a unit of one character, which needs no lattice."""
         return np.array(self.single.get(character) or self.bytes_of(character), "<i4").tobytes()
 
+    def folded(self, unit: str) -> bytes:
+        """The ids of a unit of more than `UNIT` characters: as `lattice`, in one pass that hands on the best costs of the last `longest` places."""
+        size = self.longest + 1
+        best, last = [(0, 0)] * size, array("i", [0])
+        for end in range(1, len(unit) + 1):
+            here = []
+            for begin in range(max(0, end - self.longest), end):
+                k = self.number.get(unit[begin:end])
+                if k is not None:
+                    cost, count = best[begin % size]
+                    here.append((cost + self.table[k][1], count + 1, k))
+            cost, count, k = min(here)
+            best[end % size] = cost, count
+            last.append(k)
+        numbers, place = array("i"), len(unit)
+        while place:
+            numbers.append(last[place])
+            place -= len(self.table[last[place]][0])
+        return np.array([i for k in reversed(numbers) for i in self.table[k][2]], "<i4").tobytes()
+
 
 @lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
@@ -153,9 +172,9 @@ def _unpack(ends: list[int], packed: bytes) -> Iterator[str]:
 
 
 def _shares(every: list[str], buckets: int) -> dict[int, list[str]]:
-    """The units that need the lattice, by bucket, in order."""
+    """The units that need the join, by bucket, in order."""
     out: dict[int, list[str]] = {}
-    for u in sorted({u for u in every if len(u) > 1}):
+    for u in sorted({u for u in every if 1 < len(u) <= UNIT}):
         out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
     return out
 
@@ -267,6 +286,8 @@ def _assemble(shared, buckets: int):
         for u in every:
             if len(u) == 1:
                 unit_ids[u] = known.alone(u)
+            elif len(u) > UNIT and u not in unit_ids:
+                unit_ids[u] = known.folded(u)
         of, ends = {}, np.cumsum(counts).tolist()
         for chunk, begin, end in zip(words, [0, *ends], ends):
             of[chunk] = unit_ids[every[begin]] if end == begin + 1 else b"".join([unit_ids[u] for u in every[begin:end]])

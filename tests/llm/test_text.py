@@ -153,6 +153,17 @@ def test_sentencepiece(spark):
     assert sentencepiece_lattice.encode(docs_of(spark, []), PIECES).count() == 0
 
 
+def test_long_units_are_whole(spark):
+    """Runs without blanks get the cheapest path of the whole text, also across 64, 128, ... characters."""
+    rng = np.random.default_rng(5)
+    words = "information because people thought through government another different important company system against".split()
+    texts = ["".join(rng.choice(words, 10)) for _ in range(40)]
+    texts += ["x" * n for n in (62, 63, 64, 65, 127, 128, 3000)] + ["internationalization" * 30 + " a " + "".join(words), "日本語" * 60 + "".join(words)]
+    known = sentencepiece_lattice.pieces(PIECES)
+    got = {r.doc_id: list(r.ids) for r in sentencepiece_lattice.encode(docs_of(spark, list(enumerate(texts))), PIECES).collect()}
+    assert got == {i: cheapest(BLANK + t.replace(" ", BLANK), known) for i, t in enumerate(texts)}
+
+
 def test_units_make_up_the_text():
     known = sentencepiece_lattice.pieces(PIECES)
     for text in [*ODD, " a  b c   "]:
