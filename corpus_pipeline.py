@@ -46,7 +46,8 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL expresses neither the toxicity model nor the draws of the mix; the tests hold each stage against a plain version.
+#: SQL expresses neither the toxicity model nor the draws of the mix; tests/llm/test_pipeline.py holds all rows of run() against a plain version,
+#: with the scores of toxicity taken as given.
 ORACLE_SQL = None
 
 
