@@ -346,6 +346,26 @@ def a9_update(spark, sf):
     return newest.select((F.col("last_update") > F.lit("2020-01-01").cast("timestamp")).alias("updated"))
 
 
+@query(
+    "A9_update_batches",
+    "ohlcv",
+    """SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n, CAST(NULL AS BOOLEAN) AS newer FROM ohlcv WHERE date < DATE '1998-01-01' HAVING count(*) > 0
+       UNION ALL
+       SELECT 2, count(*), CASE WHEN (SELECT min(date) FROM ohlcv) < DATE '1998-01-01' THEN true END
+       FROM ohlcv WHERE date >= DATE '1998-01-01' HAVING count(*) > 0""",
+)
+def a9_batches(spark, sf):
+    """Two batches of one table: the rows of each, and whether its files are newer than those of the one before."""
+    root, early = scratch_path(spark, "store"), F.col("date") < F.lit(datetime.date(1998, 1, 1))
+    bars = fx.bars(spark, sf)
+    save_bars(bars.filter(early), root, "raw", "ohlcv")
+    save_bars(bars.filter(~early), root, "raw", "ohlcv", mode="append")
+    stored = store.load_table(spark, root, "raw", "ohlcv")
+    times = [quality.last_update(stored.filter(part)).scalar() for part in (early, ~early)]
+    rows = stored.groupBy(F.when(early, 1).otherwise(2).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("newer", F.when(F.col("batch") == 2, times[1] > times[0]))
+
+
 @query(
     "K5_report_file",
     "alerts",

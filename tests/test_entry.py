@@ -55,3 +55,13 @@ def test_plans_have_no_cross_join(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "SinglePartition" not in plan
+
+
+def test_update_batches_count_the_table(spark):
+    """One row per batch, with counts that follow the bars."""
+    assert "ohlcv" in oracle_sql()["A9_update_batches"]
+    sf = "/root/testdata/sf0.001"
+    got = {r.batch: (r.n, r.newer) for r in queries()["A9_update_batches"](spark, sf).collect()}
+    bars = queries()["A9_bars_summary"](spark, sf).first()
+    assert got.keys() == {1, 2} and got[1][1] is None and got[2][1] is True
+    assert min(n for n, _ in got.values()) > 0 and bars.date_min.year < 1998 <= bars.date_max.year
