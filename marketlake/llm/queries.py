@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
+from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, ring_sharding, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def _predicted(scored: DataFrame, held_out) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_toxicity,
         op10_embedding_dedup,
+        op13_ring_sharding,
         pipeline,
     )
 }
