@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, ring_sharding, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
+from marketlake.llm import divergence, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, ring_sharding, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_toxicity,
         op10_embedding_dedup,
+        op12_divergence,
         op13_ring_sharding,
         pipeline,
     )
@@ -129,6 +134,46 @@ ORACLES: dict[str, str] = {
             nullif(other, page_id) AS refers_to
         FROM ranked
     """,
+    "op12_divergence": r"""
+        WITH rows AS (
+            SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ),
+        found AS (
+            SELECT row, lang, source, translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM rows
+        ),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM found GROUP BY ALL),
+        kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+        vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM rows),
+        dense AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+        ),
+        sums AS (
+            SELECT lang, source, term, n, v, sum(n) OVER (PARTITION BY lang, source) AS own,
+                sum(n) OVER (PARTITION BY lang, term) AS every, sum(n) OVER (PARTITION BY lang) AS whole
+            FROM dense JOIN vocabulary USING (lang)
+        ),
+        shares AS (
+            SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // (own + 2 * v))::HUGEINT AS p,
+                (1 + (1000000000::HUGEINT * (every + 2)) // (whole + 2 * v))::HUGEINT AS q
+            FROM sums
+        ),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+        )
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 10
+    """,
     "op6_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
