@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import divergence, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality, ring_sharding, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
+from marketlake.llm import divergence, embedding_dedup, exact_dedup, minhash_dedup, mixing, prefix_trie, quality, ring_sharding, sentencepiece_lattice, substring_dedup, token_codes, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -115,6 +119,7 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_toxicity,
         op10_embedding_dedup,
+        op11_prefix_trie,
         op12_divergence,
         op13_ring_sharding,
         pipeline,
@@ -134,6 +139,54 @@ ORACLES: dict[str, str] = {
             nullif(other, page_id) AS refers_to
         FROM ranked
     """,
+    "op11_prefix_trie": r"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+                lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS entries
+        ),
+        turns AS (
+            SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+                sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS content
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS place FROM turns),
+        counted AS (SELECT conv_id, max(place) AS n FROM placed GROUP BY conv_id),
+        shared AS (
+            SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+                [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+                lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1]))) % 6 AS share
+            FROM counted, crc
+        ),
+        convs AS (
+            SELECT s.*, least(s.share, coalesce(b.n, 0)) AS head, least(s.share, coalesce(b.n, 0)) + greatest(s.n - s.share, 0) AS len
+            FROM shared s LEFT JOIN counted b ON b.conv_id = s.base
+        ),
+        built AS (
+            SELECT c.conv_id, c.len, p.place AS depth, p.content, p.chars FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place <= c.head
+            UNION ALL
+            SELECT c.conv_id, c.len, p.place - c.share + c.head, p.content, p.chars FROM convs c JOIN placed p USING (conv_id) WHERE p.place > c.share
+        ),
+        paths AS (
+            SELECT conv_id, len, depth, chars, sha256(string_agg(content, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM built
+            UNION ALL
+            SELECT conv_id, len, 0, 0, '' FROM convs
+        ),
+        nodes AS (
+            SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+            FROM paths GROUP BY node, depth
+        ),
+        edges AS (SELECT DISTINCT a.node AS parent, b.node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth = a.depth + 1),
+        kin AS (SELECT DISTINCT a.node AS top, b.node FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+        children AS (SELECT parent AS node, count(*) AS n_children FROM edges GROUP BY parent),
+        sums AS (
+            SELECT top AS node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+            FROM kin JOIN nodes n USING (node) LEFT JOIN children c USING (node) GROUP BY top
+        )
+        SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+            s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s USING (node) LEFT JOIN children c USING (node) LEFT JOIN edges e ON e.node = n.node LEFT JOIN nodes p ON p.node = e.parent
+    """,
     "op12_divergence": r"""
         WITH rows AS (
             SELECT doc_id, row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
