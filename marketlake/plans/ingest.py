@@ -1,4 +1,8 @@
-"""Landed responses into the stored bars, skipping what is already there."""
+"""Landed responses into the stored bars, skipping what is already there.
+
+What is stored is looked up in a ledger, which each batch writes and commits along with its bars: for every ticker the first and last date and
+the number of bars. Stored bars are read only where a batch brings dates within the range that its ticker has already.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.operators.selection import date_range
-from marketlake.plans.scratch import checkpointed
-from marketlake.schemas import OHLCV
-from marketlake.sinks.tables import save_bars
-from marketlake.sources.responses import bars_from_responses, validated
-from marketlake.sources.store import load_table
+from marketlake.plans.scratch import written
+from marketlake.schemas import LEDGER, OHLCV, OHLCV_COLUMNS
+from marketlake.sinks.tables import by_ticker
+from marketlake.sources import store
+from marketlake.sources.responses import bars_of, validated
 
 BARS = "ohlcv"
 
@@ -20,20 +24,14 @@ BARS = "ohlcv"
 def stored_bars(spark: SparkSession, root: str, version: str = "v1") -> DataFrame:
     """The stored bars, or an empty table before the first ingest."""
     try:
-        return load_table(spark, root, "raw", BARS, version, OHLCV)
+        return store.load_table(spark, root, "raw", BARS, version, OHLCV)
     except FileNotFoundError:
         return spark.createDataFrame([], OHLCV)
 
 
-def new_bars(incoming: DataFrame, stored: DataFrame, extend: bool = True) -> DataFrame:
-    """Incoming bars that are not stored yet, by ticker and date.
-
-    Without `extend`, a ticker of which anything is stored counts as complete and gets nothing new.
-    Of the stored bars only those of incoming tickers are looked at.
-    """
-    keys = ["ticker", "date"] if extend else ["ticker"]
-    theirs = stored.join(incoming.select("ticker").distinct(), "ticker", "left_semi")
-    return incoming.join(theirs.select(*keys).distinct(), keys, "left_anti")
+def stored_ledger(spark: SparkSession, root: str, version: str = "v1") -> DataFrame:
+    """(ticker, date_min, date_max, rows) of the stored bars, without reading them."""
+    return store.ledger(spark, store.table_path(root, "raw", BARS, version), OHLCV)
 
 
 def one_per_day(bars: DataFrame) -> DataFrame:
@@ -42,6 +40,39 @@ def one_per_day(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker", "date").agg(best.alias("_bar")).select("date", "_bar.*", "ticker")
 
 
+def take_in(bars: DataFrame, root: str, version: str = "v1", extend: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Stores the bars that are new, and commits them with their ledger; the ledger as it was before, and that of the new bars.
+
+    Bars of a ticker that is not stored, or of dates before or after its stored ones, are new. The others are looked up
+    among the stored bars of their tickers. Without `extend`, a ticker of which anything is stored gets nothing new. A batch that
+    fails midway is never seen, and running it again stores it as if for the first time.
+    """
+    spark, path = bars.sparkSession, store.table_path(root, "raw", BARS, version)
+    incoming, had = written(one_per_day(bars), "incoming"), stored_ledger(spark, root, version)
+    known = had.select(F.col("ticker").alias("_t"), "date_min", "date_max", F.lit(True).alias("_known"))
+    seen = incoming.join(known, incoming["ticker"].eqNullSafe(F.col("_t")), "left")
+    is_known = F.coalesce("_known", F.lit(False))
+    within = is_known & F.col("date").between(F.col("date_min"), F.col("date_max"))
+    fresh = seen.filter(~within if extend else ~is_known).select(*OHLCV_COLUMNS)
+    inside = seen.filter(within).select(*OHLCV_COLUMNS)
+    if extend and not inside.isEmpty():
+        fresh = fresh.unionByName(_absent(inside, stored_bars(spark, root, version)))
+    folder, rows = store.write_part(by_ticker(fresh), path)
+    if rows == 0:
+        return had, spark.createDataFrame([], LEDGER)
+    batch = store.save_ledger(spark, path, folder, OHLCV)
+    store.commit(spark, path, [(folder, folder, rows)], ledger=True)
+    return had, batch
+
+
+def _absent(inside: DataFrame, stored: DataFrame) -> DataFrame:
+    """The bars whose ticker and date are not stored; of the stored bars only those of these tickers are looked at."""
+    tickers = inside.select(F.col("ticker").alias("_t")).distinct()
+    theirs = stored.join(tickers, stored["ticker"].eqNullSafe(F.col("_t")), "left_semi")
+    theirs = theirs.select(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
+    return inside.join(theirs, inside["ticker"].eqNullSafe(F.col("_t")) & (inside["date"] == F.col("_d")), "left_anti")
+
+
 def ingest(
     responses: DataFrame,
     root: str,
@@ -53,34 +84,27 @@ def ingest(
     """Store the new bars of all requested tickers; returns (ticker, ok, rows, reason).
 
     A ticker fails only on an invalid or unreadable response. Stored tickers and empty responses succeed.
-    Should the write fail midway, running it again completes it: the dates that are missing are added. With
-    `extend` false a ticker of which anything is stored is left as it is.
+    Should the write fail midway, nothing of it counts, and running it again stores all. With
+    `extend` false a ticker of which anything is stored is left as it is. Bodies are parsed once.
     """
     if date_from > date_to:
         raise ValueError(f"date_from {date_from} is after date_to {date_to}")
-    if responses.isEmpty():
+    checked = written(validated(responses).select("ticker", "envelope", "valid", "readable"), "responses")
+    if checked.isEmpty():
         raise ValueError("no tickers requested")
-    spark = responses.sparkSession
-    stored = stored_bars(spark, root, version)
-    # Two scans of one path are the same plan to Spark, so the count before the write is kept.
-    had = checkpointed(_rows_per_ticker(stored, "had"))
-    bars = date_range(bars_from_responses(responses), date_from, date_to)
-    fresh = new_bars(one_per_day(bars), stored, extend)
-    save_bars(fresh, root, "raw", BARS, version, mode="append")
-    return _status(responses, had, _rows_per_ticker(stored_bars(spark, root, version), "has"))
-
-
-def _rows_per_ticker(bars: DataFrame, name: str) -> DataFrame:
-    return bars.groupBy("ticker").agg(F.count(F.lit(1)).alias(name))
+    had, batch = take_in(date_range(bars_of(checked), date_from, date_to), root, version, extend)
+    return _status(checked, had, batch)
 
 
-def _status(responses: DataFrame, had: DataFrame, has: DataFrame) -> DataFrame:
-    asked = validated(responses).groupBy("ticker").agg(
-        F.bool_and("valid").alias("valid"), F.bool_and("readable").alias("readable")
+def _status(checked: DataFrame, had: DataFrame, batch: DataFrame) -> DataFrame:
+    asked = checked.groupBy("ticker").agg(F.bool_and("valid").alias("valid"), F.bool_and("readable").alias("readable"))
+    before = had.select(F.col("ticker").alias("_h"), F.col("rows").alias("had"))
+    now = batch.select(F.col("ticker").alias("_b"), F.col("rows").alias("new"))
+    joined = asked.join(before, F.col("ticker").eqNullSafe(F.col("_h")), "left").join(
+        now, F.col("ticker").eqNullSafe(F.col("_b")), "left"
     )
-    joined = asked.join(had, "ticker", "left").join(has, "ticker", "left")
     stored = F.coalesce("had", F.lit(0)) > 0
-    rows = F.coalesce("has", F.lit(0)) - F.coalesce("had", F.lit(0))
+    rows = F.coalesce("new", F.lit(0).cast("bigint"))
     reason = (
         F.when((rows > 0) & stored, "extended")
         .when(rows > 0, "written")

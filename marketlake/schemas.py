@@ -90,3 +90,24 @@ RUNS = T.StructType(
         T.StructField("created_at", T.TimestampType()),
     ]
 )
+
+# One part of a stored table, from the commit on that names it.
+COMMITS = T.StructType(
+    [
+        T.StructField("commit", T.LongType()),
+        T.StructField("slot", T.StringType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("ledger", T.BooleanType()),
+    ]
+)
+
+# What one part of the stored bars holds of a ticker.
+LEDGER = T.StructType(
+    [
+        T.StructField("ticker", T.StringType()),
+        T.StructField("date_min", T.DateType()),
+        T.StructField("date_max", T.DateType()),
+        T.StructField("rows", T.LongType()),
+    ]
+)

@@ -3,14 +3,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.sources.store import table_path
+from marketlake.sources.store import WHOLE, commit, table_path, write_part
+
+
+def _committed(df: DataFrame, path: str, mode: str) -> str:
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"unknown mode {mode!r}, choose overwrite or append")
+    folder, rows = write_part(df, path)
+    commit(df.sparkSession, path, [(WHOLE if mode == "overwrite" else folder, folder, rows)])
+    return f"{path}/{folder}"
 
 
 def save_table(df: DataFrame, root: str, layer: str, name: str, version: str = "v1") -> str:
-    """Overwrite a stored table and return its path."""
-    path = table_path(root, layer, name, version)
-    df.write.mode("overwrite").parquet(path)
-    return path
+    """Replace a stored table at once when all is written; returns the path of the new files."""
+    return _committed(df, table_path(root, layer, name, version), "overwrite")
 
 
 def by_ticker(bars: DataFrame) -> DataFrame:
@@ -25,11 +31,9 @@ def by_ticker(bars: DataFrame) -> DataFrame:
 def save_bars(
     bars: DataFrame, root: str, layer: str, name: str, version: str = "v1", mode: str = "overwrite"
 ) -> str:
-    """Store bars ordered by ticker and date.
+    """Store bars ordered by ticker and date, or add them to what is stored; returns the path of the new files.
 
     A filter on ticker skips most row groups, and no folder per ticker is needed however many
     tickers there are.
     """
-    path = table_path(root, layer, name, version)
-    by_ticker(bars).write.mode(mode).parquet(path)
-    return path
+    return _committed(by_ticker(bars), table_path(root, layer, name, version), mode)

@@ -40,5 +40,9 @@ def validated(responses: DataFrame) -> DataFrame:
 
 def bars_from_responses(responses: DataFrame) -> DataFrame:
     """Canonical bars of all readable responses; the ticker is the requested one."""
-    records = validated(responses).filter("readable").select("ticker", F.inline("envelope.series"))
-    return canonical_bars(records)
+    return bars_of(validated(responses))
+
+
+def bars_of(checked: DataFrame) -> DataFrame:
+    """The same of responses that are validated already, so that no body is parsed twice."""
+    return canonical_bars(checked.filter("readable").select("ticker", F.inline("envelope.series")))

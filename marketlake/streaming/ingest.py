@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from marketlake.plans.ingest import BARS, new_bars, one_per_day, stored_bars
+from marketlake.plans.ingest import take_in
 from marketlake.schemas import RESPONSES
-from marketlake.sinks.tables import save_bars
 from marketlake.sources.responses import bars_from_responses
 
 
@@ -16,14 +15,12 @@ def ingest_available(
 ) -> StreamingQuery:
     """Take in all files landed since the last run, then stop.
 
-    A batch that is run again after a failure adds nothing twice: rows already stored are
-    filtered out by ticker and date.
+    A batch that is run again after a failure adds nothing twice: it goes through the ledger as every
+    ingest does.
     """
 
     def store(batch: DataFrame, _: int) -> None:
-        bars = one_per_day(bars_from_responses(batch))
-        stored = stored_bars(batch.sparkSession, root, version)
-        save_bars(new_bars(bars, stored), root, "raw", BARS, version, mode="append")
+        take_in(bars_from_responses(batch), root, version)
 
     landed = spark.readStream.schema(RESPONSES).json(landing)
     return (
