@@ -53,7 +53,7 @@ def coverage_matrix(
 
 
 def listed_tickers(bars: DataFrame) -> DataFrame:
-    """The tickers present, in upper case and order."""
+    """The tickers present, in upper case and order. `bars` may as well be the ledger of a store, which has far fewer rows."""
     return bars.select(F.upper("ticker").alias("ticker")).distinct().orderBy("ticker")
 
 
@@ -66,7 +66,10 @@ def bars_summary(bars: DataFrame) -> DataFrame:
 
 
 def last_update(stored: DataFrame) -> DataFrame:
-    """Time of the newest file behind a stored table."""
+    """Time of the newest file behind a stored table, or behind some of its rows: every row is looked at.
+
+    `sources.store.update_batches` tells the same of whole tables from the file listing.
+    """
     return stored.select(F.col("_metadata.file_modification_time").alias("t")).agg(
         F.max("t").alias("last_update")
     )

@@ -36,17 +36,20 @@ def _absent(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system Spark finds `path`."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name)
+
+
 def current_parts(spark: SparkSession, path: str) -> list[Row] | None:
     """The commits that hold, one for each slot in order of time; None for a table without commits.
 
     There is a slot for each batch or bucket of a table, so this list is short however large the table.
     """
-    try:
-        log = spark.read.schema(COMMITS).parquet(f"{path}_commits")
-    except AnalysisException as error:
-        if _absent(error):
-            return None
-        raise
+    if not exists(spark, f"{path}_commits"):
+        return None
+    log = spark.read.schema(COMMITS).parquet(f"{path}_commits")
     newest = log.groupBy("slot").agg(F.max(F.struct(*log.columns)).alias("c")).select("c.*").collect()
     whole = max((r["commit"] for r in newest if r["slot"] == WHOLE), default=0)
     return sorted((r for r in newest if r["commit"] >= whole), key=lambda r: (r["commit"], r["slot"]))
@@ -73,13 +76,7 @@ def commit(spark: SparkSession, path: str, parts: list[tuple[str, str | None, in
 
 def _complete(spark: SparkSession, path: str) -> bool:
     """Whether plain files were written to `path` to the end."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-    except AnalysisException as error:
-        if _absent(error):
-            return False
-        raise
-    return True
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def read_parts(spark: SparkSession, path: str, parts: list[Row], schema: T.StructType | None = None) -> DataFrame:
@@ -100,6 +97,8 @@ def load_table(
     parts = current_parts(spark, path)
     if parts is not None:
         return read_parts(spark, path, parts, schema)
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no table {layer}/{version}/{name} below {root}")
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(path)
@@ -156,6 +155,23 @@ def ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def update_batches(spark: SparkSession, root: str, layer: str, name: str, version: str = "v1") -> DataFrame:
+    """(batch, rows, files, bytes, updated): the parts of a stored table in order of commit, with the time of their newest file.
+
+    From the commits and the file listing; one row per part. A table without commits is one part with unknown rows.
+    """
+    path = table_path(root, layer, name, version)
+    held = current_parts(spark, path)
+    parts = [(i, r["slot"], r["rows"]) for i, r in enumerate(held, 1)] if held is not None else [(1, "plain", None)]
+    named = spark.createDataFrame(parts, "batch int, slot string, rows long")
+    files = table_files(spark, root, layer, name, version).groupBy("slot").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("updated")
+    )
+    return named.join(files, "slot", "left").select(
+        "batch", "rows", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "updated"
+    )
+
+
 def _figures(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ticker").agg(
         F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count(F.lit(1)).alias("rows")
@@ -181,11 +197,9 @@ def table_files(spark: SparkSession, root: str, layer: str, name: str, version:
 
 def load_runs(spark: SparkSession, root: str, model_name: str | None = None) -> DataFrame:
     """Logged experiment runs in order of time, all or those of one model."""
-    try:
+    if exists(spark, f"{root}/runs"):
         runs = spark.read.schema(RUNS).parquet(f"{root}/runs")
-    except AnalysisException as error:
-        if not _absent(error):
-            raise
+    else:
         runs = spark.createDataFrame([], RUNS)
     if model_name:
         runs = runs.filter(F.col("model_name") == model_name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlake.operators import gaps, models, quality
@@ -13,15 +13,15 @@ from marketlake.plans import ingest as ingest_plan
 from marketlake.plans.gap_report import gap_report, prepared_rows
 from marketlake.plans.normalise import normalise_all
 from marketlake.plans.scratch import scratch_path
-from marketlake.schemas import OHLCV, OHLCV_COLUMNS
+from marketlake.schemas import OHLCV, OHLCV_COLUMNS, PRICE_COLUMNS
 from marketlake.sinks import export_bars, export_report, log_run, save_bars, save_table
 from marketlake.sources import composition as files
 from marketlake.sources import responses as landed
 from marketlake.sources import store
 from marketlake.streaming.ingest import ingest_available
 from suite import fixtures as fx
-from suite.registry import query
-from suite.series import RAW_OHLC
+from suite.registry import query, rounded
+from suite.series import ALL_ADJUSTED, RAW_OHLC
 
 EARLIEST, LATEST = datetime.date(1990, 1, 1), datetime.date(2010, 12, 31)
 BARS = f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv"
@@ -160,9 +160,10 @@ def s8(spark, sf):
 
 @query("S9_list_tickers", "trades", "SELECT DISTINCT ticker FROM trades")
 def s9(spark, sf):
+    """The tickers of an ingested store, from its ledger."""
     root = scratch_path(spark, "store")
-    save_bars(fx.bars(spark, sf), root, "raw", "ohlcv")
-    return quality.listed_tickers(store.load_table(spark, root, "raw", "ohlcv", schema=OHLCV))
+    ingest_plan.take_in(fx.bars(spark, sf), root)
+    return quality.listed_tickers(ingest_plan.stored_ledger(spark, root))
 
 
 @query(
@@ -291,12 +292,43 @@ def k2_stream(spark, sf):
     ),
 )
 def k3(spark, sf):
+    return _normalised(spark, sf, scratch_path(spark, "store"))
+
+
+def _normalised(spark, sf, root):
     base = scratch_path(spark, "index")
     write_historical(spark, sf, base)
     write_spot(spark, sf, f"{base}/spot.csv")
     write_divisor(spark, sf, f"{base}/divisores.csv")
     write_dividends(spark, sf, f"{base}/dividendos.csv")
-    return normalise_all(spark, base, scratch_path(spark, "store"))
+    return normalise_all(spark, base, root)
+
+
+@query(
+    "K3_stored_tables",
+    "composition spot dividends divisor",
+    """SELECT 'composition' AS dataset, date, ticker, quantity AS a, close AS b, source AS label FROM composition
+       UNION ALL SELECT 'spot', date, NULL, value, NULL, NULL FROM spot
+       UNION ALL SELECT 'dividends', date, ticker, amount, NULL, type FROM dividends
+       UNION ALL SELECT 'divisor', date, NULL, divisor, NULL, NULL FROM divisor""",
+)
+def k3_tables(spark, sf):
+    """Every row of the four tables that the job has stored."""
+    root = scratch_path(spark, "store")
+    _normalised(spark, sf, root)
+    columns = {
+        "composition": ("ticker", "quantity", "close", "source"),
+        "spot": (None, "value", None, None),
+        "dividends": ("ticker", "amount", None, "type"),
+        "divisor": (None, "divisor", None, None),
+    }
+    out = None
+    for name, picked in columns.items():
+        kinds = {"ticker": "string", "a": "double", "b": "double", "label": "string"}
+        cells = [(F.col(c) if c else F.lit(None)).cast(t).alias(k) for c, (k, t) in zip(picked, kinds.items(), strict=True)]
+        rows = store.load_table(spark, root, "raw", name).select(F.lit(name).alias("dataset"), "date", *cells)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(
@@ -312,6 +344,22 @@ def k4(spark, sf):
     return adjust_plan.adjust_all(spark, root, fx.splits(spark), asked)
 
 
+@query(
+    "K4_processed_bars",
+    "ohlcv splits",
+    ALL_ADJUSTED,
+)
+def k4_bars(spark, sf):
+    """The processed bars after a full run that lacks the splits of some tickers, and a run that adds them for these alone."""
+    root, splits = scratch_path(spark, "store"), fx.splits(spark)
+    save_bars(fx.bars(spark, sf), root, "raw", ingest_plan.BARS)
+    late = F.col("ticker").isin("S2", "S8")
+    adjust_plan.adjust_all(spark, root, splits.filter(~late))
+    adjust_plan.adjust_all(spark, root, splits, splits.filter(late).select(F.lower("ticker").alias("ticker")))
+    out = store.load_table(spark, root, "processed", ingest_plan.BARS, schema=OHLCV)
+    return rounded(out, *PRICE_COLUMNS, "volume", digits=8)
+
+
 @query(
     "A16_run_totals",
     "trades",
@@ -336,14 +384,20 @@ def a16_failed(spark, sf):
 
 @query(
     "A9_last_update",
-    "",
-    "SELECT true AS updated",
+    "ohlcv",
+    """SELECT CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS batch, n AS rows, true AS has_files,
+              CASE WHEN row_number() OVER (ORDER BY d) > 1 THEN true END AS newer
+       FROM (SELECT date >= DATE '1998-01-01' AS d, count(*) AS n FROM ohlcv GROUP BY 1)""",
 )
 def a9_update(spark, sf):
-    root = scratch_path(spark, "store")
-    save_table(fx.bars(spark, sf), root, "raw", "ohlcv")
-    newest = quality.last_update(store.load_table(spark, root, "raw", "ohlcv"))
-    return newest.select((F.col("last_update") > F.lit("2020-01-01").cast("timestamp")).alias("updated"))
+    """The batches of an ingested table, from its commits and file listing: rows, files, and whether it is newer than the last."""
+    root, early = scratch_path(spark, "store"), F.col("date") < F.lit(datetime.date(1998, 1, 1))
+    bars = fx.bars(spark, sf)
+    for part in (early, ~early):
+        ingest_plan.take_in(bars.filter(part), root)
+    before = F.lag("updated").over(Window.orderBy("batch"))  # one row per batch
+    batches = store.update_batches(spark, root, "raw", ingest_plan.BARS)
+    return batches.select("batch", "rows", (F.col("files") > 0).alias("has_files"), (F.col("updated") > before).alias("newer"))
 
 
 @query(

@@ -362,12 +362,11 @@ def d2(spark, sf):
     return adjust.adjusted_counts(adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark)))
 
 
-@query(
-    "D3_adjust_all_splits_and_volume",
-    "ohlcv splits",
-    f"""SELECT date, ticker, {_ADJUSTED}, round(volume * ratio, 8) AS volume
-        FROM ({_FACTORS.format(splits="splits")})""",
-)
+ALL_ADJUSTED = f"""SELECT date, ticker, {_ADJUSTED}, round(volume * ratio, 8) AS volume
+        FROM ({_FACTORS.format(splits="splits")})"""
+
+
+@query("D3_adjust_all_splits_and_volume", "ohlcv splits", ALL_ADJUSTED)
 def d3(spark, sf):
     df = adjust.adjust_prices(
         fx.bars(spark, sf), fx.splits(spark), index_only=False, volume_mode="multiply"
