@@ -28,6 +28,9 @@ COMPOSITION = T.StructType(
     ]
 )
 
+# A line of the alternative price file, before anything is parsed.
+PRICE_LINES = T.StructType([T.StructField(c, T.StringType()) for c in ("ticker", "date", "open", "close")])
+
 SPLITS = T.StructType(
     [
         T.StructField("ticker", T.StringType()),

@@ -18,6 +18,7 @@ from marketlake.sinks import export_bars, export_report, log_run, save_bars, sav
 from marketlake.sources import composition as files
 from marketlake.sources import responses as landed
 from marketlake.sources import store
+from marketlake.sources.prices import read_price_csv
 from marketlake.streaming.ingest import ingest_available
 from suite import fixtures as fx
 from suite.registry import query, rounded
@@ -107,6 +108,58 @@ def s3(spark, sf):
     return files.load_current(spark, base)
 
 
+def _screened(spark, sf):
+    """The projected files with faults: those of January have no full date in their name, in those of February one line in seven lacks its
+    number, in those of March every fifth has a field too many."""
+    month, rank = F.month("date"), F.crc32(F.col("ticker").cast("binary"))
+    named = F.when(month == 1, F.concat(F.lit("last"), F.year("date"))).otherwise(F.date_format("date", "yyyyMMdd"))
+    count = _comma(F.col("quantity"))
+    line = F.when((month == 2) & (rank % 7 == 0), F.concat("ticker", F.lit(";many"))).when(
+        (month == 3) & (rank % 5 == 0), F.concat("ticker", F.lit(";"), count, F.lit(";1;2"))
+    )
+    lines = fx.projected(spark, sf).select(
+        F.coalesce(line, F.concat("ticker", F.lit(";"), count)).alias("value"), F.concat(named, F.lit(".csv")).alias("proyectada_file")
+    )
+    base = scratch_path(spark, "faulty")
+    # One task writes the header and all lines of a file.
+    files_ = lines.groupBy("proyectada_file").agg(F.concat_ws("\n", F.lit("contrato;cantidad"), F.collect_list("value")).alias("value"))
+    files_.write.partitionBy("proyectada_file").text(f"{base}/Cartera Proyectada")
+    return files.screened(spark, base, "proyectada")
+
+
+_FAULTS = """
+SELECT date, CASE WHEN month(date) = 1 THEN 'last' || year(date) ELSE strftime(date, '%Y%m%d') END || '.csv' AS file,
+       CASE WHEN month(date) = 1 THEN 'no date in name'
+            WHEN month(date) = 2 AND bool_or(ticker IN (SELECT ticker FROM picked WHERE rank % 7 = 0)) THEN 'unreadable number'
+            WHEN month(date) = 3 AND bool_or(ticker IN (SELECT ticker FROM picked WHERE rank % 5 = 0)) THEN 'wrong number of fields' END AS reason
+FROM projected GROUP BY date"""
+
+
+_PICKED = """
+SELECT ticker, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(ticker, ''), lambda x: ord(x)::BIGINT),
+         lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))) AS rank
+FROM (SELECT DISTINCT ticker FROM projected)"""
+
+
+@query(
+    "S2_rejected_files",
+    "projected",
+    f"SELECT file, reason FROM (WITH picked AS ({_PICKED}) {_FAULTS}) WHERE reason IS NOT NULL",
+)
+def s2_rejected(spark, sf):
+    rejected = _screened(spark, sf)[1]
+    return rejected.select(F.regexp_extract("file", "proyectada_file=([^/]+)", 1).alias("file"), "reason")
+
+
+@query(
+    "S2_accepted_rows",
+    "projected",
+    f"""SELECT p.* FROM projected p JOIN (WITH picked AS ({_PICKED}) {_FAULTS}) f ON f.date = p.date WHERE f.reason IS NULL""",
+)
+def s2_accepted(spark, sf):
+    return _screened(spark, sf)[0]
+
+
 @query("S4_spot_series", "spot", "SELECT date, value FROM spot")
 def s4(spark, sf):
     path = scratch_path(spark, "spot") + ".csv"
@@ -179,8 +232,7 @@ def s11(spark, sf):
         "date", F.col("quantity").alias("open"), F.col("quantity").alias("close"), F.lower("ticker").alias("ticker")
     )
     extra.write.option("header", True).csv(path)
-    lines = spark.read.option("header", True).csv(path)
-    return prepared_rows(fx.bars(spark, sf), lines)
+    return prepared_rows(fx.bars(spark, sf), read_price_csv(spark, path))
 
 
 @query("S15_load_or_build", "divisor", "SELECT date, divisor FROM divisor")

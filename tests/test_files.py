@@ -7,12 +7,14 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from marketlake.functions import instrument_id, instrument_ticker, spanish_number
+from marketlake.operators.gaps import csv_rows
 from marketlake.plans.adjust_all import adjust_all
 from marketlake.plans.ingest import ingest, stored_bars
 from marketlake.plans.normalise import normalise_all
 from marketlake.sinks import export_bars, export_report, log_run, save_bars, save_table
 from marketlake.sources import composition as files
 from marketlake.sources import events, store
+from marketlake.sources.prices import read_price_csv
 from marketlake.sources.responses import bars_from_responses, read_responses, validated
 from marketlake.streaming.ingest import ingest_available
 from tests.conftest import day
@@ -83,6 +85,30 @@ def test_no_files_give_an_empty_table(spark, tmp_path):
         files.load_composition(spark, str(tmp_path), "other")
 
 
+def test_files_are_read_once_for_rows_and_report(spark, base):
+    folder = Path(base) / "Cartera Proyectada"
+    write(folder / "proyectada_20240107.csv", '"contrato";"cantidad"\n"GGAL";"1";"2";"3"\n')
+    accepted, rejected = files.screened(spark, base, "proyectada")
+    for f in folder.iterdir():
+        f.unlink()  # both results come from what was kept
+    assert rows(accepted, "ticker", "quantity") == [("BYMA", "None"), ("GGAL", "1234.5")]
+    assert {r.file.rsplit("/", 1)[1]: r.reason for r in rejected.collect()} == {
+        "proyectada_last.csv": "no date in name",
+        "proyectada_20240106.csv": "unreadable number",
+        "proyectada_20240107.csv": "wrong number of fields",
+    }
+
+
+def test_price_csv(spark, tmp_path):
+    write(tmp_path / "p.csv", "close,extra,ticker,date,open\n2.5,x,ggal ,2024-01-02,2\n1,x,GGAL,someday,1\n,x,BYMA,2024-01-02,1\n")
+    lines = read_price_csv(spark, str(tmp_path / "p.csv"))
+    assert lines.columns == ["ticker", "date", "open", "close"] and lines.count() == 3
+    assert rows(csv_rows(lines), "instrument", "date", "open", "close") == [("GGAL", "2024-01-02", "2.0", "2.5")]
+    write(tmp_path / "q.csv", "ticker,date\nA,2024-01-02\n")
+    with pytest.raises(ValueError, match="open, close"):
+        read_price_csv(spark, str(tmp_path / "q.csv"))
+
+
 def test_an_impossible_date_in_the_name_fails(spark, tmp_path):
     write(tmp_path / "Cartera Proyectada/proyectada_20241399.csv", "contrato;cantidad\nGGAL;1\n")
     with pytest.raises(PySparkException):
