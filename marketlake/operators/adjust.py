@@ -53,6 +53,23 @@ def factors_by_interval(bars: DataFrame, intervals: DataFrame) -> DataFrame:
     )
 
 
+def factors_by_ladder(bars: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The same with the intervals of a ticker in one row, oldest first, so that bars join on the ticker alone.
+
+    A bar takes the first interval that ends after it. Bars keep how they are partitioned: the join needs them by ticker, which is what
+    the windows that follow need, or not at all where Spark finds the intervals small enough to broadcast. A ticker has no more intervals
+    than it has days.
+    """
+    steps = intervals.groupBy(F.col("ticker").alias("_t")).agg(
+        F.array_sort(F.collect_list(F.struct("valid_to", "ratio"))).alias("_steps")
+    )
+    next_step = F.get(F.filter("_steps", lambda s: s["valid_to"] > F.col("date")), F.lit(0))["ratio"]
+    joined = bars.join(steps, F.upper(bars["ticker"]) == F.col("_t"), "left")
+    return joined.select(
+        F.coalesce(next_step, F.lit(1.0)).alias("split_ratio"), *bars.columns, F.col("_t").isNotNull().alias("split_adjusted")
+    )
+
+
 def factors_by_merge(bars: DataFrame, intervals: DataFrame) -> DataFrame:
     """Bars with the cumulative ratio of the splits after them: one pass over both by date.
 
@@ -95,7 +112,7 @@ def adjust_prices(
     """
     if volume_mode not in ("keep", "multiply"):
         raise ValueError(f"unknown volume_mode {volume_mode!r}")
-    factored = factors_by_merge(bars, split_intervals(splits, index_only))
+    factored = factors_by_ladder(bars, split_intervals(splits, index_only))
     factor = 1 / F.col("split_ratio")
     columns = {c: F.col(c) * factor for c in PRICE_COLUMNS if c in bars.columns}
     if volume_mode == "multiply" and "volume" in bars.columns:
@@ -148,7 +165,8 @@ def splits_from_actions(dividends: DataFrame, known: DataFrame | None = None) ->
     )
     if known is None:
         return found
-    return known.unionByName(found.join(known, ["ticker", "date"], "left_anti"))
+    listed = known.select(F.upper("ticker").alias("_t"), F.col("date").alias("_d"))
+    return known.unionByName(found.join(listed, (found["ticker"] == F.col("_t")) & (found["date"] == F.col("_d")), "left_anti"))
 
 
 def null_dirty_values(bars: DataFrame, dirty: DataFrame) -> DataFrame:

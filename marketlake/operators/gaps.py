@@ -10,6 +10,8 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from marketlake.functions import normal_ticker, ratio, without_nan
+from marketlake.operators.digest import DAY_WORDS, days_digest
+from marketlake.plans.scratch import checkpointed
 
 # Alert types and membership labels of the report.
 FALL = "split_candidato"
@@ -60,19 +62,34 @@ def _nonzero(rows: DataFrame) -> DataFrame:
     return rows.dropna().filter((F.col("open") != 0) & (F.col("close") != 0))
 
 
-def first_seen(sources: list[DataFrame]) -> DataFrame:
-    """One row per (instrument, date): the first source that has it, by value within a source.
+def first_seen(sources: list[DataFrame], unique: bool = False) -> DataFrame:
+    """One row per (instrument, date): the first source that has it with an open, by value within a source.
 
-    An aggregate with map-side combine, so many copies of one key never meet in one task.
+    Two aggregates with map-side combine, so many copies of one key never meet in one task. Keys and buffers have a fixed
+    width, so both hash and nothing is sorted: the first leaves one close for each open of a source, the second picks the
+    smallest open of every source and the close that belongs to it. With `unique`, a single source whose rows are
+    unique already is taken as it is.
     """
-    ranked = [df.withColumn("_source", F.lit(i)) for i, df in enumerate(sources)]
+    if unique and len(sources) == 1:
+        return sources[0].select("instrument", "date", "open", "close")
+    n = len(sources)
+    ranked = [df.withColumn("_rank", F.lit(i) + n * F.col("open").isNull().cast("int")) for i, df in enumerate(sources)]
     rows = reduce(lambda a, b: a.unionByName(b), ranked)
-    best = F.min(F.struct(F.col("open").isNull(), "_source", "open", "close"))
-    return (
-        rows.groupBy("instrument", "date")
-        .agg(best.alias("_best"))
-        .select("instrument", "date", "_best.open", "_best.close")
+    distinct = rows.groupBy("instrument", "date", "_rank", "open").agg(F.min("close").alias("close"))
+
+    def of(rank: int, column: str) -> Column:
+        return F.when(F.col("_rank") == rank, F.col(column))
+
+    best = distinct.groupBy("instrument", "date").agg(
+        F.min("_rank").alias("_rank"),
+        *[F.min(of(i, "open")).alias(f"_open{i}") for i in range(n)],
+        *[F.min_by("close", of(i, "open")).alias(f"_close{i}") for i in range(n)],
+        *[F.min(of(i, "close")).alias(f"_close{i}") for i in range(n, 2 * n)],
     )
+    at = F.col("_rank") + 1
+    opened = F.array(*[F.col(f"_open{i}") for i in range(n)], *[F.lit(None).cast("double")] * n)
+    closed = F.array(*[F.col(f"_close{i}") for i in range(2 * n)])
+    return best.select("instrument", "date", F.element_at(opened, at).alias("open"), F.element_at(closed, at).alias("close"))
 
 
 def overnight_gaps(rows: DataFrame) -> DataFrame:
@@ -109,23 +126,39 @@ def detect_gaps(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def detect_gaps_with_context(
     rows: DataFrame, threshold: float = THRESHOLD, reach: int = CONTEXT_ROWS
 ) -> DataFrame:
-    """Alerts with the rows around them, `reach` to either side, as an array of records."""
-    change = ratio(F.col("close") - F.col("prev_close"), F.col("prev_close")) * 100
-    dated = overnight_gaps(rows).withColumn("_change", F.bround(change, 2))
-    record = F.struct("date", "open", "close", F.col("_change").alias("var_dia_pct"))
-    around = F.collect_list(record).over(by_date().rowsBetween(-reach, reach))
-    alerts = _alert_columns(dated.withColumn("_around", around), threshold, "_around")
-    context = F.transform(
-        "_around",
-        lambda r: F.struct(
-            F.date_format(r["date"], "dd/MM/yyyy").alias("fecha"),
-            r["open"].alias("open"),
-            r["close"].alias("close"),
-            r["var_dia_pct"].alias("var_dia_pct"),
-            (r["date"] == F.col("date")).alias("is_event"),
-        ),
-    )
-    return alerts.withColumn("context", context).drop("_around")
+    """Alerts with the rows around them, `reach` to either side, as an array of records.
+
+    The values around a row are offsets in the one window that finds the previous close; arrays and texts are made of them for
+    alerts only.
+    """
+    steps = range(-reach, reach + 1)
+    at = {
+        (c, k): F.lag(c, -k).over(by_date()).alias(f"_{c}_{k + reach + 1}")
+        for c in ("date", "open", "close")
+        for k in ([-reach - 1, *steps] if c == "close" else steps)
+    }
+    prev = F.lag("close").over(by_date()).alias("prev_close")
+    around = rows.select("*", prev, *at.values())
+    gap = ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")) * 100
+    name = lambda c, k: F.col(f"_{c}_{k + reach + 1}")
+    held = [name(c, k).alias(f"_{c}_{k + reach + 1}") for c, k in at]
+    alerts = _alert_columns(around.withColumn("gap", gap), threshold, *held)
+    records = [
+        F.when(
+            name("date", k).isNotNull(),
+            F.struct(
+                F.date_format(name("date", k), "dd/MM/yyyy").alias("fecha"),
+                name("open", k).alias("open"),
+                name("close", k).alias("close"),
+                F.bround(ratio(name("close", k) - name("close", k - 1), name("close", k - 1)) * 100, 2).alias("var_dia_pct"),
+                F.lit(k == 0).alias("is_event"),
+            ),
+        )
+        for k in steps
+    ]
+    context = F.filter(F.array(*records), lambda r: r.isNotNull())
+    kept = [c for c in alerts.columns if not c.startswith(("_date_", "_open_", "_close_"))]
+    return alerts.select(*kept, context.alias("context"))
 
 
 def membership(composition: DataFrame) -> DataFrame:
@@ -159,12 +192,18 @@ def alert_totals(flagged: DataFrame) -> DataFrame:
 
 
 def analysed_totals(rows: DataFrame) -> DataFrame:
-    """What was looked at: rows, distinct instruments, distinct dates."""
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("instrument").alias("n_instruments"),
-        F.countDistinct("date").alias("n_dates"),
-    )
+    """What was looked at: rows, distinct instruments, distinct dates; exact, in one pass over the rows.
+
+    All three come from a digest with a row per instrument and year, which is kept in the checkpoint folder.
+    """
+    digest = checkpointed(days_digest(rows, "instrument"))
+    years = digest.groupBy("year").agg(*[F.bit_or(w).alias(w) for w in DAY_WORDS])
+    days = reduce(lambda a, b: a + b, [F.bit_count(w) for w in DAY_WORDS])
+    n_dates = years.filter("year IS NOT NULL").agg(F.coalesce(F.sum(days.cast("bigint")), F.lit(0).cast("bigint"))).scalar()
+    per_instrument = digest.groupBy("instrument").agg(F.sum("n").alias("n"))
+    return per_instrument.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n_rows"), F.count("instrument").alias("n_instruments")
+    ).withColumn("n_dates", n_dates)
 
 
 def report(flagged: DataFrame) -> DataFrame:
@@ -198,18 +237,18 @@ def classify_alerts(
         ("macro_event", exploded_events(events).select(F.col("ticker").alias("instrument"), "date")),
         ("dirty_data", dirty.select(F.upper("ticker").alias("instrument"), "date")),
     ]
-    known = reduce(
-        lambda a, b: a.unionByName(b),
-        [df.withColumns({"_rank": F.lit(i), "cause": F.lit(c)}) for i, (c, df) in enumerate(lists)],
-    )
-    first = known.groupBy("instrument", "date").agg(F.min_by("cause", "_rank").alias("cause"))
-    return alerts.join(first, ["instrument", "date"], "left").withColumn(
-        "cause", F.coalesce("cause", F.lit("unexplained"))
+    known = reduce(lambda a, b: a.unionByName(b), [df.withColumn("_rank", F.lit(i)) for i, (_, df) in enumerate(lists)])
+    first = known.groupBy("instrument", "date").agg(F.min("_rank").alias("_rank"))  # a number, so that it hashes
+    cause = F.get(F.array(*[F.lit(c) for c, _ in lists]), F.col("_rank"))
+    return (
+        alerts.join(first, ["instrument", "date"], "left")
+        .withColumn("cause", F.coalesce(cause, F.lit("unexplained")))
+        .drop("_rank")
     )
 
 
 def event_dummies(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """`macro_event` per bar: 1 or -1 on a positive or negative event of that ticker, else 0."""
+    """`macro_event` per bar: 1 or -1 on a positive or negative event of that ticker, in any case, else 0."""
     sign = (
         F.when(F.col("direction") == "positive", 1)
         .when(F.col("direction") == "negative", -1)
@@ -217,8 +256,9 @@ def event_dummies(bars: DataFrame, events: DataFrame) -> DataFrame:
     )
     marks = (
         exploded_events(events)
-        .groupBy("ticker", "date")
+        .groupBy(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
         .agg(F.signum(F.sum(sign).cast("double")).cast("int").alias("macro_event"))
     )
-    joined = bars.join(marks, ["ticker", "date"], "left")
+    on = (normal_ticker(bars["ticker"]) == F.col("_t")) & (bars["date"] == F.col("_d"))
+    joined = bars.join(marks, on, "left").drop("_t", "_d")
     return joined.withColumn("macro_event", F.coalesce("macro_event", F.lit(0)))

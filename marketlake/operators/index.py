@@ -78,18 +78,19 @@ def quarterly_weights(composition: DataFrame) -> DataFrame:
     )
 
 
-def _quarter_grid(tickers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every ticker with every quarter seen; the list of quarters is bounded by the calendar."""
-    quarters = rows.agg(F.array_sort(F.collect_set("quarter")).alias("quarters")).scalar()
-    return tickers.select("ticker").distinct().withColumn("quarter", F.explode(quarters))
-
-
 def weight_matrix(composition: DataFrame) -> DataFrame:
-    """Quarterly weights on the full ticker by quarter grid, 0 where absent."""
-    weights = quarterly_weights(composition)
-    grid = _quarter_grid(weights, weights)
-    joined = grid.join(weights, ["ticker", "quarter"], "left")
-    return joined.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    """Quarterly weights on the full ticker by quarter grid, 0 where absent.
+
+    Each ticker's weights go into one map, over which the list of quarters is spread; the calendar bounds both. The list comes from the
+    daily totals, so the weights are computed once.
+    """
+    days = total_market_cap(composition).filter(F.col("total") > 0)
+    quarters = days.agg(F.array_sort(F.collect_set(quarter_label(F.col("date")))).alias("quarters")).scalar()
+    entry = F.struct("quarter", "weight")
+    held = quarterly_weights(composition).groupBy("ticker").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+    return held.select("ticker", "held", F.explode(quarters).alias("quarter")).select(
+        "ticker", "quarter", F.coalesce(F.col("held")[F.col("quarter")], F.lit(0.0)).alias("weight")
+    )
 
 
 def presence_matrix(composition: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ the number of bars. Stored bars are read only where a batch brings dates within
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,30 @@ def stored_ledger(spark: SparkSession, root: str, version: str = "v1") -> DataFr
 
 
 def one_per_day(bars: DataFrame) -> DataFrame:
-    """One bar per ticker and date, the same one on every run, combined map-side."""
-    best = F.min(F.struct("open", "high", "low", "close", "volume"))
-    return bars.groupBy("ticker", "date").agg(best.alias("_bar")).select("date", "_bar.*", "ticker")
+    """One bar per ticker and date, the same one on every run: of different bars the smallest in the order of their columns.
+
+    A hashed aggregate of plain numbers, kept in the scratch folder, finds the days whose bars differ; only those are compared.
+    """
+    values = ["open", "high", "low", "close", "volume"]
+    days = written(
+        bars.groupBy("ticker", "date").agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.min(c).alias(c) for c in values],
+            *[F.max(c).alias(f"_max_{c}") for c in values],
+            *[F.count(c).alias(f"_n_{c}") for c in values],
+        ),
+        "days",
+    )
+    alike = reduce(
+        lambda a, b: a & b,
+        [(F.col(f"_n_{c}") == 0) | ((F.col(f"_n_{c}") == F.col("n")) & (F.col(c) == F.col(f"_max_{c}"))) for c in values],
+    )
+    clear, differ = days.filter(alike).select(*OHLCV_COLUMNS), days.filter(~alike).select(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
+    if differ.isEmpty():
+        return clear
+    several = bars.join(differ, bars["ticker"].eqNullSafe(F.col("_t")) & bars["date"].eqNullSafe(F.col("_d")), "left_semi")
+    best = several.groupBy("ticker", "date").agg(F.min(F.struct(*values)).alias("_bar"))
+    return clear.unionByName(best.select("date", "_bar.*", "ticker"))
 
 
 def take_in(bars: DataFrame, root: str, version: str = "v1", extend: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +70,7 @@ def take_in(bars: DataFrame, root: str, version: str = "v1", extend: bool = True
     fails midway is never seen, and running it again stores it as if for the first time.
     """
     spark, path = bars.sparkSession, store.table_path(root, "raw", BARS, version)
-    incoming, had = written(one_per_day(bars), "incoming"), stored_ledger(spark, root, version)
+    incoming, had = one_per_day(bars), stored_ledger(spark, root, version)
     known = had.select(F.col("ticker").alias("_t"), "date_min", "date_max", F.lit(True).alias("_known"))
     seen = incoming.join(known, incoming["ticker"].eqNullSafe(F.col("_t")), "left")
     is_known = F.coalesce("_known", F.lit(False))

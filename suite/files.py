@@ -480,7 +480,7 @@ def a9_batches(spark, sf):
 )
 def k5(spark, sf):
     path = scratch_path(spark, "report") + ".csv"
-    export_report(gaps.report(gap_report(fx.bars(spark, sf))), path)
+    export_report(gaps.report(gap_report(fx.bars(spark, sf), unique=True)), path)
     schema = "ticker string, fecha string, tipo string, variacion_pct double, ratio_implicito double, en_indice string"
     return spark.read.schema(schema).option("header", True).csv(path)
 

@@ -58,7 +58,7 @@ def a9(spark, sf):
         GROUP BY 1, 2""",
 )
 def a15(spark, sf):
-    return gaps.alert_totals(gap_report(fx.bars(spark, sf), _members(spark, sf)))
+    return gaps.alert_totals(gap_report(fx.bars(spark, sf), _members(spark, sf), unique=True))
 
 
 def _members(spark, sf):
@@ -74,7 +74,7 @@ def _members(spark, sf):
        FROM gaps""",
 )
 def a15_analysed(spark, sf):
-    return gaps.analysed_totals(prepared_rows(fx.bars(spark, sf)))
+    return gaps.analysed_totals(prepared_rows(fx.bars(spark, sf), unique=True))
 
 
 @query(
@@ -84,7 +84,7 @@ def a15_analysed(spark, sf):
         FROM alerts a LEFT JOIN {_MEMBERS} p ON p.ticker = a.instrument AND p.date = a.date""",
 )
 def j4(spark, sf):
-    alerts = gaps.detect_gaps(prepared_rows(fx.bars(spark, sf)))
+    alerts = gaps.detect_gaps(prepared_rows(fx.bars(spark, sf), unique=True))
     return gaps.flag_membership(alerts, _members(spark, sf)).select("instrument", "date", "en_indice")
 
 
@@ -96,7 +96,7 @@ def j4(spark, sf):
         FROM alerts a LEFT JOIN {_MEMBERS} p ON p.ticker = a.instrument AND p.date = a.date""",
 )
 def d4(spark, sf):
-    return gaps.report(gap_report(fx.bars(spark, sf), _members(spark, sf)))
+    return gaps.report(gap_report(fx.bars(spark, sf), _members(spark, sf), unique=True))
 
 
 _RAW_SCAN = """(SELECT '  ' || lower(ticker) || ' ' AS ticker, date,
@@ -167,7 +167,7 @@ def u3(spark, sf):
        LEFT JOIN dirty d ON d.ticker = a.instrument AND d.date = a.date""",
 )
 def x2(spark, sf):
-    alerts = gaps.detect_gaps(prepared_rows(fx.bars(spark, sf)))
+    alerts = gaps.detect_gaps(prepared_rows(fx.bars(spark, sf), unique=True))
     lists = fx.splits(spark), fx.macro_events(spark), fx.dirty(spark, sf)
     return gaps.classify_alerts(alerts, *lists).select("instrument", "date", "cause")
 

@@ -65,6 +65,21 @@ def p4(spark, sf):
     return ranged(spark, sf)
 
 
+@query(
+    "P5_trailing_range_from_a_day",
+    "ohlcv",
+    f"""SELECT p AS period, ticker, date, close FROM ohlcv, (VALUES ('MAX', DATE '{fx.RANGE_FROM}'), ('all', DATE '{fx.RANGE_FROM}'),
+          ('1Y', DATE '2000-06-30')) AS v(p, d) WHERE date >= d""",
+)
+def p5_start(spark, sf):
+    """MAX and an unknown label begin at a fixed day; the others as ever."""
+    b, out = fx.bars(spark, sf).select("ticker", "date", "close"), None
+    for p in ("MAX", "all", "1Y"):
+        part = selection.trailing_range(b, p, fx.AS_OF, max_start=fx.RANGE_FROM).withColumn("period", F.lit(p))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "P5_trailing_range",
     "ohlcv",
@@ -256,22 +271,43 @@ _ALERT = """instrument, date, date_str, tipo, variacion_pct, ratio_implicito,
 
 @query("W5_overnight_gap", "alerts", f"SELECT {_ALERT} FROM alerts")
 def w5(spark, sf):
-    return gaps.detect_gaps(prepared_rows(fx.bars(spark, sf)))
+    return gaps.detect_gaps(prepared_rows(fx.bars(spark, sf), unique=True))
+
+
+_STEPS = range(-3, 4)
+_NAMES = {k: f"m{-k}" if k < 0 else f"p{k}" for k in _STEPS}
+
+
+def _offset(column, k):
+    return f"lag({column}, {-k}) OVER w" if k < 0 else f"lead({column}, {k}) OVER w"
+
+
+_AROUND = ", ".join(
+    f"strftime({_offset('date', k)}, '%d/%m/%Y') AS fecha_{n}, {_offset('open', k)} AS open_{n}, {_offset('close', k)} AS close_{n}, "
+    f"round_even({_offset('(close - prev_close) / prev_close * 100', k)}, 2) + 0.0::DOUBLE AS var_{n}"  # no -0.0
+    for k, n in _NAMES.items()
+)
 
 
 @query(
     "W6_gap_context",
     "alerts",
-    """SELECT a.instrument, a.date, g.rn - a.rn + least(a.rn - 1, 3) AS pos,
-              strftime(g.date, '%d/%m/%Y') AS fecha, g.open, g.close,
-              round_even((g.close - g.prev_close) / g.prev_close * 100, 2) + 0.0::DOUBLE AS var_dia_pct,  -- no -0.0
-              g.rn = a.rn AS is_event
-       FROM alerts a JOIN gaps g ON g.instrument = a.instrument AND g.rn BETWEEN a.rn - 3 AND a.rn + 3""",
+    f"""SELECT * EXCLUDE (gap), least(rn, 4) AS pos FROM (
+          SELECT instrument, date, gap, rn, {_AROUND}, least(rn - 1, 3) + 1 + least(n - rn, 3) AS n_context
+          FROM gaps WINDOW w AS (PARTITION BY instrument ORDER BY date))
+        WHERE abs(gap) > 30""".replace("EXCLUDE (gap)", "EXCLUDE (gap, rn)"),
 )
 def w6(spark, sf):
-    alerts = gaps.detect_gaps_with_context(prepared_rows(fx.bars(spark, sf)))
-    rows = alerts.select("instrument", "date", F.posexplode("context").alias("pos", "c"))
-    return rows.select("instrument", "date", F.col("pos").cast("long").alias("pos"), "c.*")
+    """One row per alert: how many rows its context has, the place of the event in it, and each of them in columns."""
+    alerts = gaps.detect_gaps_with_context(prepared_rows(fx.bars(spark, sf), unique=True))
+    place = F.array_position(F.transform("context", lambda r: r["is_event"]), True)
+    placed = alerts.select("instrument", "date", "context", place.alias("pos"))
+    cells = [
+        F.when(F.col("pos") + k > 0, F.get("context", (F.col("pos") + k - 1).cast("int")))[c].alias(f"{n}_{_NAMES[k]}")
+        for k in _STEPS
+        for c, n in (("fecha", "fecha"), ("open", "open"), ("close", "close"), ("var_dia_pct", "var"))
+    ]
+    return placed.select("instrument", "date", "pos", F.size("context").cast("long").alias("n_context"), *cells)
 
 
 @query(
@@ -325,6 +361,19 @@ def j2(spark, sf):
     return rounded(df.select("date", "ticker", "split_ratio"), "split_ratio", digits=6)
 
 
+@query(
+    "J2_split_ladder",
+    "ohlcv action_days",
+    """SELECT b.date, b.ticker, round(ln(coalesce(product(s.ratio), 1)), 6) AS log_ratio
+       FROM ohlcv b LEFT JOIN action_days s ON s.ticker = b.ticker AND b.date < s.date
+       GROUP BY b.date, b.ticker""",
+)
+def j2_ladder(spark, sf):
+    intervals = adjust.split_intervals(action_splits(spark, sf))
+    df = adjust.factors_by_ladder(fx.bars(spark, sf), intervals)
+    return df.select("date", "ticker", F.round(F.ln("split_ratio"), 6).alias("log_ratio"))
+
+
 @query(
     "J2_split_merge",
     "ohlcv action_days",
@@ -385,7 +434,7 @@ def d3(spark, sf):
 )
 def flagship(spark, sf):
     adjusted = adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark))
-    rows = gaps.scan_rows(adjusted)
+    rows = prepared_rows(adjusted, unique=True)
     jumps = gaps.overnight_gaps(rows).filter(F.abs("gap") > gaps.THRESHOLD)
     found = jumps.groupBy(F.col("instrument").alias("ticker")).agg(
         F.count(F.lit(1)).alias("n_alerts"), F.max(F.abs("gap")).alias("largest")
