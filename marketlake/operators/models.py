@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,28 +84,97 @@ def strategy_metrics(signals: DataFrame) -> DataFrame:
     )
 
 
-REGRESSORS = {
-    "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0),
-    "lasso": lambda: LinearRegression(regParam=0.01, elasticNetParam=1.0),
+@dataclass(frozen=True)
+class LinearFit:
+    """A fitted line: prediction = intercept + sum of coefficient * feature."""
+
+    features: tuple[str, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        terms = [F.col(f).cast("double") * c for f, c in zip(self.features, self.coefficients, strict=True)]
+        return rows.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.lit(self.intercept)))
+
+
+def moments(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population covariances of the columns, in one pass and one row."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = rows.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs],
+    ).first()
+    if row["m0"] is None:
+        raise ValueError("no complete rows to fit")
+    covariance = np.empty((len(columns), len(columns)))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = row[f"c{i}_{j}"]
+    return np.array([row[f"m{i}"] for i in range(len(columns))]), covariance
+
+
+def fit_linear(rows: DataFrame, features: list[str], target: str, l1: float = 0.0, l2: float = 0.0) -> LinearFit:
+    """Least squares with penalties on the coefficients of standardised features and target.
+
+    Minimises |y - Xb|^2 / 2n + l1 |b| + l2 |b|^2 / 2 for columns of mean 0 and population variance 1, from the moments alone: normal
+    equations without l1, else cyclic coordinate descent until no coefficient moves. A constant feature gets 0.
+    """
+    mean, covariance = moments(rows, [*features, target])
+    spread = np.sqrt(np.diag(covariance))
+    used = [i for i in range(len(features)) if spread[i] > 0]
+    b = np.zeros(len(features))
+    if used and spread[-1] > 0:
+        correlation = covariance / np.outer(np.where(spread > 0, spread, 1), np.where(spread > 0, spread, 1))
+        within, towards = correlation[np.ix_(used, used)], correlation[used, -1]
+        b[used] = _descend(within, towards, l1, l2) if l1 else np.linalg.solve(within + l2 * np.eye(len(used)), towards)
+    coefficients = b * spread[-1] / np.where(spread[:-1] > 0, spread[:-1], 1)
+    return LinearFit(tuple(features), tuple(map(float, coefficients)), float(mean[-1] - coefficients @ mean[:-1]))
+
+
+def _descend(within: np.ndarray, towards: np.ndarray, l1: float, l2: float, most: int = 10_000) -> np.ndarray:
+    b = np.zeros(len(towards))
+    for _ in range(most):
+        before = b.copy()
+        for j in range(len(b)):
+            rest = towards[j] - within[j] @ b + within[j, j] * b[j]
+            b[j] = np.sign(rest) * max(abs(rest) - l1, 0.0) / (within[j, j] + l2)
+        if np.abs(b - before).max() < 1e-14:
+            break
+    return b
+
+
+#: Penalties of the linear regressors, and the trees.
+PENALTIES = {"ridge": {"l1": 0.0, "l2": 0.1}, "lasso": {"l1": 0.01, "l2": 0.0}}
+TREES = {
     "random_forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=5, seed=42),
     "boosted_trees": lambda: GBTRegressor(maxIter=10, maxDepth=3, seed=42),
 }
+REGRESSORS = [*PENALTIES, *TREES]
 
 
 def fit_regressor(
     kind: str, rows: DataFrame, features: list[str], target: str, **params: object
-) -> Model:
-    """Fit one of REGRESSORS; rows with a null feature or target are left out."""
-    if kind not in REGRESSORS:
-        raise ValueError(f"unknown regressor {kind!r}, choose from {list(REGRESSORS)}")
-    estimator = REGRESSORS[kind]().setFeaturesCol("features").setLabelCol(target)
-    return estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(
-        _assembled(rows.dropna(subset=[*features, target]), features)
-    )
+) -> Model | LinearFit:
+    """Fit one of REGRESSORS; rows with a null feature or target are left out.
 
-
-def predict(model: Model, rows: DataFrame, features: list[str]) -> DataFrame:
+    Trees pass over the rows once for each level, so these are persisted meanwhile, and released after.
+    """
+    if kind not in REGRESSORS:
+        raise ValueError(f"unknown regressor {kind!r}, choose from {REGRESSORS}")
+    complete = rows.dropna(subset=[*features, target])
+    if kind in PENALTIES:
+        return fit_linear(complete, features, target, **(PENALTIES[kind] | params))
+    estimator = TREES[kind]().setFeaturesCol("features").setLabelCol(target)
+    training = _assembled(complete, features).select("features", target).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(training)
+    finally:
+        training.unpersist()
+
+
+def predict(model: Model | LinearFit, rows: DataFrame, features: list[str]) -> DataFrame:
     complete = rows.dropna(subset=features)
+    if isinstance(model, LinearFit):
+        return model.transform(complete)
     return model.transform(_assembled(complete, features)).drop("features")
 
 

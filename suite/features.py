@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlake.operators import features, models, returns
+from marketlake.plans.scratch import written
 from suite import fixtures as fx
 from suite.registry import query, rounded
 
@@ -144,40 +145,111 @@ def y4(spark, sf):
         FROM (SELECT *, max(equity) OVER w AS peak
               FROM (SELECT *, product(1 + gain) OVER w AS equity
                     FROM (SELECT ticker, date, coalesce(lag(signal) OVER w, 0) * coalesce(ret, 0) AS gain
-                          FROM (SELECT ticker, date, ret / 1000000 AS ret, CAST(sign(coalesce(ret, 0)) AS INTEGER) AS signal FROM rets)
+                          FROM (SELECT ticker, date, greatest(least(ret / 10000, 0.01), -0.01) AS ret, CAST(sign(coalesce(ret, 0)) AS INTEGER) AS signal FROM rets)
                           {WINDOW}) {WINDOW}) {WINDOW})
         GROUP BY ticker""",
 )
 def y5(spark, sf):
-    # The derived prices are random; scaled-down returns keep the equity finite.
+    # The derived prices are random; returns of one percent at most keep the equity finite.
     signals = returns.daily_returns(fx.bars(spark, sf)).select(
         "ticker",
         "date",
-        (F.col("ret") / 1_000_000).alias("ret"),
+        F.when(F.col("ret").isNotNull(), F.greatest(F.least(F.col("ret") / 10_000, F.lit(0.01)), F.lit(-0.01))).alias("ret"),
         F.signum(F.coalesce("ret", F.lit(0.0))).cast("int").alias("signal"),
     )
     metrics = models.strategy_metrics(signals)
     return rounded(metrics, "sharpe", "max_drawdown", "final_equity")
 
 
-@query("Y7_ridge_forecast")
+_CASES = """
+WITH inputs AS (
+  SELECT ticker, date, rsi, volatility, isodow(date) - 1 AS day, target,
+         CASE WHEN d.rank <= floor(d.total * 0.7) THEN 'train' WHEN d.rank > floor(d.total * 0.85) THEN 'test' END AS part
+  FROM (SELECT ticker, date, close, lead(close) OVER w / nullif(close, 0) - 1 AS target,
+               CASE WHEN rn > 14 THEN 100 * sum(up) OVER (w ROWS 13 PRECEDING)
+                 / nullif(sum(up) OVER (w ROWS 13 PRECEDING) + sum(down) OVER (w ROWS 13 PRECEDING), 0) END AS rsi,
+               CASE WHEN rn > 20 THEN stddev_samp(ret) OVER (w ROWS 19 PRECEDING) * sqrt(252) * 100 END AS volatility
+        FROM (SELECT ticker, date, close, row_number() OVER v AS rn, close / nullif(lag(close) OVER v, 0) - 1 AS ret,
+                     greatest(close - lag(close) OVER v, 0) AS up, greatest(lag(close) OVER v - close, 0) AS down
+              FROM ohlcv WINDOW v AS (PARTITION BY ticker ORDER BY date))
+        WINDOW w AS (PARTITION BY ticker ORDER BY date)) b
+  JOIN (SELECT date, row_number() OVER (ORDER BY date) AS rank, count(*) OVER () AS total
+        FROM (SELECT DISTINCT date FROM ohlcv)) d USING (date)
+  WHERE target IS NOT NULL
+)"""
+
+_LINE = """, train AS (SELECT rsi AS a, volatility AS b, target AS y FROM inputs WHERE part = 'train' AND rsi IS NOT NULL AND volatility IS NOT NULL),
+m AS (
+  SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(y) AS sy,
+         covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS ab, covar_pop(a, y) / (stddev_pop(a) * stddev_pop(y)) AS ay,
+         covar_pop(b, y) / (stddev_pop(b) * stddev_pop(y)) AS by_
+  FROM train
+),"""
+
+_RIDGE = """fit AS (SELECT (1.1::DOUBLE * ay - ab * by_) / (1.1::DOUBLE * 1.1 - ab * ab) AS ba,
+               (1.1::DOUBLE * by_ - ab * ay) / (1.1::DOUBLE * 1.1 - ab * ab) AS bb FROM m)"""
+
+_LASSO = """steps AS (
+  SELECT 0 AS i, 0::DOUBLE AS ba, 0::DOUBLE AS bb, ab, ay, by_ FROM m
+  UNION ALL
+  SELECT i + 1, na, sign(by_ - ab * na) * greatest(abs(by_ - ab * na) - 0.01, 0), ab, ay, by_
+  FROM (SELECT *, sign(ay - ab * bb) * greatest(abs(ay - ab * bb) - 0.01, 0) AS na FROM steps WHERE i < 60)
+),
+fit AS (SELECT ba, bb FROM steps WHERE i = 60)"""
+
+_SCORED_LINE = """, scored AS (
+  SELECT target AS actual, my + ba * sy / sa * (rsi - ma) + bb * sy / sb * (volatility - mb) AS forecast
+  FROM inputs, m, fit WHERE part = 'test' AND rsi IS NOT NULL AND volatility IS NOT NULL
+)"""
+
+# A tree of full depth predicts the mean of its group; a second round then finds residuals of mean 0.
+_SCORED_TREE = """, fit AS (SELECT day, avg(target) AS forecast FROM inputs WHERE part = 'train' GROUP BY day),
+scored AS (SELECT target AS actual, forecast FROM inputs JOIN fit USING (day) WHERE part = 'test')"""
+
+
+def _judged(kind):
+    return f"""
+SELECT '{kind}' AS model, 1 AS horizon, count(*) AS n, round(sqrt(avg((forecast - actual) ** 2)), 4) AS rmse,
+       round(avg(abs(forecast - actual)), 4) AS mae, round(avg(abs((forecast - actual) / nullif(actual, 0))) * 100, 4) AS mape,
+       round(avg(CAST(sign(forecast) = sign(actual) AS INTEGER)), 4) AS directional_accuracy FROM scored"""
+
+
+def _inlined(body):
+    """With the names of a WITH list inside a subquery, as the market tables come before it."""
+    return f"SELECT * FROM ({body})"
+
+
+@query("Y7_ridge_forecast", "ohlcv", _inlined(_CASES + _LINE + _RIDGE + _SCORED_LINE + _judged("ridge")))
 def y7(spark, sf):
-    return _regression(spark, sf, "ridge")
+    return _regression(spark, sf, "ridge", ["rsi", "volatility"])
+
 
+@query("Y7_lasso_forecast", "ohlcv", _inlined(_CASES.replace("WITH", "WITH RECURSIVE", 1) + _LINE + _LASSO + _SCORED_LINE + _judged("lasso")))
+def y7_lasso(spark, sf):
+    return _regression(spark, sf, "lasso", ["rsi", "volatility"])
 
-@query("Y7_random_forest_forecast")
+
+@query("Y7_random_forest_forecast", "ohlcv", _inlined(_CASES + _SCORED_TREE + _judged("random_forest")))
 def y7_forest(spark, sf):
-    return _regression(spark, sf, "random_forest")
+    """One tree of full depth over all rows, which must give the means of its groups."""
+    whole = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": 10}
+    return _regression(spark, sf, "random_forest", ["day"], **whole)
+
 
+@query("Y7_boosted_trees_forecast", "ohlcv", _inlined(_CASES + _SCORED_TREE + _judged("boosted_trees")))
+def y7_boosted(spark, sf):
+    """Two rounds of trees of full depth: the means of the groups, then those of the residuals."""
+    return _regression(spark, sf, "boosted_trees", ["day"], maxIter=2, maxDepth=10)
 
-def _regression(spark, sf, kind):
-    """Fitted on the training dates, judged on the test dates."""
-    names = ["ret", "rsi", "volatility"]
+
+def _regression(spark, sf, kind, names, **params):
+    """Fitted on the training dates, judged on the test dates. A return is judged against 0, no change."""
     b = returns.forward_returns(returns.rolling_volatility(fx.bars(spark, sf)), (1,))
-    rows = features.split_by_time(features.relative_strength(b))
-    model = models.fit_regressor(kind, rows.filter("part = 'train'"), names, "target_1")
+    rows = features.split_by_time(features.relative_strength(b)).withColumn("day", F.weekday("date"))
+    rows = written(rows.select("part", "target_1", "rsi", "volatility", "day"), "inputs")
+    model = models.fit_regressor(kind, rows.filter("part = 'train'"), names, "target_1", **params)
     scored = models.predict(model, rows.filter("part = 'test'").dropna(subset=["target_1"]), names)
-    return models.forecast_metrics(
+    metrics = models.forecast_metrics(
         scored.select(
             F.lit(kind).alias("model"),
             F.lit(1).alias("horizon"),
@@ -186,3 +258,4 @@ def _regression(spark, sf, kind):
             F.col("prediction").alias("forecast"),
         )
     )
+    return rounded(metrics, "rmse", "mae", "mape", "directional_accuracy")

@@ -86,3 +86,63 @@ def test_regressors_learn_a_line(spark, kind):
 def test_unknown_regressor(spark):
     with pytest.raises(ValueError):
         models.fit_regressor("other", spark.range(1), ["id"], "id")
+
+
+@pytest.fixture
+def noisy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4)) + 3
+    frame = pd.DataFrame(x, columns=list("abcd")).assign(flat=2.0)
+    frame["y"] = 5 * frame.a - 2 * frame.b + rng.normal(size=400) + 100
+    return spark.createDataFrame(frame).repartition(7), frame
+
+
+def standardised(frame, names):
+    x, y = frame[names].to_numpy(), frame["y"].to_numpy()
+    return (x - x.mean(0)) / x.std(0), (y - y.mean()) / y.std()
+
+
+def test_ridge_solves_the_penalised_equations(noisy):
+    df, frame = noisy
+    x, y = standardised(frame, list("abcd"))
+    b = np.linalg.solve(x.T @ x / len(x) + 0.3 * np.eye(4), x.T @ y / len(x))
+    fit = models.fit_regressor("ridge", df, list("abcd"), "y", l2=0.3)
+    want = frame["y"].mean() + (x @ b) * frame["y"].std(ddof=0)
+    got = models.predict(fit, df, list("abcd")).toPandas().sort_values("a")["prediction"]
+    np.testing.assert_allclose(got, want[np.argsort(frame["a"].to_numpy())], rtol=1e-9)
+
+
+def test_lasso_meets_its_conditions(noisy):
+    """No coefficient can move: the gradient is l1 against those that are not 0, and no more than l1 at the others."""
+    df, frame = noisy
+    x, y = standardised(frame, list("abcd"))
+    for l1 in (0.01, 0.3):
+        fit = models.fit_regressor("lasso", df, list("abcd"), "y", l1=l1)
+        b = np.array(fit.coefficients) * frame[list("abcd")].std(ddof=0).to_numpy() / frame["y"].std(ddof=0)
+        gradient = x.T @ (y - x @ b) / len(x)
+        assert all(g == pytest.approx(np.sign(c) * l1, abs=1e-9) if c else abs(g) <= l1 + 1e-9 for g, c in zip(gradient, b))
+    assert 0.0 in fit.coefficients  # the larger penalty drops some
+
+
+def test_constant_features_and_targets(noisy):
+    df, frame = noisy
+    fit = models.fit_linear(df, ["flat", "a"], "y", l2=0.1)
+    assert fit.coefficients[0] == 0.0 and fit.coefficients[1] != 0.0
+    flat = models.fit_linear(df, ["a"], "flat")
+    assert flat.coefficients == (0.0,) and flat.intercept == pytest.approx(2.0)
+    with pytest.raises(ValueError):
+        models.fit_linear(df.limit(0), ["a"], "y")
+
+
+@pytest.mark.parametrize("kind,params", [("random_forest", {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": 8}), ("boosted_trees", {"maxIter": 2, "maxDepth": 8})])
+def test_full_trees_give_group_means(spark, kind, params):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"x": rng.integers(0, 7, 300).astype(float)})
+    frame["y"] = frame.x**2 % 5 + rng.normal(size=300)
+    df = spark.createDataFrame(frame)
+    model = models.fit_regressor(kind, df, ["x"], "y", **params)
+    scored = models.predict(model, df, ["x"]).toPandas()
+    means = frame.groupby("x")["y"].mean()
+    np.testing.assert_allclose(scored["prediction"], means[scored["x"]].to_numpy(), rtol=1e-9)
+    # The rows kept while fitting are released; MLlib may still hold a set of its own for a moment.
+    assert not df.is_cached
