@@ -53,18 +53,19 @@ def factors_by_interval(bars: DataFrame, intervals: DataFrame) -> DataFrame:
     )
 
 
-def factors_by_ladder(bars: DataFrame, intervals: DataFrame) -> DataFrame:
+def factors_by_ladder(bars: DataFrame, intervals: DataFrame, canonical: bool = False) -> DataFrame:
     """The same with the intervals of a ticker in one row, oldest first, so that bars join on the ticker alone.
 
     A bar takes the first interval that ends after it. Bars keep how they are partitioned: the join needs them by ticker, which is what
     the windows that follow need, or not at all where Spark finds the intervals small enough to broadcast. A ticker has no more intervals
-    than it has days.
+    than it has days. With `canonical`, the tickers of `bars` are in upper case already.
     """
     steps = intervals.groupBy(F.col("ticker").alias("_t")).agg(
         F.array_sort(F.collect_list(F.struct("valid_to", "ratio"))).alias("_steps")
     )
     next_step = F.get(F.filter("_steps", lambda s: s["valid_to"] > F.col("date")), F.lit(0))["ratio"]
-    joined = bars.join(steps, F.upper(bars["ticker"]) == F.col("_t"), "left")
+    ticker = bars["ticker"] if canonical else F.upper(bars["ticker"])
+    joined = bars.join(steps, ticker == F.col("_t"), "left")
     return joined.select(
         F.coalesce(next_step, F.lit(1.0)).alias("split_ratio"), *bars.columns, F.col("_t").isNotNull().alias("split_adjusted")
     )
@@ -104,15 +105,17 @@ def adjust_prices(
     splits: DataFrame,
     index_only: bool = True,
     volume_mode: str = "keep",
+    canonical: bool = False,
 ) -> DataFrame:
     """Bars with prices before each split scaled down, and a `split_adjusted` flag.
 
     `volume_mode` is "keep" or "multiply" (volume times the cumulative ratio). The flag tells
-    whether the ticker has any applicable split, also when no bar is older than it.
+    whether the ticker has any applicable split, also when no bar is older than it. With `canonical`, the tickers of
+    `bars` are in upper case already; otherwise any case will do.
     """
     if volume_mode not in ("keep", "multiply"):
         raise ValueError(f"unknown volume_mode {volume_mode!r}")
-    factored = factors_by_ladder(bars, split_intervals(splits, index_only))
+    factored = factors_by_ladder(bars, split_intervals(splits, index_only), canonical)
     factor = 1 / F.col("split_ratio")
     columns = {c: F.col(c) * factor for c in PRICE_COLUMNS if c in bars.columns}
     if volume_mode == "multiply" and "volume" in bars.columns:

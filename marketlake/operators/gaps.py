@@ -28,18 +28,20 @@ def by_date() -> WindowSpec:
     return W.partitionBy("instrument").orderBy("date")
 
 
-def scan_rows(bars: DataFrame) -> DataFrame:
+def scan_rows(bars: DataFrame, canonical: bool = False) -> DataFrame:
     """Stored bars as (instrument, date, open, close), unusable rows dropped.
 
-    A missing open falls back to the close. A table without ticker, close or date gives none.
+    A missing open falls back to the close. A table without ticker, close or date gives none. With `canonical`, tickers are
+    in upper case already; they are then taken as they are, so rows that lie together by ticker need not be dealt again.
     """
     if not {"ticker", "close", "date"} <= set(bars.columns):
         session = bars.sparkSession
         return session.createDataFrame([], "instrument string, date date, open double, close double")
     close = without_nan(F.col("close").cast("double"))
     opened = without_nan(F.col("open").cast("double")) if "open" in bars.columns else F.lit(None)
+    ticker = F.col("ticker") if canonical else normal_ticker(F.col("ticker"))
     rows = bars.select(
-        normal_ticker(F.col("ticker")).alias("instrument"),
+        ticker.alias("instrument"),
         F.col("date").try_cast("date").alias("date"),
         F.coalesce(opened, close).alias("open"),
         close.alias("close"),

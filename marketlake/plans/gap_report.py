@@ -13,10 +13,10 @@ def prepared_rows(
 ) -> DataFrame:
     """Usable rows, one per instrument and date, of all sources.
 
-    `unique` states that `bars` hold one row per ticker and date, also once tickers are in upper case; without other sources
-    they are then not compared with each other.
+    `unique` states that the tickers of `bars` are in upper case, without blanks around them, and that there is one row per ticker and
+    date. Tickers are then taken as they are, and without other sources rows are not compared with each other.
     """
-    sources = [gaps.scan_rows(bars)]
+    sources = [gaps.scan_rows(bars, canonical=unique)]
     if extra_csv is not None:
         sources.append(gaps.csv_rows(extra_csv))
     if instrument is not None:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from marketlake.operators import adjust, candles, gaps, returns, selection
 from marketlake.plans.gap_report import prepared_rows
+from marketlake.plans.scratch import scratch_path
+from marketlake.sinks import load_bucketed, save_bucketed
 from marketlake.sources.events import splits_of
 from suite import fixtures as fx
 from suite.registry import query, rounded
@@ -433,7 +435,7 @@ def d3(spark, sf):
           {WINDOW}) WHERE abs(gap) > 30 GROUP BY ticker""",
 )
 def flagship(spark, sf):
-    adjusted = adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark))
+    adjusted = adjust.adjust_prices(fx.bars(spark, sf), fx.splits(spark), canonical=True)
     rows = prepared_rows(adjusted, unique=True)
     jumps = gaps.overnight_gaps(rows).filter(F.abs("gap") > gaps.THRESHOLD)
     found = jumps.groupBy(F.col("instrument").alias("ticker")).agg(
@@ -442,6 +444,47 @@ def flagship(spark, sf):
     return rounded(found, "largest")
 
 
+# --- on stored bars
+
+
+def stored(spark, sf):
+    """The bars, stored once in buckets of tickers."""
+    root = scratch_path(spark, "bucketed")
+    save_bucketed(fx.bars(spark, sf), root, "raw", "ohlcv", buckets=8)
+    return load_bucketed(spark, root, "raw", "ohlcv")
+
+
+def _range_of_closes(bars):
+    return rounded(candles.moving_averages(bars).select("ticker", "date", "sma20", "sma50"), "sma20", "sma50")
+
+
+#: What works ticker by ticker, as functions of the bars; the benchmark times them on stored ones.
+BY_TICKER = {
+    "W1_daily_return": returns.daily_returns,
+    "W3_moving_average": _range_of_closes,
+    "W4_rolling_volatility": lambda b: returns.rolling_volatility(b, 20),
+    "W5_overnight_gap": lambda b: gaps.detect_gaps(prepared_rows(b, unique=True)),
+    "W6_gap_context": lambda b: gaps.detect_gaps_with_context(prepared_rows(b, unique=True)),
+    "W7_cumulative_return": returns.cumulative_return,
+    "D1_adjust_index_splits": lambda b: adjust.adjust_prices(b, fx.splits(b.sparkSession), canonical=True),
+}
+
+
+@query("K1_bucketed_bars", "ohlcv", f"SELECT date, {RAW_OHLC}, volume, ticker FROM ohlcv")
+def k1_bucketed(spark, sf):
+    return stored(spark, sf)
+
+
+@query("W5_gap_of_bucketed_bars", "alerts", f"SELECT {_ALERT} FROM alerts")
+def w5_bucketed(spark, sf):
+    return BY_TICKER["W5_overnight_gap"](stored(spark, sf))
+
+
+@query("W3_average_of_bucketed_bars", "ohlcv", f"SELECT ticker, date, {_sma(20)}, {_sma(50)} FROM ohlcv {WINDOW}")
+def w3_bucketed(spark, sf):
+    return BY_TICKER["W3_moving_average"](stored(spark, sf))
+
+
 @query(
     "D5_candlestick",
     "ohlcv",
