@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import BLANKS, stored
+from marketlake.llm._tables import BLANKS, all_of, fresh, stored
 
 SALTS = 16
 TOP = (1 << 63) - 1
@@ -97,18 +97,20 @@ def drop_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     A row that repeats both the id and the content of the one that stays goes too; if no row of a group
     has an id, one of them stays. Several texts under one id are separate documents.
     """
-    columns = docs.columns
-    found = exact_groups(docs, salts)
-    kept = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_times"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).join(
-        kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha2"), "_times"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")),
+    sha, doc, sha2, times, content, long, row = fresh(docs, "sha", "doc", "sha2", "times", "content", "long", "row")
+    found = exact_groups(docs, salts).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    kept = stored(
+        found.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha2), F.col("n").alias(times)), "exact-kept"
     )
-    if kept.where("_times > 1").isEmpty():
-        return marked.select(*columns)
+    plain = normalised(F.col("text"))
+    marked = docs.withColumn(sha, F.sha2(plain, 256)).join(
+        kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(sha) == F.col(sha2))
+    )
+    several = F.col(times) > 1
+    if kept.where(several).isEmpty():
+        return marked.select(*all_of(docs))
     # The longest of the repeated rows, where they differ in blanks.
-    content = normalised(F.col("text"))
-    several = marked.where("_times > 1").withColumn("_content", content).withColumn("_long", F.length("text"))
-    first = F.max_by(F.struct(*columns), F.struct("_long", "text")).alias("_row")
-    one = several.groupBy("_id", "_sha", "_content").agg(first).select("_row.*")
-    return marked.where("_times = 1").select(*columns).unionByName(one)
+    ranked = marked.where(several).withColumn(content, plain).withColumn(long, F.length("text"))
+    first = F.max_by(F.struct(*all_of(docs)), F.struct(long, "text")).alias(row)
+    one = ranked.groupBy(doc, sha, content).agg(first).select(f"{row}.*")
+    return marked.where(~several).select(*all_of(docs)).unionByName(one)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import components, shuffle_partitions, stored
-from marketlake.llm._words import mix, places, runs, split, text_groups
+from marketlake.llm._tables import all_of, components, shuffle_partitions, stored
+from marketlake.llm._words import lanes, mix, places, runs, split, text_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,7 +37,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
 
     A text of fewer words is one run of them all; a text without words has none.
     """
-    starts, _, h = split(data)
+    starts, _, h = split(data, hashed=lanes)
     first = np.searchsorted(starts, offsets)
     counts = np.diff(first)
     out = runs(h, size)[places(first, size)]
@@ -322,4 +322,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` of which each class keeps one: that with the smallest doc_id (all rows that repeat it stay)."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti").select(*all_of(docs))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import running_totals, stored, words_of
+from marketlake.llm._tables import all_of, fresh, running_totals, stored, words_of
 
 BLOCK = 1024
 FAN = 64
@@ -106,17 +106,19 @@ def _round_block(seed: int, last: bool):
     return run
 
 
-def copies(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST) -> DataFrame:
+def copies(
+    docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST, row: str | None = None
+) -> DataFrame:
     """How often the mix takes each row of `docs` (doc_id, text, source): mix_row, doc_id, source, size, source_size,
     target, copies.
 
     Sizes count words. Texts without words are taken 0 times; null is a source of its own; repeated rows are
-    rounded separately. `mix_row`, where `docs` has it, must tell rows apart, and is handed through. The draws depend on the seed,
+    rounded separately. `row` may name a column of numbers that tell rows apart; it is handed through as mix_row. The draws depend on the seed,
     the ids and the sizes alone, so a rerun gives the same mix (rows equal in id and size may swap).
     """
-    row = F.col("mix_row") if "mix_row" in docs.columns else F.lit(None)
+    number = F.col(row) if row else F.lit(None)
     rows = stored(
-        docs.select(row.cast("bigint").alias("mix_row"), "doc_id", "source", words_of(F.col("text")).alias("size")), "mix-rows"
+        docs.select(number.cast("bigint").alias("mix_row"), "doc_id", "source", words_of(F.col("text")).alias("size")), "mix-rows"
     )
     # Powers of two of the size, four classes to each.
     rank = F.floor(F.log2(F.greatest("size", F.lit(1))) * 4).cast("int")
@@ -162,11 +164,12 @@ def copies(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = MOST) -> DataFrame:
     """The mix itself: the rows of `docs`, with all their columns, each as often as it is taken."""
-    columns = docs.columns
-    rows = stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-docs")
-    taken = copies(rows, seed, weights, most).where("copies > 0").select(F.col("mix_row").alias("_r"), "copies")
+    row, again, times, copy = fresh(docs, "mix_row", "mix_again", "copies", "copy")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    taken = copies(rows, seed, weights, most, row).where("copies > 0")
+    taken = taken.select(F.col("mix_row").alias(again), F.col("copies").alias(times))
     return (
-        rows.join(taken, F.col("mix_row") == F.col("_r"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(*columns)
+        rows.join(taken, F.col(row) == F.col(again))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*all_of(docs))
     )

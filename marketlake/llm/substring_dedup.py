@@ -1,6 +1,6 @@
 """Removing passages that occur again, word for word.
 
-Every window of `size` consecutive words gets a Rabin-Karp hash of 64 bits; Spark counts the hashes, and windows
+Every window of `size` consecutive words gets a Rabin-Karp hash modulo a prime of 61 bits; Spark counts the hashes, and windows
 that occur again merge into maximal intervals to remove. What is shuffled are packed arrays, not a row for each window: a batch
 of texts sends each bucket of hash values the distinct ones of its own, with their places in the batch. A window
 that a third of all texts hold so reaches its bucket once for each batch. Buckets answer with the places that occur
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm._tables import shuffle_partitions
-from marketlake.llm._words import places, runs, split, text_groups
+from marketlake.llm._words import lanes, places, runs, split, text_groups
 
 WINDOW = 35
 #: Windows held at once by a task before it sends them off.
@@ -80,7 +80,7 @@ def _send(size: int, bits: int):
             column_ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
             column_marks = np.asarray(b.column(1)).astype(np.int64)
             for i, j, data, offsets in text_groups(b.column(2)):
-                starts, _, h = split(data)
+                starts, _, h = split(data, hashed=lanes)
                 first = np.searchsorted(starts, offsets)
                 w = runs(h, size)[places(first, size)]
                 count = np.maximum(np.diff(first) - size + 1, 0)
@@ -158,8 +158,8 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """For each text of `docs` (doc_id, text) with something to remove: cut_id (its doc_id, 0 for null), cut_text (a hash of its
     text) and cuts, the maximal intervals [begin, end) of word numbers as pairs of 64-bit integers.
 
-    A window counts wherever it starts, in the same text too, and windows are judged on the input. Two
-    different windows share a hash with a probability of 2**-64 for each pair. Buckets follow `spark.sql.shuffle.partitions`.
+    A window counts wherever it starts, in the same text too, and windows are judged on the input. Windows are told apart by their hash: two
+    different ones share it by chance with 2**-61, so among n windows n**2 / 2**62 pairs are expected to. Buckets follow `spark.sql.shuffle.partitions`.
     `docs` must give the same rows when it is computed again, as a scan or a stored table does.
     """
     bits = max(8, (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import stored
+from marketlake.llm._tables import all_of, fresh, stored
 from marketlake.llm._words import mix, split, text_groups
 
 #: Labelled rows that the model is fitted to, at most; counts of them fit in 16 bits.
@@ -247,8 +247,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: dict | None, least: float = 0.3) -> DataFrame:
     """The rows of `docs` whose text scores below `least`, with all their columns."""
-    columns = docs.columns
-    rows = stored(docs.withColumn("toxic_row", F.monotonically_increasing_id()), "toxic-docs")
-    scored = score(rows.select(F.col("toxic_row").alias("doc_id"), "text"), model)
+    (row,) = fresh(docs, "toxic_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "toxic-docs")
+    scored = score(rows.select(F.col(row).alias("doc_id"), "text"), model)
     bad = scored.where(F.col("score") >= least).select("doc_id")
-    return rows.join(bad, rows["toxic_row"] == bad["doc_id"], "left_anti").select(*columns)
+    return rows.join(bad, rows[row] == bad["doc_id"], "left_anti").select(*all_of(docs))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, substring_dedup
-from marketlake.llm._words import split, text_groups
+from marketlake.llm._words import PRIME, WORD_BASE, lanes, mix, runs, split, text_groups
 from marketlake.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, content string, size int, id string, component string"
@@ -112,6 +112,38 @@ def test_substrings(spark, monkeypatch):
     assert substring_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return [(a, b)[i.bit_count() % 2] for i in range(n)]
+
+
+def test_words_of_one_polynomial_are_told_apart(spark):
+    """The two words have one hash as a polynomial modulo 2**64, whatever its base."""
+    shared = " ".join(f"w{i}" for i in range(34))
+    one, two = "".join(thue_morse(2048)), "".join(thue_morse(2048, "b", "a"))
+    got = substring_dedup.remove_repeats(docs_of(spark, [(1, f"{one} {shared}"), (2, f"{two} {shared}")])).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(35, 0)] * 2
+    short = ["".join(thue_morse(n, x, y)) for n in (8, 16, 32, 64, 128) for x, y in (("a", "b"), ("b", "a"))]
+    import pyarrow as pa
+
+    for _, _, data, _ in text_groups(pa.array([" ".join(short)])):
+        assert len(set(split(data, hashed=lanes)[2].tolist())) == len(short)
+
+
+def test_runs_are_polynomials_modulo_the_prime():
+    rng = np.random.default_rng(7)
+    h = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h[:3] = [0, 2**61 - 1, 2**64 - 1]
+    for size in (1, 5, 35, 4999):
+        got = runs(h, size)
+        base = WORD_BASE % PRIME
+        for i in {0, 1, min(17, len(h) - size), len(h) - size}:
+            plain = sum(int(x) * pow(base, j, PRIME) for j, x in enumerate(h[i : i + size])) % PRIME
+            assert mix(np.array([plain], np.uint64))[0] == got[i]
+    words = np.array([11, 29], np.uint64)
+    order = [np.array([i.bit_count() % 2 ^ flip for i in range(2048)]) for flip in (0, 1)]
+    assert runs(words[order[0]], 2048)[0] != runs(words[order[1]], 2048)[0]
+
+
 def bag(text, size=5):
     w = words(text)
     return Counter(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else Counter()
