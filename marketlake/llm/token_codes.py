@@ -131,6 +131,8 @@ def pack(docs: list[tuple[int | None, np.ndarray]], width: int = WIDTH) -> bytes
     """A file of documents (doc_id, ids)."""
     ids = np.concatenate([x for _, x in docs]) if docs else np.empty(0, np.uint32)
     levels = list(_levels(ids.astype(np.uint32), width))
+    if len(levels) > 7:  # the header keeps the number of levels in three bits
+        raise ValueError(f"ids up to {int(ids.max())} take {len(levels)} levels of {width} bits; at most 7 are allowed")
     parts = [HEADER.pack(MAGIC, len(docs), len(ids), len(levels) | (width - 1) << 3)]
     parts.append(np.array([d or 0 for d, _ in docs], np.int64).tobytes())
     parts.append(np.packbits(np.array([d is None for d, _ in docs], bool)).tobytes())

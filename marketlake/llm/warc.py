@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import file_system, new_file, stored
+from marketlake.llm._tables import file_system, new_file, shuffle_partitions, stored
 from marketlake.plans.scratch import scratch_path
 
 #: Payloads shorter than this are always written out.
@@ -171,19 +171,27 @@ def frames(data_size: int, tail) -> list[tuple[int, int, int]]:
 
 
 def parse(data: memoryview, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, payload, and end of the record at `at`."""
-    block = bytes(data[at : at + 65536])
+    """Headers, payload, and end of the record at `at`; ValueError if it is not whole."""
+    size = 65536
+    block = bytes(data[at : at + size])
     cut = block.find(b"\r\n\r\n")
-    while cut < 0:
-        block = bytes(data[at : at + 2 * len(block)])
+    while cut < 0 and at + size < len(data):
+        size *= 2
+        block = bytes(data[at : at + size])
         cut = block.find(b"\r\n\r\n")
-    lines = block[:cut].decode().split("\r\n")
-    head = dict(x.split(": ", 1) for x in lines[1:])
+    lines = block[: max(cut, 0)].decode(errors="replace").split("\r\n")
+    head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+    length = head.get("Content-Length", "")
+    if not lines[0].startswith("WARC/") or not length.isdigit():
+        raise ValueError(f"no record at byte {at}")
     start = at + cut + 4
-    end = start + int(head["Content-Length"])
+    end = start + int(length)
     body = bytes(data[start:end])
     http, _, payload = body.partition(b"\r\n\r\n")
-    head["payload-length"] = re.search(rb"Content-Length: (\d+)", http)[1].decode()
+    declared = re.search(rb"Content-Length: (\d+)", http)
+    if bytes(data[end : end + 4]) != b"\r\n\r\n" or not declared:
+        raise ValueError(f"the record at byte {at} is cut off")
+    head["payload-length"] = declared[1].decode()
     return head, payload, end + 4
 
 
@@ -212,26 +220,39 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _reader(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
+        unzip, known, table, file = zstandard.ZstdDecompressor(), None, [], None
         for b in batches:
-            for uri in b.column("bundle").to_pylist():
-                fs, path = file_system(uri)
-                with fs.open_input_file(path) as f:
-                    size = f.size()
-                    for at, packed, plain in frames(size, lambda n: f.read_at(n, size - n)):
-                        data = memoryview(unzip.decompress(f.read_at(packed, at), max_output_size=plain))
-                        rows, place = [], 0
-                        while place < len(data):
-                            head, payload, place = parse(data, place)
-                            rows.append(_row(head, payload, payloads))
-                        yield _record_batch(rows)
+            for uri, number in zip(b.column("bundle").to_pylist(), b.column("frame").to_pylist(), strict=True):
+                if uri != known:  # frames come bundle by bundle
+                    if file is not None:
+                        file.close()
+                    fs, path = file_system(uri)
+                    file = fs.open_input_file(path)
+                    size = file.size()
+                    known, table = uri, frames(size, lambda n: file.read_at(n, size - n))
+                at, packed, plain = table[number]
+                data = memoryview(unzip.decompress(file.read_at(packed, at), max_output_size=plain))
+                rows, place = [], 0
+                while place < len(data):
+                    head, payload, place = parse(data, place)
+                    rows.append(_row(head, payload, payloads))
+                yield _record_batch(rows)
+        if file is not None:
+            file.close()
 
     return run
 
 
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record of the bundles that `index` names; a revisit's payload is null, its size and digest are those of its headers."""
-    return index.select("bundle").distinct().mapInArrow(_reader(payloads), RECORDS)
+    """Every record of the bundles that `index` names; a revisit's payload is null, its size and digest are those of its headers.
+
+    Frames are independent, so they, not bundles, are dealt to tasks. A damaged record or table fails the job.
+    """
+    every = index.select("bundle", "frame").distinct()
+    # By another expression than that of distinct(), whose few partitions Spark would merge and keep.
+    dealt = every.repartition(shuffle_partitions(index.sparkSession), F.xxhash64("bundle", "frame"))
+    dealt = dealt.sortWithinPartitions("bundle", "frame")
+    return dealt.mapInArrow(_reader(payloads), RECORDS)
 
 
 def _looker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
