@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes other than the six blanks of ASCII. Features of a classifier take the hash of `polynomial`, modulo 2**64, which is
 cheap, but gives some pairs of words one hash. Where words must be told apart, `lanes` mixes in eight bytes after the other.
-The hash of a run of words is a polynomial in the hashes of its words modulo the prime 2**61 - 1, from running sums as Rabin and Karp do.
+The hash of a run of words is a polynomial in the hashes of its words, from running sums as Rabin and Karp do: modulo 2**64 in `runs`, modulo
+the prime 2**61 - 1 in `prime_runs`, which goes with `lanes`.
 """
 
 from __future__ import annotations
@@ -138,6 +139,17 @@ def split(
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every `size` consecutive words, by the place of the first."""
+    n = len(hashes)
+    if n < size:
+        return np.empty(0, np.uint64)
+    p, inverse = powers(WORD_BASE, n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * p[:n], out=sums[1:])
+    return mix((sums[size:] - sums[: n - size + 1]) * inverse[: n - size + 1])
+
+
 PRIME = (1 << 61) - 1
 _P, _S61, _S32, _S31, _S30, _S29 = (np.uint64(x) for x in (PRIME, 61, 32, 31, 30, 29))
 _LOW32, _LOW31, _LOW30 = (np.uint64((1 << n) - 1) for n in (32, 31, 30))
@@ -167,8 +179,8 @@ def _prime_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every `size` consecutive words, by the place of the first. Two runs share one by chance with 2**-61."""
+def prime_runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """As `runs`; two different runs share a hash by chance with 2**-61."""
     n = len(hashes)
     if n < size:
         return np.empty(0, np.uint64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm._tables import shuffle_partitions
-from marketlake.llm._words import lanes, places, runs, split, text_groups
+from marketlake.llm._words import lanes, places, prime_runs, split, text_groups
 
 WINDOW = 35
 #: Windows held at once by a task before it sends them off.
@@ -82,7 +82,7 @@ def _send(size: int, bits: int):
             for i, j, data, offsets in text_groups(b.column(2)):
                 starts, _, h = split(data, hashed=lanes)
                 first = np.searchsorted(starts, offsets)
-                w = runs(h, size)[places(first, size)]
+                w = prime_runs(h, size)[places(first, size)]
                 count = np.maximum(np.diff(first) - size + 1, 0)
                 some = count > 0
                 for kept, x in zip(held, (column_ids[i:j][some], column_marks[i:j][some], count[some].astype(np.int32), w), strict=True):

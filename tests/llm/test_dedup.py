@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.llm import embedding_dedup, exact_dedup, minhash_dedup, substring_dedup
-from marketlake.llm._words import PRIME, WORD_BASE, lanes, mix, runs, split, text_groups
+from marketlake.llm._words import PRIME, WORD_BASE, lanes, mix, prime_runs, split, text_groups
 from marketlake.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, content string, size int, id string, component string"
@@ -134,14 +134,14 @@ def test_runs_are_polynomials_modulo_the_prime():
     h = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     h[:3] = [0, 2**61 - 1, 2**64 - 1]
     for size in (1, 5, 35, 4999):
-        got = runs(h, size)
+        got = prime_runs(h, size)
         base = WORD_BASE % PRIME
         for i in {0, 1, min(17, len(h) - size), len(h) - size}:
             plain = sum(int(x) * pow(base, j, PRIME) for j, x in enumerate(h[i : i + size])) % PRIME
             assert mix(np.array([plain], np.uint64))[0] == got[i]
     words = np.array([11, 29], np.uint64)
     order = [np.array([i.bit_count() % 2 ^ flip for i in range(2048)]) for flip in (0, 1)]
-    assert runs(words[order[0]], 2048)[0] != runs(words[order[1]], 2048)[0]
+    assert prime_runs(words[order[0]], 2048)[0] != prime_runs(words[order[1]], 2048)[0]
 
 
 def bag(text, size=5):
