@@ -21,16 +21,16 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     found = {m[1] for n in queries() if (m := re.match(r"op(\d+)_", n))}
-    assert found == {str(n) for n in range(1, 11)}
+    assert found == {str(n) for n in range(1, 14)}
     assert "pipeline" in queries()
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op6_exact_dedup"])
+@pytest.mark.parametrize("name", ["op4_warc", "op6_exact_dedup", "op11_prefix_trie", "op12_divergence"])
 def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = queries()[name](spark, SF)
     want = con.sql(oracle_sql()[name])
