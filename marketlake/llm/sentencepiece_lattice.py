@@ -8,8 +8,10 @@ equi-joins them to the piece table, groups the edges by unit, and folds the best
 where a piece may span; one of more than `UNIT` characters, as a run of letters without blanks, is folded where its documents are put together, by
 the same costs and the same rule for ties. A character without a piece falls back to its UTF-8 bytes.
 
-Documents are dealt to blocks, their texts packed with Zstandard. Each block asks for its different units, one row for each
-bucket of their hashes, and gets one row of ids back for each, in the order in which it asked.
+Documents are dealt to blocks of some `BLOCK` bytes, as many as the bytes of all texts need, their texts packed with Zstandard.
+Each block asks for its different units, one row for each bucket of their hashes that holds any, so never more rows than units.
+The lattice knows nothing of who asks: a bucket's paths meet its asks once they are found, and a block gets one row of pieces back
+for each row it asked, in the same order. Texts, chunks and units are Arrow arrays with numbers for repeats.
 
 A path's cost is the sum of its pieces' costs. For a unigram model that is minus the score. A BPE model has no
 probabilities but ranks; by Zipf's law a piece of rank r costs ln r, and `PIECE` more for being a piece.
@@ -21,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,9 +41,10 @@ BLANK = "▁"
 UNIT = 64
 #: Costs are whole numbers of hundredths. What each piece of a BPE model costs besides the logarithm of its rank.
 SCALE, PIECE = 100, 6.0
-#: Bytes of text that a task packs at once; blocks for each shuffle partition, and buckets for each block, which keep the
-#: texts of one and the edges of the other small.
-PACK, BLOCKS, PARTS = 1 << 25, 2, 4
+#: Bytes of text that a task packs at once, and of a block, about; there are as many buckets as blocks.
+PACK, BLOCK = 1 << 24, 1 << 23
+#: Shuffle partitions at most, for each one that the session sets: more blocks share partitions.
+SPREAD = 2
 # Bits of a place in a unit, of a number in the piece table, and of a path's cost.
 PLACE, NUMBER, COST = 7, 20, 28
 
@@ -84,19 +88,28 @@ class Pieces:
     def bytes_of(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte + b for b in character.encode())
 
-    def units(self, some: list[str]) -> tuple[list[str], np.ndarray]:
-        """The units of chunks, which have no U+2581 of their own in front, one after another; how many each chunk has."""
-        if not some:
-            return [], np.empty(0, np.int64)
-        text = BLANK + BLANK.join(some).replace(" ", BLANK)
-        letters = self.letters[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        begin = np.cumsum([0] + [len(c) + 1 for c in some[:-1]])
-        cut = np.ones(len(text), bool)
+    def different_units(self, some: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The different units of chunks, which have no U+2581 of their own in front; their numbers, one chunk after another; how many each chunk has."""
+        if not len(some):
+            return pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        text = BLANK + BLANK.join(some.to_pylist()).replace(" ", BLANK)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        letters = self.letters[points]
+        begin = np.cumsum(np.concatenate(([0], np.asarray(pc.utf8_length(some)).astype(np.int64)[:-1] + 1)))
+        cut = np.ones(len(points), bool)
         cut[1:] = ~self.side_by_side[letters[:-1], letters[1:]]
         cut[begin] = True
         at = np.flatnonzero(cut)
-        ends = np.append(at[1:], len(text)).tolist()
-        return [text[i:j] for i, j in zip(at.tolist(), ends)], np.diff(np.append(np.searchsorted(at, begin), len(at)))
+        # Where each character begins in UTF-8.
+        place = np.cumsum(np.concatenate(([0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))), dtype=np.int64)
+        bounds = place[np.append(at, len(points))]
+        every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(text.encode())).dictionary_encode()
+        return every.dictionary, np.asarray(every.indices), np.diff(np.append(np.searchsorted(at, begin), len(at)))
+
+    def units(self, some: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of chunks, one after another; how many each chunk has."""
+        every, numbers, counts = self.different_units(pa.array(some, pa.large_string()))
+        return every.take(pa.array(numbers)).to_pylist(), counts
 
     def alone(self, character: str) -> bytes:
         """The ids of a unit of one character, which needs no lattice."""
@@ -165,29 +178,69 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _unpack(ends: list[int], packed: bytes) -> Iterator[str]:
-    data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, ends[-1])) if ends[-1] else b""
-    for begin, end in zip([0, *ends], ends):
-        yield data[begin:end].decode()
+@dataclass
+class Ragged:
+    """Lists of whole numbers, laid end to end."""
+
+    values: np.ndarray
+    sizes: np.ndarray
+
+    def take(self, at: np.ndarray) -> Ragged:
+        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        places = np.repeat(starts[at] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        return Ragged(self.values[places], sizes)
+
+    def joined(self, counts: np.ndarray) -> Ragged:
+        """The lists put together, so many at a time."""
+        ends = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        return Ragged(self.values, np.diff(ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]))
 
 
-def _shares(every: list[str], buckets: int) -> dict[int, list[str]]:
-    """The units that need the join, by bucket, in order."""
-    out: dict[int, list[str]] = {}
-    for u in sorted({u for u in every if 1 < len(u) <= UNIT}):
-        out.setdefault(xxhash.xxh64_intdigest(u) % buckets, []).append(u)
-    return out
+def _split(doc_ids: pa.Array, ends: list[int], packed: bytes) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The ids of packed documents, how many chunks each has, and the chunks of all; the order of documents may change."""
+    data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, ends[-1])) if ends[-1] else b""
+    bounds = pa.py_buffer(np.array([0, *ends], np.int64))
+    texts = pa.LargeStringArray.from_buffers(len(ends), bounds, pa.py_buffer(data))
+    none = pc.equal(pc.binary_length(texts), 0)
+    odd = pc.or_(none, pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")))
+    plain = pc.invert(odd)
+    simple = pc.split_pattern(texts.filter(plain), " ")
+    rest = pa.array([chunks(t) for t in texts.filter(odd).to_pylist()], simple.type)
+    both = pa.concat_arrays([simple, rest])
+    ids = pa.concat_arrays([doc_ids.filter(plain), doc_ids.filter(odd)])
+    return ids, np.asarray(pc.list_value_length(both)).astype(np.int64), both.flatten()
+
+
+def _shares(every: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some different units need the join, by bucket and in order of text, and the bucket of each.
+
+    Line breaks part units on the way, so a unit with one, which a piece of the model must hold, is none of them.
+    """
+    size = pc.utf8_length(every)
+    asked = pc.and_(pc.and_(pc.greater(size, 1), pc.less_equal(size, UNIT)), pc.invert(pc.match_substring(every, "\n")))
+    at = np.flatnonzero(np.asarray(asked))
+    units = every.take(pa.array(at))
+    order = np.asarray(pc.array_sort_indices(units)).astype(np.int64)
+    of = np.array([xxhash.xxh64_intdigest(u) % buckets for u in units.to_pylist()], np.int64)[order]
+    by = np.argsort(of, kind="stable")
+    return at[order][by], of[by]
 
 
 def _ask(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different units of each block, joined by line breaks, by bucket; the rows of a block follow one another."""
-        last, some = None, set()
+        last, some = None, []
 
         def flush() -> pa.RecordBatch:
-            shares = _shares(shared.value.units(list(some))[0], buckets)
-            texts = ["\n".join(x) for x in shares.values()]
-            columns = [pa.array([last] * len(shares), pa.int32()), pa.array(list(shares), pa.int32()), pa.array(texts, pa.string())]
+            every = shared.value.different_units(pc.unique(pa.chunked_array(some)))[0]
+            at, of = _shares(every, buckets)
+            begins = np.flatnonzero(np.diff(of, prepend=-1))
+            units = every.take(pa.array(at)).cast(pa.large_string())
+            lists = pa.LargeListArray.from_arrays(pa.array(np.append(begins, len(of)).astype(np.int64)), units)
+            texts = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())
+            columns = [pa.array(np.full(len(begins), last), pa.int32()), pa.array(of[begins], pa.int32()), texts]
             return pa.record_batch(columns, names=["block", "bucket", "units"])
 
         for b in batches:
@@ -195,40 +248,60 @@ def _ask(shared, buckets: int):
                 block, ends, packed = (b.column(n)[k].as_py() for n in ("block", "ends", "texts"))
                 if block != last and some:
                     yield flush()
-                    some = set()
+                    some = []
                 last = block
-                for text in _unpack(ends, packed):
-                    some.update(chunks(text))
+                some.append(pc.unique(_split(b.column("doc_ids")[k].values, ends, packed)[2]))
         if some:
             yield flush()
 
     return run
 
 
-def lattice(asked: DataFrame, known: Pieces) -> DataFrame:
-    """(bucket, unit, asked, path) of asked (bucket, unit, asked): the cheapest path of each different unit, as places in the
-    piece table; `asked` lists the numbers of its rows. A unit has one bucket.
+def _answer(asked: pa.Table, solved: pa.Table) -> pa.Table:
+    """For each row of asked units of a bucket, how many pieces each has, and the pieces."""
+    asked, solved = asked.combine_chunks(), solved.combine_chunks()
+    units = pc.split_pattern(asked.column("units").combine_chunks().cast(pa.large_string()), "\n")
+    paths = solved.column("path").combine_chunks()
+    known = Ragged(np.asarray(paths.flatten()), np.asarray(pc.list_value_length(paths)).astype(np.int64))
+    at = np.asarray(pc.index_in(units.flatten(), value_set=solved.column("unit").combine_chunks().cast(pa.large_string()))).astype(np.int64)
+    found = known.take(at)
+    counts = np.asarray(pc.list_value_length(units)).astype(np.int64)
+    each = found.joined(counts)
+
+    def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
+
+    kind = paths.type.value_type
+    return pa.table(
+        [asked.column("block"), asked.column("bucket"), lists(found.sizes, counts, pa.int8()), lists(each.values, each.sizes, kind)],
+        names=["block", "bucket", "sizes", "path"],
+    )
+
+
+def lattice(words: DataFrame, known: Pieces) -> DataFrame:
+    """(bucket, unit, path) of different (bucket, unit): the cheapest path, as places in the piece table. A unit has one bucket.
 
     Of paths of equal cost that with the fewest pieces wins, then that whose last piece is the first of the table.
     """
     table = [(p, k, c) for k, (p, c, _) in enumerate(known.table)]
     # A vocabulary: a row for each piece of the model file.
-    frame = asked.sparkSession.createDataFrame(table, "piece string, number long, cost long")
-    size, longest = F.length("unit"), F.lit(known.longest)
-    words = asked.groupBy("bucket", "unit").agg(F.collect_list("asked").alias("asked"))
-    spans = words.select("bucket", "unit", "asked", F.explode(F.sequence(F.lit(0), size * longest - 1)).alias("span")).select(
-        "bucket", "unit", "asked", F.expr(f"span div {known.longest}").cast("int").alias("begin"), (F.col("span") % longest + 1).alias("n")
+    frame = words.sparkSession.createDataFrame(table, "piece string, number long, cost long")
+    # Numbers that rise within a task, so that edges come in order of their unit. They don't leave it.
+    units = words.select(F.monotonically_increasing_id().alias("word"), "bucket", "unit")
+    size, begin = F.length("unit"), F.col("begin")
+    spans = units.select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("begin")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(known.longest), size - begin))).alias("n")
     )
-    cut = spans.where(F.col("begin") + F.col("n") <= size).withColumn("piece", F.col("unit").substr(F.col("begin") + 1, F.col("n")))
+    cut = spans.withColumn("piece", F.col("unit").substr(begin + 1, F.col("n")))
     # End, cost, number and beginning of an edge in one number, so that edges sort by their ends.
-    edge = (((F.col("begin") + F.col("n")).cast("long") * (1 << COST) + F.col("cost")) * (1 << NUMBER) + F.col("number")) * (1 << PLACE) + F.col("begin")
+    edge = (((begin + F.col("n")).cast("long") * (1 << COST) + F.col("cost")) * (1 << NUMBER) + F.col("number")) * (1 << PLACE) + begin
     edges = (
         cut.join(F.broadcast(frame), "piece")
-        .select("bucket", "unit", "asked", edge.alias("edge"))
-        .groupBy("bucket", "unit")
-        .agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("asked").alias("asked"))
+        .select("word", "bucket", "unit", edge.alias("edge"))
+        .groupBy("word", "bucket", "unit")
+        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
-    return edges.select("bucket", "unit", "asked", _cheapest(F.col("edges")).alias("path"))
+    return edges.select("bucket", "unit", _cheapest(F.col("edges")).alias("path"))
 
 
 def _bits(x: Column, low: int, n: int) -> Column:
@@ -268,43 +341,41 @@ def _cheapest(edges: Column) -> Column:
 
 def _assemble(shared, buckets: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        """The ids of a block's documents from those of its units."""
+        """The ids of a block's documents from the pieces of its units."""
         known: Pieces = shared.value
-        numbers = [np.array(ids, "<i4").tobytes() for _, _, ids in known.table]
-        some: set[str] = set()
-        for k in range(len(docs)):
-            for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
-                some.update(chunks(text))
-        words = list(some)
-        every, counts = known.units(words)
-        shares, unit_ids = _shares(every, buckets), {}
-        for bucket, sizes, path in zip(found.column("bucket").to_pylist(), found.column("sizes"), found.column("path"), strict=True):
-            flat, at = path.as_py(), 0
-            for unit, n in zip(shares[bucket], sizes.as_py(), strict=True):
-                unit_ids[unit] = b"".join([numbers[x] for x in flat[at : at + n]])
-                at += n
-        for u in every:
-            if len(u) == 1:
-                unit_ids[u] = known.alone(u)
-            elif len(u) > UNIT and u not in unit_ids:
-                unit_ids[u] = known.folded(u)
-        of, ends = {}, np.cumsum(counts).tolist()
-        for chunk, begin, end in zip(words, [0, *ends], ends):
-            of[chunk] = unit_ids[every[begin]] if end == begin + 1 else b"".join([unit_ids[u] for u in every[begin:end]])
-        del some, words, every, shares, unit_ids
-        ids, counts, crc = [], [], []
+        spelled = Ragged(np.array([i for _, _, ids in known.table for i in ids], np.int32), np.array([len(ids) for _, _, ids in known.table], np.int64))
+        parts = []
         for k in range(len(docs)):
-            for text in _unpack(docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()):
-                data = b"".join(map(of.__getitem__, chunks(text)))
-                ids.append(data)
-                counts.append(len(data) // 4)
-                crc.append(zlib.crc32(data))
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))), values)
-        return pa.table(
-            [docs.column("doc_ids").combine_chunks().flatten(), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), lists.cast(pa.list_(pa.int32()))],
-            names=["doc_id", "n_pieces", "ids_crc32", "ids"],
+            ids, counts, some = _split(docs.column("doc_ids")[k].values, docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py())
+            parts.append((ids, counts, some.dictionary_encode()))
+        words = pc.unique(pa.chunked_array([some.dictionary for _, _, some in parts]))
+        every, numbers, per_word = known.different_units(words)
+        at, _ = _shares(every, buckets)
+        found = found.combine_chunks().sort_by("bucket")
+        sizes, paths = (found.column(n).combine_chunks().flatten() for n in ("sizes", "path"))
+        joined = spelled.take(np.asarray(paths).astype(np.int64)).joined(np.asarray(sizes).astype(np.int64))
+        if len(joined.sizes) != len(at):
+            raise ValueError(f"a block asked for {len(at)} units and got {len(joined.sizes)}")
+        others = np.setdiff1d(np.arange(len(every)), at)
+        own = [known.alone(u) if len(u) == 1 else known.folded(u) for u in every.take(pa.array(others)).to_pylist()]
+        # Units in the order of `at`, then the others, and each one's place there.
+        units = Ragged(
+            np.concatenate((joined.values, np.frombuffer(b"".join(own), "<i4"))), np.concatenate((joined.sizes, np.array([len(x) // 4 for x in own], np.int64)))
         )
+        place = np.empty(len(every), np.int64)
+        place[np.concatenate((at, others))] = np.arange(len(every))
+        of_words = units.take(place[numbers]).joined(per_word)
+        out = []
+        for ids, counts, some in parts:
+            word = np.asarray(pc.index_in(some.dictionary, value_set=words)).astype(np.int64)
+            texts = of_words.take(word[np.asarray(some.indices)]).joined(counts)
+            ends = np.concatenate(([0], np.cumsum(texts.sizes, dtype=np.int64)))
+            values = np.ascontiguousarray(texts.values, "<i4")
+            data = memoryview(values).cast("B")
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).cast(pa.list_(pa.int32()))
+            out.append(pa.table([ids, pa.array(texts.sizes), pa.array(crc, pa.int64()), lists], names=["doc_id", "n_pieces", "ids_crc32", "ids"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -312,42 +383,39 @@ def _assemble(shared, buckets: int):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and ids of every row of `docs` (doc_id, text).
 
-    Null and empty texts have no ids. `path` is read on the driver. Blocks follow `spark.sql.shuffle.partitions`: it should
-    leave a few thousand documents to each. Rows may repeat; other columns are not looked at.
+    Null and empty texts have no ids. `path` is read on the driver. The bytes of all texts, counted first, give the number of blocks.
+    Rows may repeat; other columns are not looked at. With a BPE model the ids are those of the cheapest path by the costs above,
+    not always those of its merges.
     """
     spark = docs.sparkSession
-    n, known = BLOCKS * shuffle_partitions(spark), pieces(path)
-    shared, buckets = spark.sparkContext.broadcast(known), n * PARTS  # a vocabulary
+    known = pieces(path)
+    n = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK))
+    over = min(n, SPREAD * shuffle_partitions(spark))
+    shared = spark.sparkContext.broadcast(known)  # a vocabulary
     kind = docs.schema["doc_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block")
     rows = (
         docs.select(block, "doc_id", "text")
         .mapInArrow(_pack, f"block int, doc_ids array<{kind}>, ends array<long>, texts binary")
-        .repartition(n, "block")
+        .repartition(over, "block")
     )
     asked = (
         rows.sortWithinPartitions("block")
-        .mapInArrow(_ask(shared, buckets), "block int, bucket int, units string")
-        .repartition(buckets, "bucket")
-        .select("block", "bucket", F.posexplode(F.split("units", "\n")).alias("place", "unit"))
-        .select("bucket", "unit", (F.shiftleft(F.col("block").cast("long"), 32) + F.col("place")).alias("asked"))
+        .mapInArrow(_ask(shared, n), "block int, bucket int, units string")
+        .repartition(over, "bucket")
     )
+    words = asked.select("bucket", F.explode(F.split("units", "\n")).alias("unit")).distinct()
+    number = "smallint" if len(known.table) < 1 << 15 else "int"
+    solved = lattice(words, known).select(F.col("bucket").alias("of"), "unit", F.col("path").cast(f"array<{number}>").alias("path"))
     replies = (
-        lattice(asked, known)
-        .select("bucket", F.explode("asked").alias("asked"), "path")
-        .groupBy("bucket", F.shiftright("asked", 32).cast("int").alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("asked", "path"))).alias("answer"))
-        .select(
-            "block",
-            "bucket",
-            F.transform("answer", lambda x: F.size(x["path"]).cast("tinyint")).alias("sizes"),
-            F.flatten(F.transform("answer", lambda x: x["path"])).cast(f"array<{'smallint' if len(known.table) < 1 << 15 else 'int'}>").alias("path"),
-        )
+        asked.groupBy("bucket")
+        .cogroup(solved.groupBy("of"))
+        .applyInArrow(_answer, f"block int, bucket int, sizes array<tinyint>, path array<{number}>")
     )
     return (
         rows.groupBy("block")
         .cogroup(replies.groupBy("block"))
-        .applyInArrow(_assemble(shared, buckets), f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
+        .applyInArrow(_assemble(shared, n), f"doc_id {kind}, n_pieces long, ids_crc32 long, ids array<int>")
     )
 
 
