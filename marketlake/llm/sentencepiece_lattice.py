@@ -97,12 +97,13 @@ class Pieces:
         letters = self.letters[points]
         begin = np.cumsum(np.concatenate(([0], np.asarray(pc.utf8_length(some)).astype(np.int64)[:-1] + 1)))
         cut = np.ones(len(points), bool)
-        cut[1:] = ~self.side_by_side[letters[:-1], letters[1:]]
+        cut[1:] = ~self.side_by_side.ravel()[letters[:-1].astype(np.int32) * len(self.side_by_side) + letters[1:]]
         cut[begin] = True
         at = np.flatnonzero(cut)
         # Where each character begins in UTF-8.
-        place = np.cumsum(np.concatenate(([0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))), dtype=np.int64)
-        bounds = place[np.append(at, len(points))]
+        bounds = np.append(at, len(points)).astype(np.int64)
+        if not text.isascii():
+            bounds = np.cumsum(np.concatenate(([0], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))), dtype=np.int64)[bounds]
         every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(text.encode())).dictionary_encode()
         return every.dictionary, np.asarray(every.indices), np.diff(np.append(np.searchsorted(at, begin), len(at)))
 
@@ -214,7 +215,7 @@ def _split(doc_ids: pa.Array, ends: list[int], packed: bytes) -> tuple[pa.Array,
 
 
 def _shares(every: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of some different units need the join, by bucket and in order of text, and the bucket of each.
+    """Which of some different units need the join, by bucket and in order of hash, then of text, and the bucket of each.
 
     Line breaks part units on the way, so a unit with one, which a piece of the model must hold, is none of them.
     """
@@ -222,15 +223,19 @@ def _shares(every: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     asked = pc.and_(pc.and_(pc.greater(size, 1), pc.less_equal(size, UNIT)), pc.invert(pc.match_substring(every, "\n")))
     at = np.flatnonzero(np.asarray(asked))
     units = every.take(pa.array(at))
-    order = np.asarray(pc.array_sort_indices(units)).astype(np.int64)
-    of = np.array([xxhash.xxh64_intdigest(u) % buckets for u in units.to_pylist()], np.int64)[order]
+    hashes = np.array([xxhash.xxh64_intdigest(u) for u in units.to_pylist()], np.uint64)
+    order = np.argsort(hashes)
+    if (hashes[order][1:] == hashes[order][:-1]).any():
+        order = np.asarray(pc.array_sort_indices(units)).astype(np.int64)
+        order = order[np.argsort(hashes[order], kind="stable")]
+    of = (hashes[order] % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(of, kind="stable")
     return at[order][by], of[by]
 
 
 def _ask(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different units of each block, joined by line breaks, by bucket; the rows of a block follow one another."""
+        """The different units of each block by bucket, after the block's number, joined by line breaks; the rows of a block follow one another."""
         last, some = None, []
 
         def flush() -> pa.RecordBatch:
@@ -239,9 +244,9 @@ def _ask(shared, buckets: int):
             begins = np.flatnonzero(np.diff(of, prepend=-1))
             units = every.take(pa.array(at)).cast(pa.large_string())
             lists = pa.LargeListArray.from_arrays(pa.array(np.append(begins, len(of)).astype(np.int64)), units)
-            texts = pc.binary_join(lists, pa.scalar("\n", pa.large_string())).cast(pa.string())
-            columns = [pa.array(np.full(len(begins), last), pa.int32()), pa.array(of[begins], pa.int32()), texts]
-            return pa.record_batch(columns, names=["block", "bucket", "units"])
+            number, gap = pa.scalar(str(last), pa.large_string()), pa.scalar("\n", pa.large_string())
+            texts = pc.binary_join_element_wise(number, pc.binary_join(lists, gap), gap).cast(pa.string())
+            return pa.record_batch([pa.array(of[begins], pa.int32()), texts], names=["bucket", "asked"])
 
         for b in batches:
             for k in range(b.num_rows):
@@ -250,7 +255,7 @@ def _ask(shared, buckets: int):
                     yield flush()
                     some = []
                 last = block
-                some.append(pc.unique(_split(b.column("doc_ids")[k].values, ends, packed)[2]))
+                some.append(_split(b.column("doc_ids")[k].values, ends, packed)[2])
         if some:
             yield flush()
 
@@ -260,7 +265,8 @@ def _ask(shared, buckets: int):
 def _answer(asked: pa.Table, solved: pa.Table) -> pa.Table:
     """For each row of asked units of a bucket, how many pieces each has, and the pieces."""
     asked, solved = asked.combine_chunks(), solved.combine_chunks()
-    units = pc.split_pattern(asked.column("units").combine_chunks().cast(pa.large_string()), "\n")
+    whole = pc.split_pattern(asked.column("asked").combine_chunks().cast(pa.large_string()), "\n")
+    blocks, units = pc.list_element(whole, 0).cast(pa.int32()), pc.list_slice(whole, 1)
     paths = solved.column("path").combine_chunks()
     known = Ragged(np.asarray(paths.flatten()), np.asarray(pc.list_value_length(paths)).astype(np.int64))
     at = np.asarray(pc.index_in(units.flatten(), value_set=solved.column("unit").combine_chunks().cast(pa.large_string()))).astype(np.int64)
@@ -273,7 +279,7 @@ def _answer(asked: pa.Table, solved: pa.Table) -> pa.Table:
 
     kind = paths.type.value_type
     return pa.table(
-        [asked.column("block"), asked.column("bucket"), lists(found.sizes, counts, pa.int8()), lists(each.values, each.sizes, kind)],
+        [blocks, asked.column("bucket"), lists(found.sizes, counts, pa.int8()), lists(each.values, each.sizes, kind)],
         names=["block", "bucket", "sizes", "path"],
     )
 
@@ -346,9 +352,10 @@ def _assemble(shared, buckets: int):
         spelled = Ragged(np.array([i for _, _, ids in known.table for i in ids], np.int32), np.array([len(ids) for _, _, ids in known.table], np.int64))
         parts = []
         for k in range(len(docs)):
-            ids, counts, some = _split(docs.column("doc_ids")[k].values, docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py())
-            parts.append((ids, counts, some.dictionary_encode()))
-        words = pc.unique(pa.chunked_array([some.dictionary for _, _, some in parts]))
+            parts.append(_split(docs.column("doc_ids")[k].values, docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()))
+        word = pa.chunked_array([some for _, _, some in parts]).combine_chunks().dictionary_encode()
+        words, word = word.dictionary, np.split(np.asarray(word.indices), np.cumsum([len(some) for _, _, some in parts])[:-1])
+        parts = [(ids, counts) for ids, counts, _ in parts]
         every, numbers, per_word = known.different_units(words)
         at, _ = _shares(every, buckets)
         found = found.combine_chunks().sort_by("bucket")
@@ -366,9 +373,8 @@ def _assemble(shared, buckets: int):
         place[np.concatenate((at, others))] = np.arange(len(every))
         of_words = units.take(place[numbers]).joined(per_word)
         out = []
-        for ids, counts, some in parts:
-            word = np.asarray(pc.index_in(some.dictionary, value_set=words)).astype(np.int64)
-            texts = of_words.take(word[np.asarray(some.indices)]).joined(counts)
+        for (ids, counts), numbers in zip(parts, word, strict=True):
+            texts = of_words.take(numbers).joined(counts)
             ends = np.concatenate(([0], np.cumsum(texts.sizes, dtype=np.int64)))
             values = np.ascontiguousarray(texts.values, "<i4")
             data = memoryview(values).cast("B")
@@ -401,10 +407,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     )
     asked = (
         rows.sortWithinPartitions("block")
-        .mapInArrow(_ask(shared, n), "block int, bucket int, units string")
+        .mapInArrow(_ask(shared, n), "bucket int, asked string")
         .repartition(over, "bucket")
     )
-    words = asked.select("bucket", F.explode(F.split("units", "\n")).alias("unit")).distinct()
+    # Both columns are read on either way, so that the exchange is made once.
+    words = asked.select("bucket", F.explode(F.expr("slice(split(asked, '\\n'), 2, length(asked))")).alias("unit")).distinct()
     number = "smallint" if len(known.table) < 1 << 15 else "int"
     solved = lattice(words, known).select(F.col("bucket").alias("of"), "unit", F.col("path").cast(f"array<{number}>").alias("path"))
     replies = (
