@@ -42,7 +42,7 @@ UNIT = 64
 #: Costs are whole numbers of hundredths. What each piece of a BPE model costs besides the logarithm of its rank.
 SCALE, PIECE = 100, 6.0
 #: Bytes of text that a task packs at once, and of a block, about; there are as many buckets as blocks.
-PACK, BLOCK = 1 << 24, 1 << 23
+PACK, BLOCK = 1 << 23, 6 << 20
 #: Shuffle partitions at most, for each one that the session sets: more blocks share partitions.
 SPREAD = 2
 # Bits of a place in a unit, of a number in the piece table, and of a path's cost.
@@ -177,6 +177,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = {}, 0
     if held:
         yield flush()
+    held = {}
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 @dataclass
@@ -258,6 +260,8 @@ def _ask(shared, buckets: int):
                 some.append(_split(b.column("doc_ids")[k].values, ends, packed)[2])
         if some:
             yield flush()
+        some = []
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
