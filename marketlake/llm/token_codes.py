@@ -11,10 +11,12 @@ level its chunks, its bitmap and its directory. Files follow one another in asce
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +41,42 @@ HEADER = struct.Struct("<8sQQB")
 MANIFEST = "part int, file int, path string, n_docs long, n_tokens long"
 
 
-def _letters(word: bytes) -> bool:
-    """Whether a word is of letters alone, still so once it is composed and lower case."""
-    text = word.decode()
-    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+#: No letters, digits or blanks, and no part of a letter before them.
+SIGNS = string.punctuation.encode()
+
+# How a file of the tokenizers library says that texts are composed, blanks folded, letters lowered, and words cut
+# into letters, single digits and runs of signs, as bytes.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character by which byte-level models write each byte: itself if it is printed, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+BYTES = _byte_letters()
 
 
 class Words(dict):
     """Ids of the tokenizer for each blank-separated word, as bytes of unsigned 32-bit numbers.
 
-    The tokenizer cuts at white space, and drops it, before it merges; so the ids of a text are those
-    of its words. A final full stop or comma is a token of its own after letters, and ASCII letters are read
-    as lower case, so most forms of a word share one entry.
+    A tokenizer of the rules above cuts at white space, and drops it, before it merges; so the ids of a text are those
+    of its words. ASCII signs after the letters of a word are a stretch of their own, and letters go
+    to the merges as the rules leave them, so the forms of a word are merged once. `by_words` tells whether a tokenizer has these
+    rules; with others, texts are encoded whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -59,55 +85,79 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        size = self.tokenizer.get_vocab_size()
-        # Whether an id ends a word.
-        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-
-    def _plain(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def _letters(self, words: list[bytes]) -> None:
-        """Words of letters alone, which the tokenizer does not cut, in one call for many."""
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(some):
-                self._plain(some)
-                continue
-            data = ids.tobytes()
-            for w, x, y in zip(some, [0, *ends], ends):
-                self[w] = data[4 * x : 4 * y]
+        rules = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in rules["added_tokens"]]
+        self.by_words = (
+            (rules["normalizer"], rules["pre_tokenizer"], rules["model"]["type"]) == (NORMALIZER, PRE_TOKENIZER, "BPE")
+            and rules["truncation"] is None
+            and rules["padding"] is None
+            # No added token may lie within letters or signs alone, or hold a blank.
+            and all(any(c.isalpha() for c in t) and not t.isalpha() and len(t.split()) == 1 for t in added)
+        )
+        self.model = self.tokenizer.model
+
+    def whole(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        every = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in every]
+
+    def _stem(self, core: bytes) -> bytes | None:
+        """A word of letters alone as the normalizer leaves it, None for other words.
+
+        Latin letters below U+0250 are composed already and have one lower case each, but for U+0130.
+        """
+        if core.isascii():
+            return core.lower() if core.isalpha() else None
+        text = core.decode()
+        if not text.isalpha():
+            return None
+        if max(text) < "\u0250" and "\u0130" not in text:
+            return text.lower().encode()
+        text = self.tokenizer.normalizer.normalize_str(text)
+        return text.encode() if text.isalpha() else None
 
     def learn(self, words: set[bytes]) -> None:
-        """Makes an entry for each of `words`."""
+        """Makes an entry for each of `words`; of those before, a full table keeps what `words` holds."""
         if len(self) > self.most:
+            kept = {w: self[w] for w in words if w in self}
             self.clear()
-        stems, plain, letters = {}, {b".", b","}, set()
+            self.update(kept)
+        forms, plain = {}, set()
         for w in words.difference(self):
-            if w.isalpha():  # ASCII only
-                stem = w.lower()
-                letters.add(stem)
-                if stem != w:
-                    stems[w] = stem
-                continue
-            core = w[:-1] if w[-1:] in (b".", b",") else w
-            if core.isalpha() or core and _letters(core):
-                stem = core.lower() if core.isascii() else core
-                letters.add(stem)
-                if stem != w:
-                    stems[w] = stem
-            else:
+            core = w.rstrip(SIGNS)
+            stem = self._stem(core) if core else None
+            if stem is None:
                 plain.add(w)
-        self._plain(list(plain.difference(self)))
-        self._letters(list(letters.difference(self)))
-        for w, stem in stems.items():
-            self[w] = self[stem] + self[w[-1:]] if w[-1:] in (b".", b",") else self[stem]
+                continue
+            tail = w[len(core) :]
+            if tail:
+                plain.add(tail)
+            forms[w] = (stem, tail)
+        plain = list(plain.difference(self))
+        for w, ids in zip(plain, self.whole(plain), strict=True):
+            self[w] = ids.tobytes()
+        merge = self.model.tokenize
+        for w, (stem, tail) in forms.items():
+            ids = self.get(stem)
+            if ids is None:
+                text = stem.decode("latin-1")
+                ids = self[stem] = array("I", [t.id for t in merge(text if stem.isascii() else text.translate(BYTES))]).tobytes()
+            self[w] = ids + self[tail] if tail else ids
+
+
+_kept: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The table of a tokenizer that this worker keeps from task to task."""
+    if path not in _kept:
+        _kept[path] = Words(path)
+    return _kept[path]
 
 
 def encode_texts(texts: list[bytes | None], words: Words) -> list[np.ndarray]:
     """Ids of each text, without the end id."""
+    if not words.by_words:
+        return words.whole(texts)
     split = [(t or b"").split() for t in texts]
     every: set[bytes] = set()
     for s in split:
@@ -217,7 +267,7 @@ def _writer(folder: str, tokenizer: str, end: int, width: int, file: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), Words(tokenizer)
+        part, words = TaskContext.get().partitionId(), words_of(tokenizer)
         held, n, number = [], 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -1,6 +1,8 @@
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marketlake.llm import token_codes, warc
 
@@ -44,3 +46,27 @@ def test_codes_of_any_width_are_right_or_refused(width):
         else:
             got = token_codes.Codes(token_codes.pack([(1, ids)], width))
             assert [got.token(i) for i in range(5)] == ids.tolist()
+
+
+def texts_of(letters, n):
+    rng = np.random.default_rng(3)
+    return ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(n)] + [None]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_library(name):
+    """Words of any form with signs behind them, and a tokenizer that does not drop white space."""
+    path = public_tokenizers.path(name)
+    letters = [*"aBéÓßñ.,#'’sS7 \n中ΣЖ_", "###", "!!", "the", "The", "ÇA", "İ", "ŉ", "Ⱥ", "e\u0301", "$$$ ", "'s", "'ll", ". ", "<|endoftext|>", "²", "ª", "ʰ"]
+    texts = texts_of(letters, 3000)
+    words = token_codes.Words(path, most=200)
+    assert words.by_words == (name == "word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    for some in (texts[:1500], texts[1500:]):
+        got = token_codes.encode_texts([t if t is None else t.encode() for t in some], words)
+        assert [x.tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_workers_keep_one_table():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_codes.words_of(path) is token_codes.words_of(path)
