@@ -11,6 +11,7 @@ level its chunks, its bitmap and its directory. Files follow one another in asce
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import string
@@ -158,12 +159,18 @@ def encode_texts(texts: list[bytes | None], words: Words) -> list[np.ndarray]:
     """Ids of each text, without the end id."""
     if not words.by_words:
         return words.whole(texts)
-    split = [(t or b"").split() for t in texts]
-    every: set[bytes] = set()
-    for s in split:
-        every.update(s)
-    words.learn(every)
-    return [np.frombuffer(b"".join(map(words.__getitem__, s)), np.uint32) for s in split]
+    collects = gc.isenabled()
+    gc.disable()  # nothing here holds a circle, and each search for one walks the whole table
+    try:
+        split = [(t or b"").split() for t in texts]
+        every: set[bytes] = set()
+        for s in split:
+            every.update(s)
+        words.learn(every)
+        return [np.frombuffer(b"".join(map(words.__getitem__, s)), np.uint32) for s in split]
+    finally:
+        if collects:
+            gc.enable()
 
 
 def _levels(ids: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
