@@ -1,11 +1,16 @@
 """Near duplicates of embeddings by cosine, with hierarchical navigable small-world graphs.
 
-Vectors of a label are dealt to shards of bounded size, and each shard gets a graph of its own. Two shards meet in one task, where
-each asks the other's graph in blocks, and a link found from either side counts for both. A search keeps a beam of the nearest
-vectors seen; it ends when none of them is left to expand. A query whose beam holds links only is asked again with four times
-the beam, for then more may lie behind. A block audits queries against the whole shard until it has seen links of
-`AUDIT` queries, not counting a vector's link to itself; where links are rarer, or the audit finds that the graph has missed one, it
-goes on to the end of the block. What an audit finds counts as found. What a search returns is verified in double precision.
+Vectors of a label are dealt to shards of bounded size, and each shard gets a graph of its own, in a file of the shared folder. Of every two
+shards of a label one row names the files; a task reads them, each shard asks the other's graph, and a link found from either side
+counts for both. A search keeps a beam of the nearest vectors seen; it ends when none of them is left to expand. A query whose
+beam holds links only is asked again with four times the beam, for then more may lie behind.
+
+An audit compares some queries with the whole shard: up to `AUDIT` of those that are known to link, from either side, and one in `BLIND` of all.
+Links of a vector to itself are not counted. If the graph has missed a link, all queries not audited are asked again with four times
+the beam and a new audit is drawn from them, until one passes; a beam of more than one part in `WHOLE` of the shard gives way to the whole
+shard. What an audit finds counts as found. What a search returns is verified in double precision. The rows of an audit say how many
+queries there were and how many were compared with the whole shard.
+
 Links leave a task as counts for each vector and as a forest that joins the same vectors, never as pairs; forests are united by
 components.
 """
@@ -13,23 +18,27 @@ components.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm._tables import components, stored
+from marketlake.llm._tables import components, file_system, new_file, shuffle_partitions, stored
+from marketlake.plans.scratch import scratch_path
 
 THRESHOLD = 0.98
-#: Vectors of a shard, about, and queries of a block.
+#: Vectors of a shard, about, and of a block whose links are made a forest at once.
 SHARD, BLOCK = 4096, 1024
 #: Links of a vector in the upper levels and in the lowest, beams of building and searching.
 LINKS, BASE_LINKS, BUILD, BEAM = 12, 24, 48, 32
-#: Queries with links of their own, no more than a beam holds, that the audit of a block must see; queries audited at once.
-AUDIT, AT_ONCE = 512, 128
+#: Queries that link, to no more vectors than a beam holds, of an audit; one in so many of all queries is audited besides.
+AUDIT, BLIND = 128, 32
 #: A widened beam of more than this part of the shard gives way to the whole shard.
 WHOLE = 8
+#: Pairs of shards for a task, about, where they are many.
+PAIRS = 16
 
 
 def _distances(x: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -172,14 +181,26 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks().sort_by("vec_id")
-    x = _unit(table.column("embedding").combine_chunks())
-    graph = Graph(x)
-    levels = {f"level{k}": t.astype(np.int32) for k, t in enumerate(graph.links)}
-    data = _blob(x=x, ids=np.asarray(table.column("vec_id")), entry=np.array(graph.entry), **levels)
-    one = table.slice(0, 1).select(["label", "width", "shard"])
-    return one.append_column("graph", pa.array([data], pa.binary()))
+def _build(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("vec_id")
+        x = _unit(table.column("embedding").combine_chunks())
+        graph = Graph(x)
+        levels = {f"level{k}": t.astype(np.int32) for k, t in enumerate(graph.links)}
+        data = _blob(x=x, ids=np.asarray(table.column("vec_id")), entry=np.array(graph.entry), **levels)
+        uri, fs, path = new_file(folder, ".graph")
+        with fs.open_output_stream(path, compression=None) as f:
+            f.write(data)
+        one = table.slice(0, 1).select(["label", "width", "shard"])
+        return one.append_column("path", pa.array([uri], pa.string()))
+
+    return run
+
+
+def _read(uri: str) -> tuple[Graph, np.ndarray]:
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        return _load(f.read())
 
 
 def _load(data: bytes) -> tuple[Graph, np.ndarray]:
@@ -229,32 +250,52 @@ def _searched(graph: Graph, q: np.ndarray, threshold: float, beam: int) -> np.nd
     return found
 
 
-def audited(graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, int, int]:
-    """The table of links found by the graph and by the audit; how many the audit saw, and how many of them the graph had found.
+def audited(
+    graph: Graph, q: np.ndarray, threshold: float, own: np.ndarray, beam: int = BEAM, known: np.ndarray | None = None,
+    found: np.ndarray | None = None,
+) -> tuple[np.ndarray, int, int, int]:
+    """The table of links found by the graph and by audits; how many the audits saw, how many of them the graph had found, and how many
+    queries were compared with the whole shard.
 
-    own: the place of each query in the shard, -1 for none; a link of a vector to itself is not counted.
+    own: the place of each query in the shard, -1 for none; a link of a vector to itself is not counted. known: the queries that
+    link as seen from elsewhere. found: what a first search has found.
     """
-    found = _searched(graph, q, threshold, beam)
-    order = np.random.default_rng(0).permutation(len(q))
-    links = hits = linking = 0
-    for i in range(0, len(q), AT_ONCE):
-        some = order[i : i + AT_ONCE]
+    found = _searched(graph, q, threshold, beam) if found is None else found
+    known = np.zeros(len(q), bool) if known is None else known
+    inside = own >= 0
+    rng = np.random.default_rng(0)
+    left, width = np.arange(len(q)), beam
+    links = hits = 0
+    while len(left):
+        other = found.copy()
+        other[inside, own[inside]] = False
+        each = other.sum(axis=1)
+        seen = known | (each > 0)
+        seen[inside] |= other.any(axis=0)[own[inside]]
+        # Queries of more links are asked with wider beams, up to the whole shard, and say nothing about the others.
+        linking = left[seen[left] & (each[left] <= beam)]
+        some = np.union1d(rng.permutation(linking)[:AUDIT], rng.permutation(left)[: -(-len(left) // BLIND)])
         a, b = _scan(graph, q, some, threshold)
-        other = b != own[a]
-        links += int(other.sum())
-        hits += int(found[a[other], b[other]].sum())
+        real = b != own[a]
+        n, hit = int(real.sum()), int(found[a[real], b[real]].sum())
+        links, hits = links + n, hits + hit
         found[a, b] = True
-        each = np.bincount(a[other], minlength=len(q))[some]
-        # Queries of more links are asked with wider beams, up to the whole shard, and say nothing about the others.
-        linking += int(((each > 0) & (each <= beam)).sum())
-        if linking >= AUDIT and hits == links:
+        left = np.setdiff1d(left, some)
+        if hit == n:
             break
-    return found, links, hits
+        width *= 4
+        if width > len(graph.x) // WHOLE:
+            a, b = _scan(graph, q, left, threshold)
+            found[a, b] = True
+            left = left[:0]
+        elif len(left):
+            found[left] |= _searched(graph, q[left], threshold, width)
+    return found, links, hits, len(q) - len(left)
 
 
 def linked(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(query, vector) of the links found, and the part of the audited ones that the graph had found itself."""
-    found, links, hits = audited(graph, q, threshold, np.full(len(q), -1) if own is None else own, beam)
+    found, links, hits, _ = audited(graph, q, threshold, np.full(len(q), -1) if own is None else own, beam)
     a, b = np.nonzero(found)
     return a, b, hits / links if links else 1.0
 
@@ -277,34 +318,51 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(ids[low[moved]].tolist(), ids[moved].tolist(), strict=True))
 
 
+LINKS_FOUND = "vec_id long, n long, a long, b long, audited long, hits long, queries long, scanned long"
+
+
+def _between(low: str, high: str, threshold: float, block: int) -> list[tuple]:
+    """The links of a shard, or those between two, as rows of `LINKS_FOUND`."""
+    rows: list[tuple] = []
+    x, x_ids = _read(low)
+    if low == high:
+        y, y_ids = x, x_ids
+        found, links, hits, scanned = audited(x, x.x, threshold, np.arange(len(x_ids)))
+        rows.append((None, None, None, None, links, hits, len(x_ids), scanned))
+        found |= found.T.copy()
+        np.fill_diagonal(found, False)
+        counts = [(x_ids, found.sum(axis=1))]
+    else:
+        y, y_ids = _read(high)
+        ways = [(y, x.x), (x, y.x)]
+        first = [_searched(graph, q, threshold, BEAM) for graph, q in ways]
+        heard = [first[1].any(axis=0), first[0].any(axis=0)]
+        both = []
+        for (graph, q), known, seen in zip(ways, heard, first, strict=True):
+            some, links, hits, scanned = audited(graph, q, threshold, np.full(len(q), -1), known=known, found=seen)
+            rows.append((None, None, None, None, links, hits, len(q), scanned))
+            both.append(some)
+        found = both[0] | both[1].T
+        counts = [(x_ids, found.sum(axis=1)), (y_ids, found.sum(axis=0))]
+    for ids, n in counts:
+        rows += [(int(v), int(k), *[None] * 6) for v, k in zip(ids, n, strict=True) if k]
+    edges = []
+    for i in range(0, len(x_ids), block):
+        a, b = np.nonzero(found[i : i + block])
+        edges += _forest(x_ids[a + i], y_ids[b])
+    if edges:
+        rows += [(None, None, a, b, *[None] * 4) for a, b in _forest(*np.array(edges).T)]
+    return rows
+
+
 def _ask(threshold: float, block: int):
-    def run(table: pa.Table) -> pa.Table:
-        """The links of a shard, or those between two."""
-        rows: list[tuple] = []
-        one = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        if one or len(table) == 2:  # a shard may be empty
-            (x, x_ids), (y, y_ids) = (_load(table.column("graph")[k].as_py()) for k in (0, len(table) - 1))
-            found = np.zeros((len(x_ids), len(y_ids)), bool)
-            for graph, asking, view in [(y, x, found)] if one else [(y, x, found), (x, y, found.T)]:
-                for i in range(0, len(view), block):
-                    q = asking.x[i : i + block]
-                    own = np.arange(i, i + len(q)) if one else np.full(len(q), -1)
-                    some, links, hits = audited(graph, q, threshold, own)
-                    view[i : i + block] |= some
-                    rows.append((None, None, None, None, links, hits))
-            if one:
-                found |= found.T.copy()
-                np.fill_diagonal(found, False)
-            for ids, n in [(x_ids, found.sum(axis=1))] if one else [(x_ids, found.sum(axis=1)), (y_ids, found.sum(axis=0))]:
-                rows += [(int(v), int(k), None, None, None, None) for v, k in zip(ids, n, strict=True) if k]
-            edges = []
-            for i in range(0, len(x_ids), block):
-                a, b = np.nonzero(found[i : i + block])
-                edges += _forest(x_ids[a + i], y_ids[b])
-            if edges:
-                rows += [(None, None, a, b, None, None) for a, b in _forest(*np.array(edges).T)]
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "n", "a", "b", "audited", "hits"])
+    names = [c.split()[0] for c in LINKS_FOUND.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in batches:
+            for low, high in zip(pairs.column("low").to_pylist(), pairs.column("high").to_pylist(), strict=True):
+                rows = _between(low, high, threshold, block)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return run
 
@@ -319,7 +377,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def search_links(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Links as rows of three kinds: (vec_id, n) counts, (a, b) edges of forests, and of each audit how many links it saw and how many of them the graph had found.
+    """Links as rows of three kinds: (vec_id, n) counts, (a, b) edges of forests, and of each audit how many links it saw, how many of them
+    the graph had found, how many queries there were and how many of them were compared with the whole shard.
 
     Vectors of different lengths do not link. Repeated ids are one vector: the row with the first embedding by order counts.
     """
@@ -331,18 +390,19 @@ def search_links(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     sizes = rows.groupBy("label", "width").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     dealt = F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard")
     kind = vectors.schema["label"].dataType.simpleString()
+    spark = vectors.sparkSession
     graphs = stored(
         rows.join(sizes, ["label", "width"]).select("vec_id", "embedding", "label", "width", dealt)
-        .groupBy("label", "width", "shard").applyInArrow(_build, f"label {kind}, width int, shard int, graph binary"),
-        "embedding-graphs",
-    )
-    pairs = graphs.join(sizes, ["label", "width"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    key = ["label", "width", "low", "high"]
-    return stored(
-        pairs.select("label", "width", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "graph")
-        .groupBy(*key).applyInArrow(_ask(threshold, block), "vec_id long, n long, a long, b long, audited long, hits long"),
-        "embedding-links",
+        .groupBy("label", "width", "shard")
+        .applyInArrow(_build(scratch_path(spark, "embedding-graphs")), f"label {kind}, width int, shard int, path string"),
+        "embedding-shards",
     )
+    later = F.explode(F.sequence(F.col("shard"), F.col("shards") - 1))
+    lows = graphs.join(sizes, ["label", "width"]).select("label", "width", F.col("path").alias("low"), later.alias("shard"))
+    pairs = lows.join(graphs.withColumnRenamed("path", "high"), ["label", "width", "shard"]).select("low", "high")
+    n = sizes.agg(F.sum(F.col("shards") * (F.col("shards").cast("long") + 1) / 2)).first()[0] or 0
+    tasks = max(shuffle_partitions(spark), int(n) // PAIRS)
+    return stored(pairs.repartition(tasks, "low", "high").mapInArrow(_ask(threshold, block), LINKS_FOUND), "embedding-links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, block: int = BLOCK) -> DataFrame:

@@ -289,3 +289,22 @@ def test_sparse_pairs_of_a_large_label(spark):
     assert {i: r.component_id for i, r in got.items()} == classes(list(range(n)), links)
     seen = embedding_dedup.search_links(frame).agg(F.sum("audited").alias("links"), F.sum("hits").alias("hits")).first()
     assert seen.links == 2 * len(links) and seen.hits >= 0.95 * seen.links
+    scans = embedding_dedup.search_links(frame).agg(F.sum("scanned").alias("scanned"), F.sum("queries").alias("queries")).first()
+    assert scans.queries == 3 * n and scans.scanned <= 0.1 * scans.queries
+
+
+def test_a_miss_widens_the_beam(monkeypatch):
+    """Links that a narrow beam misses are found by wider ones, and audits are drawn anew until one passes."""
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(20, 24))
+    x = np.concatenate([c + rng.normal(size=(100, 24)) * 0.11 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, asked = embedding_dedup.Graph(x), []
+    search = embedding_dedup._searched
+    monkeypatch.setattr(embedding_dedup, "_searched", lambda g, q, t, beam: asked.append((beam, len(q))) or search(g, q, t, beam))
+    found, links, hits, scanned = embedding_dedup.audited(graph, x, 0.985, np.arange(len(x)), beam=4)
+    truth = x @ x.T >= 0.985
+    assert (truth.sum() - len(x)) > 200 and not (found & ~truth).any()
+    assert found.sum() >= 0.99 * truth.sum() and hits <= links
+    beams = [b for b, _ in asked]
+    assert beams == [4 * 4**k for k in range(len(beams))] and scanned < len(x)
