@@ -294,17 +294,17 @@ def test_sparse_pairs_of_a_large_label(spark):
 
 
 def test_a_miss_widens_the_beam(monkeypatch):
-    """Links that a narrow beam misses are found by wider ones, and audits are drawn anew until one passes."""
-    rng = np.random.default_rng(15)
-    centres = rng.normal(size=(20, 24))
-    x = np.concatenate([c + rng.normal(size=(100, 24)) * 0.11 for c in centres])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    """Where a thin graph misses links, audits are drawn anew with wider beams, at last as wide as the shard."""
+    n = 3000
+    x = pairs_of(np.random.default_rng(15), n, 600)
+    truth = x @ x.T >= 0.98
     graph, asked = embedding_dedup.Graph(x), []
     search = embedding_dedup._searched
     monkeypatch.setattr(embedding_dedup, "_searched", lambda g, q, t, beam: asked.append((beam, len(q))) or search(g, q, t, beam))
-    found, links, hits, scanned = embedding_dedup.audited(graph, x, 0.985, np.arange(len(x)), beam=4)
-    truth = x @ x.T >= 0.985
-    assert (truth.sum() - len(x)) > 200 and not (found & ~truth).any()
-    assert found.sum() >= 0.99 * truth.sum() and hits <= links
-    beams = [b for b, _ in asked]
-    assert beams == [4 * 4**k for k in range(len(beams))] and scanned < len(x)
+    found, links, hits, scanned = embedding_dedup.audited(graph, x, 0.98, np.arange(n))
+    assert (found == truth).all() and links == hits and scanned <= 0.1 * n and asked == [(embedding_dedup.BEAM, n)]
+    asked.clear()
+    graph.links[0][:, 6:] = -1
+    found, links, hits, scanned = embedding_dedup.audited(graph, x, 0.98, np.arange(n), beam=4)
+    assert [beam for beam, _ in asked] == [4, 16, 64, 256] and asked[1][1] < n
+    assert hits < links and scanned == n and (found == truth).all()
