@@ -1,6 +1,7 @@
 import hashlib
-import re
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -259,3 +260,52 @@ def test_features_see_whole_texts():
         t, f = quality.features(data, offsets)
         counts += np.bincount(t, minlength=j - i).tolist()
     assert counts[0] > counts[1] and counts[2] > 0
+
+
+def test_the_quality_model_equals_a_plain_one(monkeypatch):
+    """Log-count ratios and dual coordinate descent on dictionaries, one number at a time."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[: 40 - 20 * (i % 3 == 0)], rng.integers(1, 30))).encode() for i in range(40)] + [b""]
+    labels = np.array([int(i % 3 > 0) for i in range(41)])
+    model = quality.fit(texts, labels, seed=3)
+    sets = []
+    for t in texts:
+        _, f = quality.features(np.frombuffer(t + b"\n", np.uint8), np.array([0, len(t) + 1]))
+        sets.append(sorted(set(f.tolist())))
+    y = [1.0 if k else -1.0 for k in labels]
+    size = 1 << quality.BITS
+    count = {s: Counter(f for x, k in zip(sets, y) if k == s for f in x) for s in (1.0, -1.0)}
+    total = {s: sum(count[s].values()) + quality.ALPHA * size for s in count}
+    ratio = {f: math.log((count[1.0][f] + quality.ALPHA) / total[1.0]) - math.log((count[-1.0][f] + quality.ALPHA) / total[-1.0]) for x in sets for f in x}
+
+    def descend(rows):
+        w, alpha, order = Counter(), [0.0] * len(y), np.random.default_rng(3)
+        most = {s: quality.COST * len(rows) / (2 * max(1, sum(y[i] == s for i in rows))) for s in (1.0, -1.0)}
+        for _ in range(quality.PASSES):
+            for i in order.permutation(rows):
+                x = {f: ratio[f] / math.sqrt(max(1, len(sets[i]))) for f in sets[i]}
+                slope = y[i] * sum(w[f] * v for f, v in x.items()) - 1
+                new = min(max(alpha[i] - slope / max(sum(v * v for v in x.values()), 1e-12), 0.0), most[y[i]])
+                for f, v in x.items():
+                    w[f] += (new - alpha[i]) * y[i] * v
+                alpha[i] = new
+        mean = sum(map(abs, w.values())) / max(1, sum(v != 0 for v in w.values()))
+        return lambda f: (quality.SHARE * w[f] + (1 - quality.SHARE) * mean) * ratio[f]
+
+    def margin(i, weight):
+        return sum(map(weight, sets[i])) / math.sqrt(max(1, len(sets[i])))
+
+    every = descend(np.arange(len(y)))
+    assert {f: model["weights"][f] for f in ratio} == pytest.approx({f: every(f) for f in ratio}, rel=1e-4, abs=1e-5)
+    fold = np.random.default_rng(3).permutation(len(y)) % 2
+    margins = np.zeros(len(y))
+    for k in (0, 1):
+        weight = descend(np.flatnonzero(fold != k))
+        margins[fold == k] = [margin(i, weight) for i in np.flatnonzero(fold == k)]
+    # The scale is where the weighted log loss and its penalty have no slope.
+    spread, share = margins.std(), {s: 0.5 / y.count(s) for s in (1.0, -1.0)}
+    p = [1 / (1 + math.exp(-(model["a"] * m + model["b"]))) for m in margins]
+    off = [share[k] * (v - (k > 0)) for k, v in zip(y, p)]
+    assert model["a"] > 0 and sum(off) == pytest.approx(0, abs=1e-5)
+    assert sum(o * m / spread for o, m in zip(off, margins)) + 1e-3 * model["a"] * spread == pytest.approx(0, abs=1e-5)
