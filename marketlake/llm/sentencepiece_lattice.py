@@ -19,6 +19,7 @@ probabilities but ranks; by Zipf's law a piece of rank r costs ln r, and `PIECE`
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from array import array
@@ -178,7 +179,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         yield flush()
     held = {}
-    pa.default_memory_pool().release_unused()  # the worker lives on
+    _hand_back()
+
+
+def _hand_back() -> None:
+    """Gives the system what Arrow and the C library keep of freed memory: the worker lives on, idle beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
 
 
 @dataclass
@@ -257,11 +266,11 @@ def _ask(shared, buckets: int):
                     yield flush()
                     some = []
                 last = block
-                some.append(_split(b.column("doc_ids")[k].values, ends, packed)[2])
+                some.append(pc.unique(_split(b.column("doc_ids")[k].values, ends, packed)[2]))
         if some:
             yield flush()
         some = []
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        _hand_back()
 
     return run
 
@@ -354,12 +363,14 @@ def _assemble(shared, buckets: int):
         """The ids of a block's documents from the pieces of its units."""
         known: Pieces = shared.value
         spelled = Ragged(np.array([i for _, _, ids in known.table for i in ids], np.int32), np.array([len(ids) for _, _, ids in known.table], np.int64))
-        parts = []
+        parts, word = [], []
         for k in range(len(docs)):
-            parts.append(_split(docs.column("doc_ids")[k].values, docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py()))
-        word = pa.chunked_array([some for _, _, some in parts]).combine_chunks().dictionary_encode()
-        words, word = word.dictionary, np.split(np.asarray(word.indices), np.cumsum([len(some) for _, _, some in parts])[:-1])
-        parts = [(ids, counts) for ids, counts, _ in parts]
+            ids, counts, some = _split(docs.column("doc_ids")[k].values, docs.column("ends")[k].as_py(), docs.column("texts")[k].as_py())
+            parts.append((ids, counts))
+            word.append(some.dictionary_encode())  # of the texts only their different chunks are held
+        del some
+        word = pa.chunked_array(word).unify_dictionaries().chunks
+        words, word = word[0].dictionary, [np.asarray(x.indices) for x in word]
         every, numbers, per_word = known.different_units(words)
         at, _ = _shares(every, buckets)
         found = found.combine_chunks().sort_by("bucket")
@@ -385,6 +396,8 @@ def _assemble(shared, buckets: int):
             crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
             lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).cast(pa.list_(pa.int32()))
             out.append(pa.table([ids, pa.array(texts.sizes), pa.array(crc, pa.int64()), lists], names=["doc_id", "n_pieces", "ids_crc32", "ids"]))
+        del joined, units, of_words, found, paths, sizes
+        _hand_back()
         return pa.concat_tables(out)
 
     return run
@@ -446,6 +459,7 @@ def _speller(shared):
                 bounds = ends[np.concatenate(([0], cuts))].tolist()
                 texts = [str(data[x:y], "utf-8", "replace").replace(BLANK, " ")[1:] for x, y in zip(bounds, bounds[1:])]
                 yield pa.record_batch([*(piece.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        _hand_back()
 
     return run
 

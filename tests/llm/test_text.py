@@ -161,6 +161,32 @@ def test_long_units_are_whole(spark):
     assert got == {i: cheapest(BLANK + t.replace(" ", BLANK), known) for i, t in enumerate(texts)}
 
 
+def test_blocks_hold_different_chunks_only(monkeypatch):
+    """What Arrow holds from one packed part of a block to the next does not grow with the texts, only with their chunks."""
+    known, n = sentencepiece_lattice.pieces(PIECES), 20
+    texts = [" ".join(f"sphinxofblackquartz{i % 500}" for i in range(10_000)).encode()] * n
+    rows = [(0, [d], [len(t)], zstandard.compress(t)) for d, t in enumerate(texts)]
+    kinds = [("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("texts", pa.binary())]
+    batch = pa.record_batch([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
+    held, split = [], sentencepiece_lattice._split
+
+    def counted(*x):
+        held.append(pa.total_allocated_bytes())
+        return split(*x)
+
+    class Shared:
+        value = known
+
+    monkeypatch.setattr(sentencepiece_lattice, "_split", counted)
+    assert list(sentencepiece_lattice._ask(Shared, 1)(iter([batch])))[0].num_rows == 1
+    none = pa.table({"bucket": pa.array([], pa.int32()), "sizes": pa.array([], pa.list_(pa.int8())), "path": pa.array([], pa.list_(pa.int32()))})
+    with pytest.raises(ValueError, match="and got 0"):
+        sentencepiece_lattice._assemble(Shared, 1)(pa.Table.from_batches([batch]), none)
+    assert len(held) == 2 * n
+    for part in (held[:n], held[n:]):
+        assert max(part) - part[0] < sum(map(len, texts)) / 3
+
+
 def test_units_make_up_the_text():
     known = sentencepiece_lattice.pieces(PIECES)
     for text in [*ODD, " a  b c   "]:
