@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from marketlake.operators import features, models
@@ -146,3 +147,21 @@ def test_full_trees_give_group_means(spark, kind, params):
     np.testing.assert_allclose(scored["prediction"], means[scored["x"]].to_numpy(), rtol=1e-9)
     # The rows kept while fitting are released; MLlib may still hold a set of its own for a moment.
     assert not df.is_cached
+
+
+def test_trees_are_fitted_on_small_partitions(spark, monkeypatch):
+    sizes = []
+
+    class Watched(GBTRegressor):
+        def fit(self, rows, params=None):
+            sizes.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+            return super().fit(rows, params)
+
+    monkeypatch.setitem(models.TREES, "boosted_trees", lambda: Watched(maxIter=1, maxDepth=2, seed=1))
+    monkeypatch.setattr(models, "PART_ROWS", 100, raising=False)
+    rows = spark.range(1000).select((F.col("id") % 3).alias("a"), (F.col("id") % 3 * 2.0).alias("y"))
+    for part, most in ((rows.coalesce(1), 110), (rows.limit(90).coalesce(1), 90)):
+        model = models.fit_regressor("boosted_trees", part, ["a"], "y")
+        assert max(sizes[-1]) <= most
+        assert {round(r.prediction, 6) for r in models.predict(model, part, ["a"]).collect()} == {0.0, 2.0, 4.0}
+    assert [sum(x) for x in sizes] == [1000, 90] and len(sizes[1]) == 1
