@@ -17,7 +17,7 @@ from marketlake.plans.scratch import written
 from marketlake.schemas import LEDGER, OHLCV, OHLCV_COLUMNS
 from marketlake.sinks.tables import by_ticker
 from marketlake.sources import store
-from marketlake.sources.responses import bars_of, validated
+from marketlake.sources.responses import as_numbers, bars_of, validated
 
 BARS = "ohlcv"
 
@@ -35,29 +35,28 @@ def stored_ledger(spark: SparkSession, root: str, version: str = "v1") -> DataFr
     return store.ledger(spark, store.table_path(root, "raw", BARS, version), OHLCV)
 
 
-def one_per_day(bars: DataFrame) -> DataFrame:
+def one_per_day(bars: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """One bar per ticker and date, the same one on every run: of different bars the smallest in the order of their columns.
 
-    A hashed aggregate of plain numbers, kept in the scratch folder, finds the days whose bars differ; only those are compared.
+    A hashed aggregate of plain numbers finds the days whose bars differ; only those are compared. One bar of each day is kept in the
+    scratch folder, with a mark whether the day's bars are alike: none of a column differ, and the same columns are null. The others are read from
+    `among`, which may hold bars of other days besides, where that takes less work.
     """
     values = ["open", "high", "low", "close", "volume"]
-    days = written(
-        bars.groupBy("ticker", "date").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(c).alias(c) for c in values],
-            *[F.max(c).alias(f"_max_{c}") for c in values],
-            *[F.count(c).alias(f"_n_{c}") for c in values],
-        ),
-        "days",
+    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(values)])
+    found = bars.groupBy("ticker", "date").agg(
+        F.min(nulls).alias("_nulls"),
+        F.max(nulls).alias("_max_nulls"),
+        *[F.min(c).alias(c) for c in values],
+        *[F.max(c).alias(f"_max_{c}") for c in values],
     )
-    alike = reduce(
-        lambda a, b: a & b,
-        [(F.col(f"_n_{c}") == 0) | ((F.col(f"_n_{c}") == F.col("n")) & (F.col(c) == F.col(f"_max_{c}"))) for c in values],
-    )
-    clear, differ = days.filter(alike).select(*OHLCV_COLUMNS), days.filter(~alike).select(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_max_{c}")) for c in values], F.col("_nulls") == F.col("_max_nulls"))
+    days = written(found.select(*OHLCV_COLUMNS, alike.alias("_alike")), "days")
+    clear, differ = days.filter("_alike").select(*OHLCV_COLUMNS), days.filter("NOT _alike").select(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
     if differ.isEmpty():
         return clear
-    several = bars.join(differ, bars["ticker"].eqNullSafe(F.col("_t")) & bars["date"].eqNullSafe(F.col("_d")), "left_semi")
+    among = bars if among is None else among
+    several = among.join(differ, among["ticker"].eqNullSafe(F.col("_t")) & among["date"].eqNullSafe(F.col("_d")), "left_semi")
     best = several.groupBy("ticker", "date").agg(F.min(F.struct(*values)).alias("_bar"))
     return clear.unionByName(best.select("date", "_bar.*", "ticker"))
 
@@ -66,11 +65,24 @@ def take_in(bars: DataFrame, root: str, version: str = "v1", extend: bool = True
     """Stores the bars that are new, and commits them with their ledger; the ledger as it was before, and that of the new bars.
 
     Bars of a ticker that is not stored, or of dates before or after its stored ones, are new. The others are looked up
-    among the stored bars of their tickers. Without `extend`, a ticker of which anything is stored gets nothing new. A batch that
-    fails midway is never seen, and running it again stores it as if for the first time.
+    among the stored bars of their tickers, before anything else is done with them. Without `extend`, a ticker of which anything is stored gets nothing new. Where nothing is
+    stored at all, nothing is looked up. A batch that fails midway is never seen, and running it again stores it as if for the first time.
     """
     spark, path = bars.sparkSession, store.table_path(root, "raw", BARS, version)
-    incoming, had = one_per_day(bars), stored_ledger(spark, root, version)
+    had, new = stored_ledger(spark, root, version), bars
+    if store.table_exists(spark, root, "raw", BARS, version):
+        new = _unseen(bars, had, root, version, extend)
+    folder, rows = store.write_part(by_ticker(one_per_day(new, bars)), path)
+    if rows == 0:
+        return had, spark.createDataFrame([], LEDGER)
+    batch = store.save_ledger(spark, path, folder, OHLCV)
+    store.commit(spark, path, [(folder, folder, rows)], ledger=True)
+    return had, batch
+
+
+def _unseen(incoming: DataFrame, had: DataFrame, root: str, version: str, extend: bool) -> DataFrame:
+    """The incoming bars that are new to a store with the ledger `had`."""
+    spark = incoming.sparkSession
     known = had.select(F.col("ticker").alias("_t"), "date_min", "date_max", F.lit(True).alias("_known"))
     seen = incoming.join(known, incoming["ticker"].eqNullSafe(F.col("_t")), "left")
     is_known = F.coalesce("_known", F.lit(False))
@@ -79,12 +91,7 @@ def take_in(bars: DataFrame, root: str, version: str = "v1", extend: bool = True
     inside = seen.filter(within).select(*OHLCV_COLUMNS)
     if extend and not inside.isEmpty():
         fresh = fresh.unionByName(_absent(inside, stored_bars(spark, root, version)))
-    folder, rows = store.write_part(by_ticker(fresh), path)
-    if rows == 0:
-        return had, spark.createDataFrame([], LEDGER)
-    batch = store.save_ledger(spark, path, folder, OHLCV)
-    store.commit(spark, path, [(folder, folder, rows)], ledger=True)
-    return had, batch
+    return fresh
 
 
 def _absent(inside: DataFrame, stored: DataFrame) -> DataFrame:
@@ -111,7 +118,7 @@ def ingest(
     """
     if date_from > date_to:
         raise ValueError(f"date_from {date_from} is after date_to {date_to}")
-    checked = written(validated(responses).select("ticker", "envelope", "valid", "readable"), "responses")
+    checked = written(as_numbers(validated(responses)), "responses")
     if checked.isEmpty():
         raise ValueError("no tickers requested")
     had, batch = take_in(date_range(bars_of(checked), date_from, date_to), root, version, extend)

@@ -38,6 +38,17 @@ def validated(responses: DataFrame) -> DataFrame:
     )
 
 
+def as_numbers(checked: DataFrame) -> DataFrame:
+    """(ticker, valid, readable, envelope) of validated responses, to be kept between steps: of the readable ones the fields that bars need, as numbers."""
+
+    def record(r: Column) -> Column:
+        numbers = [r[name].try_cast("double").alias(name) for name in ("o", "h", "l", "c", "v")]
+        return F.struct(F.substring(r["d"], 1, 10).alias("d"), *numbers)
+
+    series = F.struct(F.transform("envelope.series", record).alias("series"))
+    return checked.select("ticker", "valid", "readable", F.when(F.col("readable"), series).alias("envelope"))
+
+
 def bars_from_responses(responses: DataFrame) -> DataFrame:
     """Canonical bars of all readable responses; the ticker is the requested one."""
     return bars_of(validated(responses))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marketlake.operators import adjust, gaps
 from marketlake.operators.digest import days_digest, merged_digests
 from marketlake.plans import ingest as plan
+from marketlake.schemas import OHLCV_COLUMNS
+from marketlake.sources import responses
 from suite import catalog
 from tests.conftest import day
 
@@ -88,6 +90,36 @@ def test_one_per_day_equals_the_smallest_bar(spark):
     assert got == want
 
 
+def test_a_second_ingest_writes_no_bars_again(spark, make_bars, tmp_path, monkeypatch):
+    """What is stored already goes neither into the aggregate nor into the scratch folder, and nothing is looked up in an empty store."""
+    kept, looked = [], []
+    written, unseen = plan.written, plan._unseen
+    monkeypatch.setattr(plan, "written", lambda df, name: kept.append((name, df.count(), df.columns)) or written(df, name))
+    monkeypatch.setattr(plan, "_unseen", lambda *a: looked.append(a) or unseen(*a))
+    days = [f"2024-01-{d:02d}" for d in range(2, 22)]
+    bars = make_bars([(t, d, 1.0, 2.0) for t in ("A", "B", None) for d in days])
+    more = bars.unionByName(make_bars([("A", "2024-02-01", 3.0, 3.0), ("A", "2024-02-01", 3.0, 4.0), ("C", "2024-01-02", 1.0, 1.0), ("C", "2024-01-02", 1.0, 1.0)]))
+    for df in (bars, bars, more):
+        plan.take_in(df, str(tmp_path))
+    assert [(name, n) for name, n, _ in kept] == [("days", 60), ("days", 0), ("days", 2)] and len(looked) == 2
+    assert all(set(columns) == {*OHLCV_COLUMNS, "_alike"} for _, _, columns in kept)
+    got = plan.stored_bars(spark, str(tmp_path))
+    assert got.count() == 62 and [r.close for r in got.filter("date = '2024-02-01'").collect()] == [3.0]
+
+
+def test_kept_responses_hold_numbers(spark):
+    body = '{"series": [{"c": "1.5", "d": "2024-01-02T00:00:00Z", "h": 2, "l": 1, "o": null, "r": "D", "sid": "x", "v": 3}, null, {}]}'
+    bad = body.replace("1.5", "?")
+    df = spark.createDataFrame([("A", body), ("B", bad), ("C", "[]"), (None, '{"series": []}')], "ticker string, body string")
+    checked = responses.validated(df)
+    kept = responses.as_numbers(checked)
+    assert "sid" not in kept.schema.simpleString() and "d:string,o:double" in kept.schema.simpleString()
+    flags = lambda x: sorted(map(str, x.select("ticker", "valid", "readable").collect()))
+    assert flags(kept) == flags(checked)
+    rows = lambda x: sorted(map(str, responses.bars_of(x).collect()))
+    assert rows(kept) == rows(checked) and len(rows(kept)) == 3
+
+
 def test_ladder_equals_the_merge(spark, make_bars):
     rng = random.Random(5)
     start = datetime.date(2024, 1, 1)
