@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +21,11 @@ def ingest_available(
     """
 
     def store(batch: DataFrame, _: int) -> None:
-        take_in(bars_from_responses(batch), root, version)
+        bars = bars_from_responses(batch).persist(StorageLevel.MEMORY_AND_DISK)  # looked up and stored, parsed once
+        try:
+            take_in(bars, root, version)
+        finally:
+            bars.unpersist()
 
     landed = spark.readStream.schema(RESPONSES).json(landing)
     return (
