@@ -4,7 +4,7 @@ The text is prepared as the library does for a model without further rules: a bl
 into chunks, a run of blanks with the characters up to the next blank, and chunks into units, cut wherever no
 piece holds the two characters side by side: no piece crosses a cut, so the best path of a text is that of its units.
 Spark takes each different unit once: explodes its substrings of up to the length of the longest piece,
-equi-joins them to the piece table, groups the edges by unit, and folds the best path with `aggregate`. A unit is never cut
+equi-joins them to the piece table and groups the edges by unit; where units meet their asks, Viterbi goes over thousands at once. A unit is never cut
 where a piece may span; one of more than `UNIT` characters, as a run of letters without blanks, is folded where its documents are put together, by
 the same costs and the same rule for ties. A character without a piece falls back to its UTF-8 bytes.
 
@@ -30,12 +30,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm._tables import shuffle_partitions
+from marketlake.llm._words import lanes
 
 BLANK = "▁"
 #: Characters of a unit in the join at most.
@@ -46,8 +46,11 @@ SCALE, PIECE = 100, 6.0
 PACK, BLOCK = 1 << 23, 6 << 20
 #: Shuffle partitions at most, for each one that the session sets: more blocks share partitions.
 SPREAD = 2
-# Bits of a place in a unit, of a number in the piece table, and of a path's cost.
-PLACE, NUMBER, COST = 7, 20, 28
+#: Units whose paths are looked for at once.
+SOLVED = 1 << 14
+# Bits of a place in a unit and of a number in the piece table; a path's cost has the other 29.
+PLACE, NUMBER = 7, 20
+NONE = np.empty(0, np.int32)
 
 _CHUNK = re.compile("(?<=[^ ]) ")
 
@@ -74,6 +77,8 @@ class Pieces:
         self.single = {p: ids for p, _, ids in self.table if len(p) == 1}
         lost = sorted({c for p, _, _ in self.table for c in p} - self.single.keys())
         self.table += [(c, dear * len(c.encode()), self.bytes_of(c)) for c in lost]
+        self.costs = np.array([c for _, c, _ in self.table], np.int64)
+        self.lengths = np.array([len(p) for p, _, _ in self.table], np.int32)
         # Numbers of the characters that pieces hold, 0 for all others, and which of them pieces hold side by side.
         every = sorted({c for p, _, _ in self.table if len(p) > 1 for c in p})
         self.letters = np.zeros(0x110000, np.uint16)
@@ -93,7 +98,8 @@ class Pieces:
         """The different units of chunks, which have no U+2581 of their own in front; their numbers, one chunk after another; how many each chunk has."""
         if not len(some):
             return pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.int64)
-        text = BLANK + BLANK.join(some.to_pylist()).replace(" ", BLANK)
+        gap = pa.scalar(BLANK, pa.large_string())
+        text = BLANK + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), gap)[0].as_py().replace(" ", BLANK)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         letters = self.letters[points]
         begin = np.cumsum(np.concatenate(([0], np.asarray(pc.utf8_length(some)).astype(np.int64)[:-1] + 1)))
@@ -198,11 +204,13 @@ class Ragged:
     sizes: np.ndarray
 
     def take(self, at: np.ndarray) -> Ragged:
-        starts, sizes = np.cumsum(self.sizes, dtype=np.int64) - self.sizes, self.sizes[at]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        places = np.repeat(starts[at] - (ends - sizes), sizes)
-        places += np.arange(len(places))
-        return Ragged(self.values[places], sizes)
+        """Lists by number, which Arrow copies as the bytes that they are."""
+        values, width = np.ascontiguousarray(self.values), self.values.itemsize
+        ends = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64))) * width
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(ends), pa.py_buffer(values)]).take(pa.array(at))
+        size = int(pc.sum(pc.binary_length(lists)).as_py() or 0) // width
+        found = np.frombuffer(lists.buffers()[2], values.dtype, size) if size else values[:0]
+        return Ragged(found, np.asarray(pc.binary_length(lists)).astype(np.int64) // width)
 
     def joined(self, counts: np.ndarray) -> Ragged:
         """The lists put together, so many at a time."""
@@ -225,6 +233,12 @@ def _split(doc_ids: pa.Array, ends: list[int], packed: bytes) -> tuple[pa.Array,
     return ids, np.asarray(pc.list_value_length(both)).astype(np.int64), both.flatten()
 
 
+def _hashes(units: pa.Array) -> np.ndarray:
+    ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)
+    return lanes(data, ends[:-1], ends[1:])
+
+
 def _shares(every: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of some different units need the join, by bucket and in order of hash, then of text, and the bucket of each.
 
@@ -234,7 +248,7 @@ def _shares(every: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     asked = pc.and_(pc.and_(pc.greater(size, 1), pc.less_equal(size, UNIT)), pc.invert(pc.match_substring(every, "\n")))
     at = np.flatnonzero(np.asarray(asked))
     units = every.take(pa.array(at))
-    hashes = np.array([xxhash.xxh64_intdigest(u) for u in units.to_pylist()], np.uint64)
+    hashes = _hashes(units.cast(pa.large_string()))
     order = np.argsort(hashes)
     if (hashes[order][1:] == hashes[order][:-1]).any():
         order = np.asarray(pc.array_sort_indices(units)).astype(np.int64)
@@ -275,87 +289,90 @@ def _ask(shared, buckets: int):
     return run
 
 
-def _answer(asked: pa.Table, solved: pa.Table) -> pa.Table:
-    """For each row of asked units of a bucket, how many pieces each has, and the pieces."""
-    asked, solved = asked.combine_chunks(), solved.combine_chunks()
-    whole = pc.split_pattern(asked.column("asked").combine_chunks().cast(pa.large_string()), "\n")
-    blocks, units = pc.list_element(whole, 0).cast(pa.int32()), pc.list_slice(whole, 1)
-    paths = solved.column("path").combine_chunks()
-    known = Ragged(np.asarray(paths.flatten()), np.asarray(pc.list_value_length(paths)).astype(np.int64))
-    at = np.asarray(pc.index_in(units.flatten(), value_set=solved.column("unit").combine_chunks().cast(pa.large_string()))).astype(np.int64)
-    found = known.take(at)
-    counts = np.asarray(pc.list_value_length(units)).astype(np.int64)
-    each = found.joined(counts)
-
+def _answer(shared, kind: pa.DataType):
     def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
 
-    kind = paths.type.value_type
-    return pa.table(
-        [blocks, asked.column("bucket"), lists(found.sizes, counts, pa.int8()), lists(each.values, each.sizes, kind)],
-        names=["block", "bucket", "sizes", "path"],
-    )
+    def run(asked: pa.Table, edges: pa.Table) -> pa.Table:
+        """For each row of asked units of a bucket, how many pieces the cheapest path of each has, and the pieces."""
+        asked, different = asked.combine_chunks(), edges.column("unit").combine_chunks().cast(pa.large_string())
+        paths = []
+        for b in edges.to_batches(max_chunksize=SOLVED):
+            held = b.column("edges")
+            paths.append(_cheapest(b.column("unit"), Ragged(np.asarray(held.flatten()), np.asarray(pc.list_value_length(held)).astype(np.int64)), shared.value))
+        known = Ragged(np.concatenate([NONE, *(x.values for x in paths)]), np.concatenate([NONE, *(x.sizes for x in paths)]))
+        whole = pc.split_pattern(asked.column("asked").combine_chunks().cast(pa.large_string()), "\n")
+        blocks, units = pc.list_element(whole, 0).cast(pa.int32()), pc.list_slice(whole, 1)
+        at = np.asarray(pc.index_in(units.flatten(), value_set=different)).astype(np.int64)
+        found = known.take(at)
+        counts = np.asarray(pc.list_value_length(units)).astype(np.int64)
+        each = found.joined(counts)
+        return pa.table(
+            [blocks, asked.column("bucket"), lists(found.sizes, counts, pa.int8()), lists(each.values, each.sizes, kind)],
+            names=["block", "bucket", "sizes", "path"],
+        )
+
+    return run
 
 
 def lattice(words: DataFrame, known: Pieces) -> DataFrame:
-    """(bucket, unit, path) of different (bucket, unit): the cheapest path, as places in the piece table. A unit has one bucket.
+    """(bucket, unit, edges) of different (bucket, unit): the pieces that the unit holds, their places in the piece table and in the unit in one number.
 
-    Of paths of equal cost that with the fewest pieces wins, then that whose last piece is the first of the table.
+    A unit has one bucket. Its edges are in no order.
     """
-    table = [(p, k, c) for k, (p, c, _) in enumerate(known.table)]
+    table = [(p, k) for k, (p, _, _) in enumerate(known.table)]
     # A vocabulary: a row for each piece of the model file.
-    frame = words.sparkSession.createDataFrame(table, "piece string, number long, cost long")
-    # Numbers that rise within a task, so that edges come in order of their unit. They don't leave it.
+    frame = words.sparkSession.createDataFrame(table, "known string, number int").withColumn("key", F.xxhash64("known"))
+    # Numbers that rise within a task, which are cheaper to group by than text. They don't leave it.
     units = words.select(F.monotonically_increasing_id().alias("word"), "bucket", "unit")
     size, begin = F.length("unit"), F.col("begin")
     spans = units.select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("begin")).select(
         "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(known.longest), size - begin))).alias("n")
     )
     cut = spans.withColumn("piece", F.col("unit").substr(begin + 1, F.col("n")))
-    # End, cost, number and beginning of an edge in one number, so that edges sort by their ends.
-    edge = (((begin + F.col("n")).cast("long") * (1 << COST) + F.col("cost")) * (1 << NUMBER) + F.col("number")) * (1 << PLACE) + begin
-    edges = (
-        cut.join(F.broadcast(frame), "piece")
-        .select("word", "bucket", "unit", edge.alias("edge"))
-        .groupBy("word", "bucket", "unit")
-        .agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # The join is on one number, for which Spark's table needs no row for each key; the texts are compared where numbers agree.
+    same = (F.xxhash64("piece") == F.col("key")) & F.col("piece").startswith(F.col("known")) & F.col("known").startswith(F.col("piece"))
+    return (
+        cut.join(F.broadcast(frame), same)
+        .select("word", "bucket", "unit", (F.col("number") * (1 << PLACE) + begin).alias("edge"))
+        .groupBy("word", "bucket")  # a word has one unit
+        .agg(F.first("unit").alias("unit"), F.collect_list("edge").alias("edges"))
+        .drop("word")
     )
-    return edges.select("bucket", "unit", _cheapest(F.col("edges")).alias("path"))
 
 
-def _bits(x: Column, low: int, n: int) -> Column:
-    return F.shiftright(x, low).bitwiseAND((1 << n) - 1)
+def _cheapest(units: pa.Array, edges: Ragged, known: Pieces) -> Ragged:
+    """Viterbi over many units at once, one place after another: the cheapest path of each, as places in the piece table.
 
-
-def _cheapest(edges: Column) -> Column:
-    """Viterbi over edges in order of their ends: the best path to each place, then the way back from the last.
-
-    A path is one number too: its cost, how many pieces it has, the last one, and where that begins.
+    A path is one number too: its cost, how many pieces it has, the last one, and where that begins. So of paths of equal
+    cost that with the fewest pieces wins, then that whose last piece is the first of the table.
     """
-    count = NUMBER + PLACE
-
-    def extend(paths: Column, edge: Column) -> Column:
-        before = F.get(paths, _bits(edge, 0, PLACE).cast("int"))
-        cost = F.shiftright(before, count + PLACE) + _bits(edge, count, COST)
-        path = F.shiftleft(F.shiftleft(cost, PLACE) + _bits(before, count, PLACE) + 1, count) + _bits(edge, 0, count)
-        return F.when(F.shiftright(edge, count + COST) == F.size(paths), F.array_append(paths, path)).otherwise(
-            F.concat(F.slice(paths, 1, F.size(paths) - 1), F.array(F.least(F.element_at(paths, -1), path)))
-        )
-
-    def back(way: Column, _: Column) -> Column:
-        path = F.get(way["paths"], way["place"])
-        return F.struct(
-            way["paths"].alias("paths"),
-            _bits(path, 0, PLACE).cast("int").alias("place"),
-            F.concat(F.array(_bits(path, PLACE, NUMBER).cast("int")), way["numbers"]).alias("numbers"),
-        )
-
-    def trace(paths: Column) -> Column:
-        start = F.struct(paths.alias("paths"), (F.size(paths) - 1).alias("place"), F.array().cast("array<int>").alias("numbers"))
-        steps = F.sequence(F.lit(1), _bits(F.element_at(paths, -1), count, PLACE).cast("int"))
-        return F.aggregate(steps, start, back, lambda way: way["numbers"])
-
-    return F.aggregate(edges, F.array(F.lit(0).cast("long")), extend, trace)
+    length, count = np.asarray(pc.utf8_length(units)).astype(np.int64), NUMBER + PLACE
+    first = np.cumsum(length + 1) - (length + 1)
+    number, begin = edges.values >> PLACE, edges.values & ((1 << PLACE) - 1)
+    end = begin + known.lengths[number]
+    # By end; the edges of a unit follow one another, so do those to one of its places.
+    order = np.argsort(end.astype(np.uint8), kind="stable")
+    start = np.repeat(first, edges.sizes)[order]
+    end, before, after = end[order], start + begin[order], start + end[order]
+    more = (((known.costs[number] << PLACE) + 1 << count) + edges.values)[order]
+    best = np.zeros(int((length + 1).sum()), np.int64)
+    stops = np.searchsorted(end, np.arange(1, int(length.max(initial=0)) + 2)).tolist()
+    for x, y in zip(stops, stops[1:]):
+        if x < y:
+            heads = np.flatnonzero(np.diff(after[x:y], prepend=-1))
+            best[after[x:y][heads]] = np.minimum.reduceat((best[before[x:y]] >> count << count) + more[x:y], heads)
+    # The way back from the last place of each.
+    sizes = best[first + length] >> count & ((1 << PLACE) - 1)
+    place, free, left = length, np.cumsum(sizes), np.flatnonzero(length)
+    out = np.empty(int(sizes.sum()), np.int32)
+    while len(left):
+        path = best[first[left] + place[left]]
+        free[left] -= 1
+        out[free[left]] = path >> PLACE & ((1 << NUMBER) - 1)
+        place[left] = path & ((1 << PLACE) - 1)
+        left = left[place[left] > 0]
+    return Ragged(out, sizes)
 
 
 def _assemble(shared, buckets: int):
@@ -378,7 +395,9 @@ def _assemble(shared, buckets: int):
         joined = spelled.take(np.asarray(paths).astype(np.int64)).joined(np.asarray(sizes).astype(np.int64))
         if len(joined.sizes) != len(at):
             raise ValueError(f"a block asked for {len(at)} units and got {len(joined.sizes)}")
-        others = np.setdiff1d(np.arange(len(every)), at)
+        others = np.ones(len(every), bool)
+        others[at] = False
+        others = np.flatnonzero(others)
         own = [known.alone(u) if len(u) == 1 else known.folded(u) for u in every.take(pa.array(others)).to_pylist()]
         # Units in the order of `at`, then the others, and each one's place there.
         units = Ragged(
@@ -430,11 +449,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     # Both columns are read on either way, so that the exchange is made once.
     words = asked.select("bucket", F.explode(F.expr("slice(split(asked, '\\n'), 2, length(asked))")).alias("unit")).distinct()
     number = "smallint" if len(known.table) < 1 << 15 else "int"
-    solved = lattice(words, known).select(F.col("bucket").alias("of"), "unit", F.col("path").cast(f"array<{number}>").alias("path"))
+    edges = lattice(words, known).withColumnRenamed("bucket", "of")
+    kind_of = pa.int16() if number == "smallint" else pa.int32()
     replies = (
         asked.groupBy("bucket")
-        .cogroup(solved.groupBy("of"))
-        .applyInArrow(_answer, f"block int, bucket int, sizes array<tinyint>, path array<{number}>")
+        .cogroup(edges.groupBy("of"))
+        .applyInArrow(_answer(shared, kind_of), f"block int, bucket int, sizes array<tinyint>, path array<{number}>")
     )
     return (
         rows.groupBy("block")

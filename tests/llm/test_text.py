@@ -1,5 +1,6 @@
 import hashlib
 import math
+import sys
 import zlib
 from collections import Counter
 
@@ -187,6 +188,46 @@ def test_blocks_hold_different_chunks_only(monkeypatch):
         assert max(part) - part[0] < sum(map(len, texts)) / 3
 
 
+def test_units_are_dealt_as_columns():
+    """No call for each chunk or unit, whether units are made of chunks or dealt to buckets by their hashes."""
+    known, calls = sentencepiece_lattice.pieces(PIECES), Counter()
+    letters = np.random.default_rng(7).choice(list("etaoinshré"), (5000, 9))
+    some = pa.array(sorted({"".join(x) for x in letters}), pa.large_string())
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        every, numbers, counts = known.different_units(some)
+        at, of = sentencepiece_lattice._shares(every, 7)
+    finally:
+        sys.setprofile(None)
+    assert sum(calls.values()) < 1000
+    texts = every.take(pa.array(numbers)).to_pylist()
+    ends = np.cumsum(counts).tolist()
+    assert ["".join(texts[x:y]) for x, y in zip([0, *ends], ends)] == [BLANK + x for x in some.to_pylist()]
+    assert sorted(at.tolist()) == [i for i, u in enumerate(every.to_pylist()) if len(u) > 1]
+    assert (np.diff(of) >= 0).all() and len(set(of.tolist())) == 7
+
+
+def test_lattice(spark):
+    """Edges are joined by one number, not by text, and Viterbi over all units at once finds each one's cheapest path."""
+    known = sentencepiece_lattice.pieces(PIECES)
+    rng = np.random.default_rng(6)
+    texts = {"".join(rng.choice(list("etaoinshr"), n)) for n in rng.integers(2, 64, 300)}
+    texts |= {"ti", "internationalization", "x" * 63, "日本語日本"}
+    units = sorted(u for u in known.different_units(pa.array(sorted(texts), pa.large_string()))[0].to_pylist() if len(u) > 1)
+    found = sentencepiece_lattice.lattice(spark.createDataFrame([(0, u) for u in units], "bucket int, unit string").distinct(), known)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(piece" in plan and "lambda" not in plan
+    rows = found.collect()
+    assert sorted(r.unit for r in rows) == units and {r.bucket for r in rows} == {0}
+    edges = sentencepiece_lattice.Ragged(np.array([e for r in rows for e in r.edges], np.int32), np.array([len(r.edges) for r in rows]))
+    paths = sentencepiece_lattice._cheapest(pa.array([r.unit for r in rows]), edges, known)
+    ends = np.cumsum(paths.sizes).tolist()
+    for r, x, y in zip(rows, [0, *ends], ends):
+        assert [i for k in paths.values[x:y].tolist() for i in known.table[k][2]] == cheapest(r.unit, known)
+    nothing = sentencepiece_lattice._cheapest(pa.array([], pa.string()), sentencepiece_lattice.Ragged(np.empty(0, np.int32), np.empty(0, np.int64)), known)
+    assert not len(nothing.values) and not len(nothing.sizes)
+
+
 def test_units_make_up_the_text():
     known = sentencepiece_lattice.pieces(PIECES)
     for text in [*ODD, " a  b c   "]:
