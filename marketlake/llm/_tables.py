@@ -90,7 +90,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component) for every id in `edges` (a, b); component is the smallest id reachable.
 
     Large-star and small-star steps in turn, each two shuffles of the remaining edges, until no edge
-    changes. A hub's edges are folded by `min`, which combines before the shuffle.
+    changes. A hub's edges are folded by `min`, which combines before the shuffle. Both steps are stored:
+    Spark keeps the plan of every job on the driver, and tells it anew after each shuffle.
     """
     now = stored(
         edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(),
@@ -101,6 +102,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, name)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(down, "u")

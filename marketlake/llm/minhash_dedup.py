@@ -184,7 +184,9 @@ def compared(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     """The similarity of each of `pairs` (a, b), from the whole `texts` (id, text).
 
     The text of `a` goes along once for every `PER_COPY` pairs or so, and a hub's pairs spread over as many tasks.
+    The pairs are stored, as they are read several times.
     """
+    pairs = stored(pairs, "near-pairs")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
     dealt = pairs.join(hubs, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies"))
     rows = dealt.select("a", "copy", "b", F.col("b").alias("id")).unionByName(
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """
     sign = stored(signed(docs, bands, rows, size), "near-signatures")
     known = sign.where("doc_id is not null and n_shingles > 0")
-    bags = known.groupBy("bag", "bag2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    bags = stored(known.groupBy("bag", "bag2", "n_shingles").agg(F.min("doc_id").alias("node")), "near-bags")
     member = stored(
         known.select("doc_id", "bag", "bag2", "n_shingles").distinct().join(bags, ["bag", "bag2", "n_shingles"]).select("doc_id", "node"),
         "near-members",

@@ -48,15 +48,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
         .withColumn("ratio", F.col("limit") / F.col("weight")),
         "mix-sources",
     )
+    # One after the other, so that neither is joined to the other.
     limits = running_totals(ranked, ["ratio", "source"], "limit", "limits_before", "mix-limits")
-    weighed = running_totals(ranked, ["ratio", "source"], "weight", "weights_before", "mix-weights")
+    weighed = running_totals(limits, ["ratio", "source"], "weight", "weights_before", "mix-weights")
     total = ranked.agg(F.sum("source_size").alias("t"), F.sum("weight").alias("w"))
-    steps = (
-        limits.join(weighed.select(F.col("source").alias("s"), "weights_before"), F.col("source").eqNullSafe(F.col("s")))
-        .join(F.broadcast(total))
-        .withColumn("level", (F.col("t") - F.col("limits_before")) / (F.col("w") - F.col("weights_before")))
+    steps = weighed.join(F.broadcast(total)).withColumn(
+        "level", (F.col("t") - F.col("limits_before")) / (F.col("w") - F.col("weights_before"))
     )
-    level = steps.where("ratio > level").agg(F.min_by("level", "ratio").alias("level"))
+    level = stored(steps.where("ratio > level").agg(F.min_by("level", "ratio").alias("level")), "mix-level")
     return ranked.join(F.broadcast(level)).select(
         "source",
         "source_size",
